@@ -7,7 +7,7 @@ from pathlib import Path
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from parcelflow.llm import byte_bpe
+from parcelflow.llm import byte_bpe, quality_rules
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,6 +19,11 @@ def vocabulary(name: str = "byte_bpe_multi_50k.tiktoken") -> bytes:
     return Path(public_tokenizers.path(name)).read_bytes()
 
 
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base statistics and the cascade's verdict for every document."""
+    return quality_rules.cascade(_table(spark, sf_dir, "documents"))
+
+
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids and the decoded bytes of every text, as digests."""
     return byte_bpe.round_trip(_table(spark, sf_dir, "documents"), vocabulary(), public_tokenizers.PATTERN)
