@@ -7,7 +7,7 @@ from pathlib import Path
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from parcelflow.llm import byte_bpe, quality_rules
+from parcelflow.llm import byte_bpe, mixing, quality_rules
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,6 +19,11 @@ def vocabulary(name: str = "byte_bpe_multi_50k.tiktoken") -> bytes:
     return Path(public_tokenizers.path(name)).read_bytes()
 
 
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that the mix takes of every document, with its source's target."""
+    return mixing.mix(_table(spark, sf_dir, "documents"))
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base statistics and the cascade's verdict for every document."""
     return quality_rules.cascade(_table(spark, sf_dir, "documents"))
