@@ -13,6 +13,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {
     "op3_mixing": queries.op3_mixing,
     "op4_quality_rules": queries.op4_quality_rules,
+    "op6_sharding": queries.op6_sharding,
     "op7_byte_bpe": queries.op7_byte_bpe,
 }
 
