@@ -11,6 +11,7 @@ Columns of the input other than the id and the text are not looked at.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -31,15 +32,30 @@ class Rule:
     work: Column
 
 
-def _repeat_words(grams: Column) -> Column:
-    """Words in windows whose hash appears twice or more; `grams` has the window hashes in order."""
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """`body` of a value that is computed once, wherever the optimizer moves the expression."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
-    def covered(found: Column) -> Column:
-        twice = F.filter(found, lambda x, i: x["g"].eqNullSafe(F.get(found, i - 1)["g"]) | x["g"].eqNullSafe(F.get(found, i + 1)["g"]))
-        at = F.array_sort(F.transform(twice, lambda x: x["i"]))
+
+def _repeat_words(words: Column) -> Column:
+    """Words in windows that appear twice or more, by hashes of the windows."""
+
+    def window_hashes(hashes: Column) -> Column:
+        at = F.when(F.size(hashes) >= WINDOW, F.sequence(F.lit(1), F.size(hashes) - (WINDOW - 1))).otherwise(F.array().cast("array<int>"))
+        return F.transform(at, lambda i: F.xxhash64(F.slice(hashes, i, WINDOW)))
+
+    def covered(at: Column) -> Column:
         return F.aggregate(F.transform(at, lambda p, k: F.least(F.lit(WINDOW), F.coalesce(F.get(at, k + 1) - p, F.lit(WINDOW)))), F.lit(0), lambda a, x: a + x)
 
-    return F.when(F.size(F.array_distinct(grams)) == F.size(grams), F.lit(0)).otherwise(covered(F.sort_array(F.transform(grams, lambda g, i: F.struct(g.alias("g"), i.alias("i"))))))
+    def repeated(found: Column) -> Column:
+        twice = F.filter(found, lambda x, i: x["g"].eqNullSafe(F.get(found, i - 1)["g"]) | x["g"].eqNullSafe(F.get(found, i + 1)["g"]))
+        return _let(F.array_sort(F.transform(twice, lambda x: x["i"])), covered)
+
+    def count(grams: Column) -> Column:
+        pairs = F.sort_array(F.transform(grams, lambda g, i: F.struct(g.alias("g"), i.alias("i"))))
+        return F.when(F.size(F.array_distinct(grams)) == F.size(grams), F.lit(0)).otherwise(_let(pairs, repeated))
+
+    return _let(_let(F.transform(words, lambda w: F.xxhash64(w)), window_hashes), count)
 
 
 def base_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -48,10 +64,7 @@ def base_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(W.WORD))
     slim = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     cut = slim.withColumns({"words": W.words(F.col("text")), "lines": lines})
-    hashed = cut.withColumn("hashes", F.transform("words", lambda w: F.xxhash64(w)))
-    at = F.when(F.size("hashes") >= WINDOW, F.sequence(F.lit(1), F.size("hashes") - (WINDOW - 1))).otherwise(F.array().cast("array<int>"))
-    grams = hashed.withColumn("grams", F.transform(at, lambda i: F.xxhash64(F.slice("hashes", i, WINDOW))))
-    counted = grams.select(
+    counted = cut.select(
         "doc_id",
         "text",
         "words",
@@ -60,7 +73,7 @@ def base_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         F.regexp_count(text, F.lit(SYMBOLS)).cast("long").alias("n_symbols"),
         F.size("lines").cast("long").alias("n_lines"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
-        _repeat_words(F.col("grams")).cast("long").alias("n_repeat_words"),
+        _repeat_words(F.col("words")).cast("long").alias("n_repeat_words"),
     )
     return counted.withColumn("base_failed", (F.col("n_words") < 10) | (F.col("n_repeat_words") * 100 > F.col("n_words") * 20))
 
@@ -68,7 +81,7 @@ def base_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def default_rules() -> list[Rule]:
     """Thresholds in whole numbers, so that every engine agrees on them."""
     n, chars, text = F.col("n_words"), F.col("word_chars"), F.col("text")
-    stutter = F.size(F.filter("words", lambda w, i: w == F.get("words", i - 1)))
+    stutter = _let(F.col("words"), lambda words: F.size(F.filter(words, lambda w, i: w == F.get(words, i - 1))))
     one, per_char, per_word = F.lit(1.0), F.length(text).cast("double"), n.cast("double")
     return [
         Rule("symbols", F.col("n_symbols") * 10 > n, one),
@@ -81,20 +94,19 @@ def default_rules() -> list[Rule]:
     ]
 
 
-def order_rules(stats: DataFrame, rules: list[Rule], fraction: float, seed: int = 7) -> list[Rule]:
-    """The rules by rejection per work on a sample; one row comes to the driver."""
-    sample = stats.sample(fraction, seed).where(~F.col("base_failed"))
+def order_rules(sample: DataFrame, rules: list[Rule]) -> list[Rule]:
+    """The rules by rejection per work on the statistics of a sample; one row comes to the driver."""
     measures = [F.avg(r.rejects.cast("double")).alias(f"share_{k}") for k, r in enumerate(rules)] + [F.avg(r.work).alias(f"work_{k}") for k, r in enumerate(rules)]
-    row = sample.agg(*measures).first()
+    row = sample.where(~F.col("base_failed")).agg(*measures).first()
     value = {k: (row[f"share_{k}"] or 0.0) / max(row[f"work_{k}"] or 0.0, 1.0) for k in range(len(rules))}
     return [rules[k] for k in sorted(value, key=lambda k: (-value[k], row[f"work_{k}"] or 0.0, k))]
 
 
-def cascade(docs: DataFrame, rules: list[Rule] | None = None, fraction: float = 0.01, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def cascade(docs: DataFrame, rules: list[Rule] | None = None, fraction: float = 0.01, seed: int = 7, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, the base statistics, base_failed and kept for every document."""
     stats = base_statistics(docs, id_col, text_col)
     verdict = F.lit(False)
-    ordered = order_rules(stats, default_rules() if rules is None else rules, fraction)
+    ordered = order_rules(base_statistics(docs.sample(fraction, seed), id_col, text_col), default_rules() if rules is None else rules)
     chain = F.when(F.col("base_failed"), F.lit(True))
     for rule in ordered:
         chain = chain.when(rule.rejects, F.lit(True))
