@@ -15,6 +15,7 @@ QUERIES: dict[str, Query] = {
     "op4_quality_rules": queries.op4_quality_rules,
     "op6_sharding": queries.op6_sharding,
     "op7_byte_bpe": queries.op7_byte_bpe,
+    "op9_chat_formatting": queries.op9_chat_formatting,
 }
 
 ORACLES: dict[str, str] = {
