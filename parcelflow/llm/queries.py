@@ -7,7 +7,7 @@ from pathlib import Path
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from parcelflow.llm import byte_bpe, chat, mixing, quality_rules, sharding
+from parcelflow.llm import byte_bpe, chat, language, mixing, quality_rules, sharding
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,6 +19,12 @@ def vocabulary(name: str = "byte_bpe_multi_50k.tiktoken") -> bytes:
     return Path(public_tokenizers.path(name)).read_bytes()
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document, learned from the rows that are not held out."""
+    docs = _table(spark, sf_dir, "documents")
+    return language.identify(docs, language.fit(language.training_rows(docs)))
+
+
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words that the mix takes of every document, with its source's target."""
     return mixing.mix(_table(spark, sf_dir, "documents"))

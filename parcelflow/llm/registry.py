@@ -11,6 +11,7 @@ from parcelflow.llm import quality_rules, queries
 Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {
+    "op1_language_id": queries.op1_language_id,
     "op3_mixing": queries.op3_mixing,
     "op4_quality_rules": queries.op4_quality_rules,
     "op6_sharding": queries.op6_sharding,
