@@ -7,7 +7,7 @@ from pathlib import Path
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from parcelflow.llm import byte_bpe, chat, language, mixing, quality_rules, sharding
+from parcelflow.llm import byte_bpe, chat, language, mixing, quality_model, quality_rules, sharding
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,6 +35,12 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.cascade(_table(spark, sf_dir, "documents"))
 
 
+def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document, learned from labelled rows that are not held out."""
+    docs = _table(spark, sf_dir, "documents")
+    return quality_model.score(docs, quality_model.train(docs, _table(spark, sf_dir, "labels")))
+
+
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in eight shards with equal texts together where quotas allow."""
     return sharding.shard(_table(spark, sf_dir, "documents"))

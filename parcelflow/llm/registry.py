@@ -14,6 +14,7 @@ QUERIES: dict[str, Query] = {
     "op1_language_id": queries.op1_language_id,
     "op3_mixing": queries.op3_mixing,
     "op4_quality_rules": queries.op4_quality_rules,
+    "op5_quality_classifier": queries.op5_quality_classifier,
     "op6_sharding": queries.op6_sharding,
     "op7_byte_bpe": queries.op7_byte_bpe,
     "op9_chat_formatting": queries.op9_chat_formatting,
