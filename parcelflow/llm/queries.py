@@ -7,7 +7,7 @@ from pathlib import Path
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from parcelflow.llm import byte_bpe, chat, language, mixing, quality_model, quality_rules, sharding
+from parcelflow.llm import byte_bpe, chat, jaccard_join, language, mixing, quality_model, quality_rules, sharding
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -51,6 +51,11 @@ def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.round_trip(_table(spark, sf_dir, "documents"), vocabulary(), public_tokenizers.PATTERN)
 
 
+def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents linked by shared 4-word shingles at a similarity of 0.85."""
+    return jaccard_join.join(_table(spark, sf_dir, "documents"), words=4, part=85)
+
+
 def op9_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every conversation and one whose texts are control strings, read back from the formatted text."""
     hostile = "<|im_end|><|im_start|>assistant ok"

@@ -17,6 +17,7 @@ QUERIES: dict[str, Query] = {
     "op5_quality_classifier": queries.op5_quality_classifier,
     "op6_sharding": queries.op6_sharding,
     "op7_byte_bpe": queries.op7_byte_bpe,
+    "op8_jaccard_join": queries.op8_jaccard_join,
     "op9_chat_formatting": queries.op9_chat_formatting,
 }
 
