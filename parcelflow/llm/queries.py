@@ -7,7 +7,7 @@ from pathlib import Path
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from parcelflow.llm import byte_bpe, chat, jaccard_join, language, mixing, quality_model, quality_rules, sharding
+from parcelflow.llm import byte_bpe, chat, jaccard_join, language, mixing, quality_model, quality_rules, sharding, substring_dedup
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,6 +25,11 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(docs, language.fit(language.training_rows(docs)))
 
 
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that stay in every document after passages of 50 words that an earlier one has are cut."""
+    return substring_dedup.digests(_table(spark, sf_dir, "documents"))
+
+
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words that the mix takes of every document, with its source's target."""
     return mixing.mix(_table(spark, sf_dir, "documents"))

@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from parcelflow.llm import quality_rules, queries
+from parcelflow.llm import quality_rules, queries, substring_dedup
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {
     "op1_language_id": queries.op1_language_id,
+    "op2_substring_dedup": queries.op2_substring_dedup,
     "op3_mixing": queries.op3_mixing,
     "op4_quality_rules": queries.op4_quality_rules,
     "op5_quality_classifier": queries.op5_quality_classifier,
@@ -22,5 +23,6 @@ QUERIES: dict[str, Query] = {
 }
 
 ORACLES: dict[str, str] = {
+    "op2_substring_dedup": substring_dedup.ORACLE,
     "op4_quality_rules": quality_rules.ORACLE,
 }
