@@ -7,7 +7,7 @@ from pathlib import Path
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from parcelflow.llm import byte_bpe, chat, jaccard_join, language, mixing, quality_model, quality_rules, sharding, substring_dedup
+from parcelflow.llm import byte_bpe, chat, embedding_dedup, jaccard_join, language, mixing, quality_model, quality_rules, sharding, substring_dedup
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -67,3 +67,8 @@ def op9_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     extra = spark.createDataFrame([(-1, 0, "user", hostile), (-1, 1, "assistant", hostile)], "conv_id long, turn long, role string, text string")
     rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
     return chat.digests(rows, Path(public_tokenizers.path("byte_bpe_50k.json")).read_text())
+
+
+def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and components of all vectors at a cosine of 0.9 or more."""
+    return embedding_dedup.near_duplicates(_table(spark, sf_dir, "embeddings"))

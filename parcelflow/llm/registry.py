@@ -20,6 +20,7 @@ QUERIES: dict[str, Query] = {
     "op7_byte_bpe": queries.op7_byte_bpe,
     "op8_jaccard_join": queries.op8_jaccard_join,
     "op9_chat_formatting": queries.op9_chat_formatting,
+    "op10_embedding_dedup": queries.op10_embedding_dedup,
 }
 
 ORACLES: dict[str, str] = {
