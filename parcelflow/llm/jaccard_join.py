@@ -126,7 +126,7 @@ def _lists(arrays: list[np.ndarray]) -> pa.ListArray:
 def _stars(tokens: DataFrame, key: list[str]) -> DataFrame:
     """Edges (a, b) from each document of a key to the least document of that key."""
     least = tokens.groupBy(*key).agg(F.min("doc_id").alias("b"), F.max("doc_id").alias("most")).where("b < most").drop("most")
-    return tokens.join(least, key).where("doc_id <> b").select(F.col("doc_id").alias("a"), "b").distinct()
+    return tokens.join(least, key).where("doc_id <> b").select(F.col("doc_id").alias("a"), "b")
 
 
 def _level(n: Column, terms: Terms) -> Column:
@@ -278,7 +278,7 @@ def join(docs: DataFrame, words: int = 4, part: int = 85) -> DataFrame:
     signed = checkpointed(signatures(docs, frequency, terms))
     usable = signed.where("doc_id is not null and n > 0")
     coarse = connected_components(_stars(usable.select("doc_id", F.explode("first").alias("token")), ["token"]))
-    within = usable.select("doc_id", "second").join(coarse.withColumnRenamed("id", "doc_id"), "doc_id")
+    within = checkpointed(usable.select("doc_id", "second").join(coarse.withColumnRenamed("id", "doc_id"), "doc_id"))
     fine = connected_components(_stars(within.select("doc_id", "component", F.explode("second").alias("token")), ["component", "token"]))
     grouped = checkpointed(usable.select("doc_id", "n", "h1", "h2").join(fine.select(F.col("id").alias("doc_id"), F.col("component").alias("group")), "doc_id"))
     sets = checkpointed(grouped.groupBy("group", "h1", "h2").agg(F.min("doc_id").alias("doc_id"), F.min("n").alias("n")))

@@ -117,20 +117,20 @@ def _block(seed: int, level: int) -> Callable[[tuple, pd.DataFrame], pd.DataFram
     return run
 
 
-def mix(docs: DataFrame, weights: tuple[float, ...] = (1.0, 2.0, 3.0), share: float = 1.0, most: float = 3.0, seed: int = 11, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """doc_id, size, source_size, target, taken and copies for every document.
+def mix(docs: DataFrame, weights: tuple[float, ...] = (1.0, 2.0, 3.0), share: float = 1.0, most: float = 3.0, seed: int = 11, block_rows: int = BLOCK_ROWS, carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, size, source_size, target, taken, copies and the columns `carry` for every document.
 
     `weights` repeat over the sources in code point order; all targets add up to `share` of
     all words; no target exceeds `most` times its source.
     """
-    sized = checkpointed(docs.select("doc_id", "source", W.word_count(F.col("text")).alias("size")))
+    sized = checkpointed(docs.select("doc_id", "source", *carry, W.word_count(F.col("text")).alias("size")))
     targets = checkpointed(source_targets(sized, weights, share, most))
     rate = F.when(F.col("source_size") > 0, F.least(F.col("target") / F.col("source_size"), F.lit(float(most)))).otherwise(F.lit(0.0))
     rated = sized.join(targets.withColumnRenamed("source", "of"), F.col("source").eqNullSafe(F.col("of"))).drop("of", "source").withColumn("rate", rate)
     base = F.floor(F.col("rate") + F.lit(EPS))
     blocks = F.ceil(F.col("n_docs") / F.lit(float(block_rows)))
     # the size helps to spread rows whose ids are null or equal
-    state = rated.select("doc_id", "size", "source_size", "target", "source_id", base.alias("base"), F.greatest(F.col("rate") - base, F.lit(0.0)).alias("pi"), F.pmod(F.xxhash64("doc_id", "size"), blocks).cast("long").alias("block"), (blocks <= 1).alias("last"))
+    state = rated.select("doc_id", *carry, "size", "source_size", "target", "source_id", base.alias("base"), F.greatest(F.col("rate") - base, F.lit(0.0)).alias("pi"), F.pmod(F.xxhash64("doc_id", "size"), blocks).cast("long").alias("block"), (blocks <= 1).alias("last"))
     schema = state.schema
     done: list[DataFrame] = []
     level = 0
@@ -149,4 +149,4 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (1.0, 2.0, 3.0), share: fl
     for part in done[1:]:
         out = out.unionByName(part)
     copies = F.col("base") + F.round("pi").cast("long")
-    return out.select("doc_id", "size", "source_size", "target", (copies * F.col("size")).alias("taken"), copies.alias("copies"))
+    return out.select("doc_id", "size", "source_size", "target", (copies * F.col("size")).alias("taken"), copies.alias("copies"), *carry)

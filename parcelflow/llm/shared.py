@@ -4,19 +4,22 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """`df` computed once into the folder of spark.checkpoint.dir, with its lineage cut.
-
-    A folder is set here only where the session names none, as in tests.
-    """
-    context = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir, or where that is unset, as in tests, a new one."""
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        folder = spark.conf.get("spark.checkpoint.dir", None)
         context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="parcelflow-"))
+    return context.getCheckpointDir()
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """`df` computed once into the shared folder, with its lineage cut."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
@@ -27,8 +30,9 @@ def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     groups by node with partial aggregation, and hands the minimum back by a join whose hot
     keys can be split. Self edges and repeated edges may be among the input; null ends are not.
     """
+    edges = checkpointed(edges.select("a", "b").distinct())
     nodes = edges.select(F.col("a").alias("id")).union(edges.select(F.col("b").alias("id"))).distinct()
-    now = checkpointed(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
+    now = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
     seen = _checksum(now)
     for _ in range(most_rounds):
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -44,7 +48,7 @@ def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     else:
         raise RuntimeError(f"components did not settle in {most_rounds} rounds")
     found = now.groupBy("u").agg(F.min("v").alias("component"))
-    return nodes.join(found, nodes["id"] == found["u"], "left").select("id", F.coalesce("component", "id").alias("component"))
+    return checkpointed(nodes.join(found, nodes["id"] == found["u"], "left").select("id", F.coalesce("component", "id").alias("component")))
 
 
 def _checksum(edges: DataFrame) -> tuple[int, int]:
