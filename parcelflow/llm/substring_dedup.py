@@ -11,8 +11,10 @@ Documents meet a shard's automaton only where they can match it:
 3. The different runs of a seed are a reference shard. Its runs stream by rising id through a
    suffix automaton of the runs before; where the matching statistic reaches the window, the
    window goes, and the stretches that were not matched are added to the automaton.
-4. A seed with more than `SHARD_RUNS` different runs, the edge of a passage that very many documents
-   share, would make a shard without bound. Its windows meet by a 128-bit hash in an aggregation.
+4. A seed with more than `SHARD_RUNS` different runs, such as one in a line that very many documents
+   hold, is split: windows with most words before the seed go by the words just before it, the others by
+   the words just after. A part that is still crowded, the edge of a passage that very many documents share,
+   would make a shard without bound; its windows meet by a 128-bit hash in an aggregation.
 
 Automata of all shards are not broadcast to all documents: that work would grow with the square of
 the corpus. Null texts have no words. Rows without id are kept whole and are no reference. Rows with
@@ -176,8 +178,26 @@ def _runs(docs: DataFrame, window: int) -> DataFrame:
     return _signed(docs).where("doc_id is not null").mapInArrow(run, "doc_id long, th long, start int, count int, seed long, h1 long, h2 long")
 
 
+def _split_by_context(words: T.Words, begin: int, count: int, seed: int, window: int) -> list[tuple[int, int, int]]:
+    """(first window, number of windows, new seed) of the parts of a run: by the seed's place, and by the words on the side of it that has more."""
+    k = min(SEED_WORDS, window)
+    half = (window - k) // 2
+    starts = np.arange(begin, begin + count + window - k)
+    places = starts[words.ranges(starts, starts + k).view(np.int64) == seed]
+    at = np.arange(begin, begin + count)
+    place = places[np.searchsorted(places, at)]
+    before = place - at >= half
+    low = np.where(before, place - half, place + k)
+    high = np.where(before, place, place + window - half)
+    context = T.mix(words.ranges(low, high) ^ T.mix(np.full(count, seed, np.int64).view(np.uint64), 41), 42) + before.astype(np.uint64)
+    new = np.ones(count, bool)
+    new[1:] = (context[1:] != context[:-1]) | (place[1:] != place[:-1])
+    first = np.flatnonzero(new)
+    return list(zip(first.tolist(), np.diff(np.append(first, count)).tolist(), context[first].view(np.int64).tolist(), strict=True))
+
+
 def _contested(docs: DataFrame, wanted: DataFrame, window: int) -> DataFrame:
-    """The words of the wanted runs, as text; for those of crowded seeds a row with a hash for each window instead."""
+    """The words of the wanted runs, as text; `at` is the run's window that the row begins with, crowded seeds come in parts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -185,51 +205,60 @@ def _contested(docs: DataFrame, wanted: DataFrame, window: int) -> DataFrame:
             ids = batch.column("doc_id").to_pylist()
             for chunk in T.chunks(batch.column("text")):
                 words = T.words_of(chunk)
-                other = T.Words(words.starts, words.ends, words.bounds, T.mix(words.hashes, 31))
-                out: dict[str, list] = {c: [] for c in ("seed", "h1", "h2", "doc_id", "at", "words", "w1", "w2")}
+                out: list[tuple] = []
                 for k in range(chunk.last - chunk.first):
-                    base = words.bounds[k]
                     for r in runs[chunk.first + k]:
-                        begin, end = base + r["start"], base + r["start"] + r["count"] + window - 1
-                        if r["crowded"]:
-                            starts = np.arange(begin, end - window + 1)
-                            w1, w2 = (x.ranges(starts, starts + window).view(np.int64).tolist() for x in (words, other))
-                            texts, at = [None] * len(starts), range(len(starts))
-                        else:
-                            w1, w2, at = [None], [None], [0]
-                            texts = [b" ".join(bytes(chunk.data[a:b]) for a, b in zip(words.starts[begin:end], words.ends[begin:end], strict=True)).decode()]
-                        for c, values in (("words", texts), ("w1", w1), ("w2", w2), ("at", at)):
-                            out[c].extend(values)
-                        for c in ("seed", "h1", "h2"):
-                            out[c].extend([r[c]] * len(texts))
-                        out["doc_id"].extend([ids[chunk.first + k]] * len(texts))
-                kinds = {"words": pa.string(), "at": pa.int32()}
-                yield pa.RecordBatch.from_arrays([pa.array(v, kinds.get(c, pa.int64())) for c, v in out.items()], names=list(out))
+                        begin = words.bounds[k] + r["start"]
+                        parts = _split_by_context(words, begin, r["count"], r["seed"], window) if r["crowded"] else [(0, r["count"], r["seed"])]
+                        for at, n, shard in parts:
+                            low, high = begin + at, begin + at + n + window - 1
+                            text = b" ".join(bytes(chunk.data[a:b]) for a, b in zip(words.starts[low:high], words.ends[low:high], strict=True)).decode()
+                            out.append((shard, r["seed"], r["h1"], r["h2"], ids[chunk.first + k], at, text))
+                columns = list(zip(*out, strict=True)) or [()] * 7
+                kinds = [pa.int64()] * 5 + [pa.int32(), pa.string()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["shard", "seed", "h1", "h2", "doc_id", "at", "words"])
 
     by_row = wanted.groupBy("doc_id", "th").agg(F.collect_list(F.struct("start", "count", "seed", "h1", "h2", "crowded")).alias("runs"))
-    return _signed(docs).join(by_row, ["doc_id", "th"]).select("doc_id", "text", "runs").mapInArrow(run, "seed long, h1 long, h2 long, doc_id long, at int, words string, w1 long, w2 long")
+    return _signed(docs).join(by_row, ["doc_id", "th"]).select("doc_id", "text", "runs").mapInArrow(run, "shard long, seed long, h1 long, h2 long, doc_id long, at int, words string")
+
+
+def _windows(crowded: DataFrame, window: int) -> DataFrame:
+    """A row with a 128-bit hash for each window of the rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for chunk in T.chunks(batch.column("words")):
+                words = T.words_of(chunk)
+                w1, bounds = words.sequences(window)
+                w2, _ = T.Words(words.starts, words.ends, words.bounds, T.mix(words.hashes, 31)).sequences(window)
+                row = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
+                part = batch.slice(chunk.first, chunk.last - chunk.first).take(pa.array(row))
+                at = part.column("at").to_numpy() + np.arange(len(row)) - bounds[:-1][row]
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("seed", "h1", "h2", "doc_id")), pa.array(at, pa.int32()), pa.array(w1.view(np.int64)), pa.array(w2.view(np.int64))], names=["seed", "h1", "h2", "doc_id", "at", "w1", "w2"])
+
+    return crowded.select("seed", "h1", "h2", "doc_id", "at", "words").mapInArrow(run, "seed long, h1 long, h2 long, doc_id long, at int, w1 long, w2 long")
 
 
 def _by_automata(runs: DataFrame, window: int) -> DataFrame:
     """seed, h1, h2 and the repeated stretches of windows (at, n) of the runs whose shard has them earlier."""
-    dealt = runs.select("seed", "h1", "h2", "doc_id", "words").repartition("seed").sortWithinPartitions("seed", "doc_id", "h1", "h2")
+    dealt = runs.select("shard", "seed", "h1", "h2", "doc_id", "at", "words").repartition("shard").sortWithinPartitions("shard", "doc_id", "h1", "h2", "at")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seed: int | None = None
-        shard: list[tuple[int, int, int, list]] = []
+        now: int | None = None
+        shard: list[tuple[int, tuple[int, int, int], int, list]] = []
         out: list[tuple[int, int, int, int, int]] = []
 
         def close() -> None:
             if len(shard) > 1:
-                for (_, h1, h2, _), found in zip(shard, repeated_in_shard([(r[0], r[3]) for r in shard], window), strict=True):
-                    out.extend((seed, h1, h2, at, n) for at, n in found)
+                for (_, key, start, _), found in zip(shard, repeated_in_shard([(r[0], r[3]) for r in shard], window), strict=True):
+                    out.extend((*key, start + at, n) for at, n in found)
 
         for batch in batches:
-            for s, h1, h2, doc_id, words in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if s != seed:
+            for s, seed, h1, h2, doc_id, at, words in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if s != now:
                     close()
-                    seed, shard = s, []
-                shard.append((doc_id, h1, h2, words.split(" ")))
+                    now, shard = s, []
+                shard.append((doc_id, (seed, h1, h2), at, words.split(" ")))
             yield _stretch_batch(out)
             out = []
         close()
@@ -254,10 +283,12 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     wanted = distinct.join(crowd, "seed").select(*key, "f.*", (F.col("n") > SHARD_RUNS).alias("crowded"))
     contested = checkpointed(_contested(docs, wanted, window))
 
-    windows = contested.where("w1 is not null")
+    sizes = checkpointed(contested.groupBy("shard").agg(F.count("*").alias("n")).where("n > 1"))
+    sized = contested.join(sizes, "shard")
+    windows = _windows(sized.where(F.col("n") > SHARD_RUNS), window)
     least = windows.groupBy("w1", "w2").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("w1", "w2", "low")
     by_hash = windows.join(least, ["w1", "w2"]).where("doc_id > low").select(*key, "at", F.lit(1).alias("n"))
-    inner = _by_automata(contested.where("words is not null"), window).unionByName(by_hash)
+    inner = _by_automata(sized.where(F.col("n") <= SHARD_RUNS), window).unionByName(by_hash)
     inner = inner.groupBy(*key).agg(F.collect_list(F.struct("at", "n")).alias("parts"))
 
     judged = shared.join(distinct.select(*key, F.col("f.doc_id").alias("low")), key).join(inner, key, "left")
