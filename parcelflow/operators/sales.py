@@ -14,9 +14,6 @@ from pyspark.sql import functions as F
 
 from parcelflow.functions import dates, stats
 
-PRICE, DAY = F.col, F.col
-NEVER = date(1, 1, 1)
-
 
 def _price() -> Column:
     return F.col("price_eur")
@@ -34,7 +31,7 @@ def area_lifetime_stats(sales: DataFrame) -> DataFrame:
         F.max("date_of_sale").alias("last_sale_date"),
         F.count("*").alias("sales_count"),
         F.median("price_eur").alias("median_price"),
-        F.round(F.avg("price_eur"), 2).alias("avg_price"),
+        stats.mean_money(F.col("price_eur")).alias("avg_price"),
         F.min("price_eur").alias("min_price"),
         F.max("price_eur").alias("max_price"),
     )
@@ -42,7 +39,7 @@ def area_lifetime_stats(sales: DataFrame) -> DataFrame:
 
 def area_monthly_stats(sales: DataFrame) -> DataFrame:
     known = sales.where("county is not null and area_slug is not null")
-    return known.groupBy("county", "area_slug", F.date_format("date_of_sale", "yyyy-MM").alias("year_month")).agg(F.count("*").alias("sales_count"), F.median("price_eur").alias("median_price"), F.round(F.avg("price_eur"), 2).alias("avg_price"))
+    return known.groupBy("county", "area_slug", F.date_format("date_of_sale", "yyyy-MM").alias("year_month")).agg(F.count("*").alias("sales_count"), F.median("price_eur").alias("median_price"), stats.mean_money(F.col("price_eur")).alias("avg_price"))
 
 
 def insights(sales: DataFrame, keys: list[str], as_of: date, price_gate: int = 24, activity_gate: int = 24, gap_gate: int = 6, spread_gate: int = 12, split_gate: int = 8) -> DataFrame:
@@ -79,7 +76,7 @@ def insights(sales: DataFrame, keys: list[str], as_of: date, price_gate: int = 2
         "sales_12m",
         "previous_12m",
         F.col("median_now").alias("median_price"),
-        F.round("mean_now", 2).alias("avg_price"),
+        F.round(F.col("mean_now") + 1e-7, 2).alias("avg_price"),
         F.when(both_prices, F.round(stats.percent_change(F.col("median_now"), F.col("median_before")), 4)).alias("yoy_percent"),
         F.when((F.col("sales_12m") >= price_gate) & (F.col("third_12m") >= price_gate), F.round(stats.percent_change(F.col("median_now"), F.col("median_third")), 4)).alias("three_year_percent"),
         F.when(both_counts, F.round(stats.percent_change(F.col("sales_12m"), F.col("previous_12m")), 4)).alias("activity_percent"),
@@ -132,7 +129,7 @@ def national_snapshots(sales: DataFrame, as_of: date, ranges: dict[str, int | No
             F.col(f"n{k}").alias("sales_count"),
             F.col(f"b{k}").alias("previous_count"),
             F.col(f"m{k}").alias("median_price"),
-            F.round(f"a{k}", 2).alias("avg_price"),
+            F.round(F.col(f"a{k}") + 1e-7, 2).alias("avg_price"),
             F.when((F.col(f"n{k}") >= gate) & (F.col(f"b{k}") >= gate), F.round(stats.percent_change(F.col(f"m{k}"), F.col(f"p{k}")), 4)).alias("median_change"),
             F.when((F.col(f"n{k}") >= gate) & (F.col(f"b{k}") >= gate), F.round(stats.percent_change(F.col(f"n{k}"), F.col(f"b{k}")), 4)).alias("count_change"),
         )
