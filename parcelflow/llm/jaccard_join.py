@@ -4,15 +4,18 @@ Prefix filtering under several global orders. In any one order of all shingles,
 are similar enough share a shingle among their first few. Candidates must do so under three
 orders:
 
-1. Documents that share a prefix shingle of the first order are joined into coarse groups.
-2. Within each coarse group the same is done with the second order, which splits it.
-3. Within the remaining groups the third order filters single pairs, with the sizes; what is
+1. A shingle that few documents have in their prefix of the first order gives those pairs; one that
+   many have puts them in a family. Families are stars around the least document, so that a
+   shingle with n documents costs n rows. As frequent shingles come last, only large groups of near
+   copies make families.
+2. The same is done under the second order, for the documents that met someone. Pairs stay that met
+   under both orders, as a pair or within a family; families are split by those of the second order.
+3. Within the groups that remain the third order filters single pairs, with the sizes; what is
    left is verified exactly on the full sets.
 
 All orders put shingles that are frequent in many documents last (from counts in a table of fixed
-size over all documents) and hash the rest, each order with another salt. Groups are stars
-around their least document, so a shingle with n documents costs n rows, not pairs. Equal sets
-are verified once. A large group is verified in cells of bounded size: sets are dealt by size
+size over all documents) and hash the rest, each order with another salt. Equal sets are verified
+once. A large group is verified in cells of bounded size: sets are dealt by size
 level, only cells of equal and neighbouring levels can hold links, and each pair of such cells is
 a task of its own; what comes out are links that span the cell's components, never all pairs.
 
@@ -41,6 +44,8 @@ FREQUENCY_CELLS = 1 << 18
 #: Sets and shingles that one cell of a large group holds, about.
 CELL_SETS, CELL_SHINGLES = 256, 400_000
 COLUMNS = 4096
+#: Documents of a prefix shingle up to which it gives pairs.
+RARE = 12
 
 
 @dataclass(frozen=True)
@@ -123,10 +128,31 @@ def _lists(arrays: list[np.ndarray]) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat.astype(np.uint64).view(np.int64)))
 
 
-def _stars(tokens: DataFrame, key: list[str]) -> DataFrame:
-    """Edges (a, b) from each document of a key to the least document of that key."""
-    least = tokens.groupBy(*key).agg(F.min("doc_id").alias("b"), F.max("doc_id").alias("most")).where("b < most").drop("most")
-    return tokens.join(least, key).where("doc_id <> b").select(F.col("doc_id").alias("a"), "b")
+def _meetings(tokens: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """From rows (doc_id, token): the pairs (a > b) that rare tokens give, and the families (id, component) of common ones."""
+    counts = tokens.groupBy("token").agg(F.count("*").alias("m"), F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").drop("most")
+    rows = checkpointed(tokens.join(counts, "token"))
+    rare = rows.where(F.col("m") <= RARE).select("token", "doc_id")
+    pairs = rare.withColumnRenamed("doc_id", "a").join(rare.withColumnRenamed("doc_id", "b"), "token").where("a > b").select("a", "b").distinct()
+    return checkpointed(pairs), connected_components(rows.where(F.col("m") > RARE).select(F.col("doc_id").alias("a"), F.col("least").alias("b")))
+
+
+def _within(pairs: DataFrame, families: DataFrame) -> DataFrame:
+    """The pairs whose ends are in one family."""
+    a = families.select(F.col("id").alias("a"), F.col("component").alias("of_a"))
+    b = families.select(F.col("id").alias("b"), F.col("component").alias("of_b"))
+    return pairs.join(a, "a").join(b, "b").where("of_a = of_b").select("a", "b")
+
+
+def _groups(usable: DataFrame) -> DataFrame:
+    """id and component of the documents that met another under both orders."""
+    pairs, families = _meetings(usable.select("doc_id", F.explode("first").alias("token")))
+    met = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).union(families.select("id")).distinct()
+    pairs2, families2 = _meetings(usable.select("doc_id", "second").join(met, "doc_id").select("doc_id", F.explode("second").alias("token")))
+    both = families.join(families2.withColumnRenamed("component", "other"), "id")
+    stars = both.join(both.groupBy("component", "other").agg(F.min("id").alias("b")), ["component", "other"]).select(F.col("id").alias("a"), "b")
+    edges = pairs.join(pairs2, ["a", "b"]).unionByName(_within(pairs, families2)).unionByName(_within(pairs2, families)).unionByName(stars)
+    return connected_components(edges)
 
 
 def _level(n: Column, terms: Terms) -> Column:
@@ -277,9 +303,7 @@ def join(docs: DataFrame, words: int = 4, part: int = 85) -> DataFrame:
     frequency = frequencies(docs, terms)
     signed = checkpointed(signatures(docs, frequency, terms))
     usable = signed.where("doc_id is not null and n > 0")
-    coarse = connected_components(_stars(usable.select("doc_id", F.explode("first").alias("token")), ["token"]))
-    within = checkpointed(usable.select("doc_id", "second").join(coarse.withColumnRenamed("id", "doc_id"), "doc_id"))
-    fine = connected_components(_stars(within.select("doc_id", "component", F.explode("second").alias("token")), ["component", "token"]))
+    fine = _groups(usable)
     grouped = checkpointed(usable.select("doc_id", "n", "h1", "h2").join(fine.select(F.col("id").alias("doc_id"), F.col("component").alias("group")), "doc_id"))
     sets = checkpointed(grouped.groupBy("group", "h1", "h2").agg(F.min("doc_id").alias("doc_id"), F.min("n").alias("n")))
     copies = grouped.join(sets.select("group", "h1", "h2", F.col("doc_id").alias("b")), ["group", "h1", "h2"]).where("doc_id <> b").select(F.col("doc_id").alias("a"), "b")

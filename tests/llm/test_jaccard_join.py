@@ -56,9 +56,10 @@ def make(seed, groups=12, n=160, passage=True):
     return [(k, t, "clash", 1) for k, t in enumerate(rows[:n])]
 
 
-@pytest.mark.parametrize(("seed", "k", "part", "cell"), [(1, 4, 85, 256), (2, 5, 80, 256), (3, 4, 85, 4), (4, 2, 60, 3)])
-def test_matches_brute_force(spark, seed, k, part, cell, monkeypatch):
+@pytest.mark.parametrize(("seed", "k", "part", "cell", "rare"), [(1, 4, 85, 256, 12), (2, 5, 80, 256, 3), (3, 4, 85, 4, 1), (4, 2, 60, 3, 4)])
+def test_matches_brute_force(spark, seed, k, part, cell, rare, monkeypatch):
     monkeypatch.setattr(J, "CELL_SETS", cell)
+    monkeypatch.setattr(J, "RARE", rare)
     rows = make(seed)
     docs = spark.createDataFrame(rows, "doc_id long, text string, component_id string, n int").repartition(4)
     got = sorted(map(tuple, J.join(docs, k, part).collect()), key=str)
