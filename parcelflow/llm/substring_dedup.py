@@ -33,7 +33,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from parcelflow.llm import textarrays as T
-from parcelflow.llm.shared import checkpointed
+from parcelflow.llm import words as W
+from parcelflow.llm.shared import checkpointed, divided
 
 WINDOW = 50
 SEED_WORDS = 8
@@ -219,7 +220,8 @@ def _contested(docs: DataFrame, wanted: DataFrame, window: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["shard", "seed", "h1", "h2", "doc_id", "at", "words"])
 
     by_row = wanted.groupBy("doc_id", "th").agg(F.collect_list(F.struct("start", "count", "seed", "h1", "h2", "crowded")).alias("runs"))
-    return _signed(docs).join(by_row, ["doc_id", "th"]).select("doc_id", "text", "runs").mapInArrow(run, "shard long, seed long, h1 long, h2 long, doc_id long, at int, words string")
+    near, _ = divided(_signed(docs), wanted)
+    return near.join(by_row, ["doc_id", "th"]).select("doc_id", "text", "runs").mapInArrow(run, "shard long, seed long, h1 long, h2 long, doc_id long, at int, words string")
 
 
 def _windows(crowded: DataFrame, window: int) -> DataFrame:
@@ -280,7 +282,7 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     key = ["seed", "h1", "h2"]
     distinct = checkpointed(shared.groupBy(*key).agg(F.min(F.struct("doc_id", "th", "start", "count")).alias("f")))
     crowd = distinct.groupBy("seed").agg(F.count("*").alias("n")).where("n > 1")
-    wanted = distinct.join(crowd, "seed").select(*key, "f.*", (F.col("n") > SHARD_RUNS).alias("crowded"))
+    wanted = checkpointed(distinct.join(crowd, "seed").select(*key, "f.*", (F.col("n") > SHARD_RUNS).alias("crowded")))
     contested = checkpointed(_contested(docs, wanted, window))
 
     sizes = checkpointed(contested.groupBy("shard").agg(F.count("*").alias("n")).where("n > 1"))
@@ -295,7 +297,7 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     whole = F.array(F.struct(F.lit(0).alias("at"), F.col("count").alias("n")))
     parts = F.when(F.col("doc_id") > F.col("low"), whole).otherwise(F.col("parts"))
     spans = judged.where((F.col("doc_id") > F.col("low")) | F.col("parts").isNotNull()).select("doc_id", "th", F.transform(parts, lambda p: F.struct((p["at"] + F.col("start")).alias("at"), p["n"].alias("n"))).alias("spans"))
-    return spans.groupBy("doc_id", "th").agg(F.flatten(F.collect_list("spans")).alias("spans"))
+    return checkpointed(spans.groupBy("doc_id", "th").agg(F.flatten(F.collect_list("spans")).alias("spans")))
 
 
 def _kept(n_words: int, spans: list[dict], window: int) -> np.ndarray:
@@ -308,22 +310,29 @@ def _kept(n_words: int, spans: list[dict], window: int) -> np.ndarray:
 
 
 def digests(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """doc_id, n_words, n_removed and kept_sha256 (of the kept words joined by one space) for every row."""
-    held = _signed(docs).join(repeated_spans(docs, window), ["doc_id", "th"], "left").select("doc_id", "text", "spans")
+    """doc_id, n_words, n_removed and kept_sha256 (of the kept words joined by one space) for every row.
+
+    Only texts that lose words, and few besides, are shuffled to their spans.
+    """
+    spans = repeated_spans(docs, window)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n_words, n_removed, kept = [], [], []
-            for text, spans in zip(batch.column("text").to_pylist(), batch.column("spans").to_pylist(), strict=True):
+            for text, found in zip(batch.column("text").to_pylist(), batch.column("spans").to_pylist(), strict=True):
                 words = (text or "").encode().split()
                 n_words.append(len(words))
-                if spans:
-                    words = list(compress(words, _kept(len(words), spans, window)))
+                words = list(compress(words, _kept(len(words), found, window)))
                 n_removed.append(n_words[-1] - len(words))
                 kept.append(hashlib.sha256(b" ".join(words)).hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.string())], names=["doc_id", "n_words", "n_removed", "kept_sha256"])
 
-    return held.mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    near, _ = divided(_signed(docs), spans)
+    cut = near.join(spans, ["doc_id", "th"]).select("doc_id", "text", "spans").mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    text = F.coalesce("text", F.lit(""))
+    joined = F.regexp_replace(F.btrim(text, F.lit(W.SPACES)), W.SPACE_RUN, " ")
+    whole = _signed(docs).select("doc_id", "th", W.word_count(text).alias("n_words"), F.lit(0).cast("long").alias("n_removed"), F.sha2(joined.cast("binary"), 256).alias("kept_sha256"))
+    return whole.join(spans, ["doc_id", "th"], "left_anti").drop("th").unionByName(cut)
 
 
 def strip(docs: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -331,7 +340,8 @@ def strip(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     between kept words that were neighbours and get a space at a cut; texts with no word left go, n_chars follows."""
     th = F.xxhash64("text")
     spans = repeated_spans(docs, window).select(F.col("doc_id").alias("_id"), F.col("th").alias("_th"), F.col("spans").alias("_spans"))
-    held = docs.join(spans, docs["doc_id"].eqNullSafe(F.col("_id")) & (th == F.col("_th")), "left").drop("_id", "_th")
+    near, rest = divided(docs, spans.withColumnRenamed("_id", "doc_id"))
+    held = near.join(spans, (near["doc_id"] == F.col("_id")) & (th == F.col("_th")), "left").drop("_id", "_th")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -351,7 +361,7 @@ def strip(docs: DataFrame, window: int = WINDOW) -> DataFrame:
                 out["n_chars"] = pa.array([len(t) if s and t is not None else n for t, s, n in zip(texts, spans, batch.column("n_chars").to_pylist(), strict=True)], batch.column("n_chars").type)
             yield pa.RecordBatch.from_arrays(list(out.values()), names=list(out)).filter(pa.array(stays))
 
-    return held.mapInArrow(run, docs.schema)
+    return held.mapInArrow(run, docs.schema).unionByName(rest)
 
 
 ORACLE = r"""
