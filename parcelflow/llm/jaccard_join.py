@@ -37,7 +37,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from parcelflow.llm import textarrays as T
-from parcelflow.llm.shared import checkpointed, connected_components
+from parcelflow.llm.shared import checkpointed, connected_components, divided
 
 #: Cells of the table that counts frequent shingles; its size does not follow the data.
 FREQUENCY_CELLS = 1 << 18
@@ -258,7 +258,8 @@ def _verified(docs: DataFrame, placed: DataFrame, frequency: np.ndarray, terms:
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("own"), part.column("tasks"), _lists(sets_of(chunk, terms.words))], names=["doc_id", "own", "tasks", "shingles"])
 
     task = "struct<group: long, low: long, high: long>"
-    held = docs.select("doc_id", "text").join(placed, "doc_id").mapInArrow(read, f"doc_id long, own long, tasks array<{task}>, shingles array<long>")
+    near, _ = divided(docs.select("doc_id", "text"), placed)
+    held = near.join(placed, "doc_id").mapInArrow(read, f"doc_id long, own long, tasks array<{task}>, shingles array<long>")
     dealt = held.select("doc_id", "own", F.explode("tasks").alias("t"), "shingles").select("t.group", "t.low", "t.high", "doc_id", "own", "shingles")
     dealt = dealt.repartition("group", "low", "high").sortWithinPartitions("group", "low", "high", "doc_id")
 
@@ -307,7 +308,7 @@ def join(docs: DataFrame, words: int = 4, part: int = 85) -> DataFrame:
     grouped = checkpointed(usable.select("doc_id", "n", "h1", "h2").join(fine.select(F.col("id").alias("doc_id"), F.col("component").alias("group")), "doc_id"))
     sets = checkpointed(grouped.groupBy("group", "h1", "h2").agg(F.min("doc_id").alias("doc_id"), F.min("n").alias("n")))
     copies = grouped.join(sets.select("group", "h1", "h2", F.col("doc_id").alias("b")), ["group", "h1", "h2"]).where("doc_id <> b").select(F.col("doc_id").alias("a"), "b")
-    links = _verified(docs, _cells(sets, terms), frequency, terms)
+    links = _verified(docs, checkpointed(_cells(sets, terms)), frequency, terms)
     found = connected_components(copies.unionByName(links))
     out = signed.select("doc_id", F.col("n").alias("n_shingles")).join(found, signed["doc_id"] == found["id"], "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
