@@ -1,10 +1,11 @@
 """Join of documents whose word shingles have a Jaccard similarity of a threshold or more.
 
 Prefix filtering under several global orders. In any one order of all shingles, two sets that
-are similar enough share a shingle among their first few. Candidates must do so under three
+are similar enough share several shingles among their first ones. Candidates must do so under three
 orders:
 
-1. A shingle that few documents have in their prefix of the first order gives those pairs; one that
+1. A document whose prefix holds too few shingles that others' prefixes hold links with none. It goes, its
+   shingles count no more, and others may go for that. Of what stays, a shingle that few documents have in their prefix of the first order gives those pairs; one that
    many have puts them in a family. Families are stars around the least document, so that a
    shingle with n documents costs n rows. As frequent shingles come last, only large groups of near
    copies make families.
@@ -55,8 +56,21 @@ class Terms:
     words: int = 4
     part: int = 85
 
+    def least_overlap(self, n: int) -> int:
+        """Common shingles that a set of n has with any linked one, at least."""
+        return -(-self.part * n // 100)
+
+    def common(self, n: int) -> int:
+        """Shingles that the prefix of a set of n shares with those of larger linked sets, at least; never falls with n."""
+        return n // 10 + 1
+
+    def need(self, n: int) -> int:
+        """Those that it shares with the prefix of any linked set, at least: a linked set has `least_overlap` shingles or more."""
+        return self.common(self.least_overlap(n))
+
     def prefix(self, n: int) -> int:
-        return n + (-self.part * n // 100) + 1  # n - ceil(part * n / 100) + 1
+        """At most n - least_overlap shingles of the set are not in a linked one, so its first `common` ones that are lie within this prefix."""
+        return min(n, n - self.least_overlap(n) + self.common(n))
 
 
 def sets_of(chunk: T.Chunk, size: int) -> list[np.ndarray]:
@@ -106,8 +120,8 @@ def frequencies(docs: DataFrame, terms: Terms) -> np.ndarray:
     return grade
 
 
-def signatures(docs: DataFrame, frequency: np.ndarray, terms: Terms) -> DataFrame:
-    """doc_id, n, h1, h2 (a 128-bit hash of the set) and the prefixes `first` and `second` under two orders."""
+def signatures(docs: DataFrame, frequency: np.ndarray, terms: Terms, order: int) -> DataFrame:
+    """doc_id, n, h1, h2 (a 128-bit hash of the set), common, need, and the prefix under an order."""
     shared = docs.sparkSession.sparkContext.broadcast(frequency)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -116,10 +130,11 @@ def signatures(docs: DataFrame, frequency: np.ndarray, terms: Terms) -> DataFram
                 sets = sets_of(chunk, terms.words)
                 part = batch.column("doc_id").slice(chunk.first, chunk.last - chunk.first)
                 hashes = [pa.array(np.array([T.mix(s, salt).sum(dtype=np.uint64) if len(s) else 0 for s in sets], np.uint64).view(np.int64)) for salt in (21, 22)]
-                prefixes = [_lists([prefix_of(s, order, shared.value, terms) for s in sets]) for order in (1, 2)]
-                yield pa.RecordBatch.from_arrays([part, pa.array([len(s) for s in sets], pa.int64()), *hashes, *prefixes], names=["doc_id", "n", "h1", "h2", "first", "second"])
+                prefix = _lists([prefix_of(s, order, shared.value, terms) for s in sets])
+                bounds = [pa.array([f(len(s)) for s in sets], pa.int32()) for f in (terms.common, terms.need)]
+                yield pa.RecordBatch.from_arrays([part, pa.array([len(s) for s in sets], pa.int64()), *hashes, *bounds, prefix], names=["doc_id", "n", "h1", "h2", "common", "need", "prefix"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, h1 long, h2 long, first array<long>, second array<long>")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, h1 long, h2 long, common int, need int, prefix array<long>")
 
 
 def _lists(arrays: list[np.ndarray]) -> pa.ListArray:
@@ -128,13 +143,23 @@ def _lists(arrays: list[np.ndarray]) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat.astype(np.uint64).view(np.int64)))
 
 
-def _meetings(tokens: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """From rows (doc_id, token): the pairs (a > b) that rare tokens give, and the families (id, component) of common ones."""
-    counts = tokens.groupBy("token").agg(F.count("*").alias("m"), F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").drop("most")
+def _meetings(tokens: DataFrame, sizes: DataFrame, rounds: int = 3) -> tuple[DataFrame, DataFrame]:
+    """From prefixes (doc_id, token) and sizes (doc_id, common, need): the pairs (a > b) that may link by rare tokens, and the families (id, component) of common ones."""
+    counts = tokens.groupBy("token").agg(F.count("*").alias("m")).where("m > 1").select("token")
     rows = checkpointed(tokens.join(counts, "token"))
-    rare = rows.where(F.col("m") <= RARE).select("token", "doc_id")
-    pairs = rare.withColumnRenamed("doc_id", "a").join(rare.withColumnRenamed("doc_id", "b"), "token").where("a > b").select("a", "b").distinct()
-    return checkpointed(pairs), connected_components(rows.where(F.col("m") > RARE).select(F.col("doc_id").alias("a"), F.col("least").alias("b")))
+    for _ in range(rounds):
+        enough = rows.groupBy("doc_id").agg(F.count("*").alias("have")).join(sizes, "doc_id").where("have >= need").select("doc_id").distinct()
+        held = rows.join(enough, "doc_id")
+        again = held.groupBy("token").agg(F.count("*").alias("m"), F.min("doc_id").alias("least")).where("m > 1")
+        marks = checkpointed(held.join(again, "token"))
+        rows = marks.select("doc_id", "token")
+    rare = marks.where(F.col("m") <= RARE).select("token", "doc_id")
+    hot = marks.groupBy("doc_id").agg(F.count_if(F.col("m") > RARE).alias("hot")).join(sizes.select("doc_id", "common").distinct(), "doc_id")
+    shared = rare.withColumnRenamed("doc_id", "a").join(rare.withColumnRenamed("doc_id", "b"), "token").where("a > b").groupBy("a", "b").agg(F.count("*").alias("n"))
+    of_a, of_b = (hot.select(F.col("doc_id").alias(x), F.col("hot").alias(f"hot_{x}"), F.col("common").alias(f"common_{x}")) for x in "ab")
+    may = F.col("n") + F.least("hot_a", "hot_b") >= F.least("common_a", "common_b")
+    pairs = checkpointed(shared.join(of_a, "a").join(of_b, "b").where(may).select("a", "b").distinct())
+    return pairs, connected_components(marks.where(F.col("m") > RARE).select(F.col("doc_id").alias("a"), F.col("least").alias("b")))
 
 
 def _within(pairs: DataFrame, families: DataFrame) -> DataFrame:
@@ -144,11 +169,14 @@ def _within(pairs: DataFrame, families: DataFrame) -> DataFrame:
     return pairs.join(a, "a").join(b, "b").where("of_a = of_b").select("a", "b")
 
 
-def _groups(usable: DataFrame) -> DataFrame:
+def _groups(docs: DataFrame, usable: DataFrame, frequency: np.ndarray, terms: Terms) -> DataFrame:
     """id and component of the documents that met another under both orders."""
-    pairs, families = _meetings(usable.select("doc_id", F.explode("first").alias("token")))
-    met = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).union(families.select("id")).distinct()
-    pairs2, families2 = _meetings(usable.select("doc_id", "second").join(met, "doc_id").select("doc_id", F.explode("second").alias("token")))
+    sizes = usable.select("doc_id", "common", "need")
+    pairs, families = _meetings(usable.select("doc_id", F.explode("prefix").alias("token")), sizes)
+    met = checkpointed(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).union(families.select("id")).distinct())
+    near, _ = divided(docs, met)
+    second = checkpointed(signatures(near, frequency, terms, 2).join(met, "doc_id").select("doc_id", "common", "need", "prefix"))
+    pairs2, families2 = _meetings(second.select("doc_id", F.explode("prefix").alias("token")), second.select("doc_id", "common", "need"))
     both = families.join(families2.withColumnRenamed("component", "other"), "id")
     stars = both.join(both.groupBy("component", "other").agg(F.min("id").alias("b")), ["component", "other"]).select(F.col("id").alias("a"), "b")
     edges = pairs.join(pairs2, ["a", "b"]).unionByName(_within(pairs, families2)).unionByName(_within(pairs2, families)).unionByName(stars)
@@ -228,9 +256,11 @@ def links_within(ids: list[int], own: list[int], sets: list[np.ndarray], same: b
     if not same:
         side = np.array(own)
         open_ &= side[:, None] != side[None, :]
+    own_common = np.array([terms.common(k) for k in n])
+    common = np.minimum(own_common[:, None], own_common[None, :])
     for order in (1, 2, 3):
         if open_.any():
-            open_ &= _shared_counts([prefix_of(s, order, frequency, terms) for s in sets]) > 0
+            open_ &= _shared_counts([prefix_of(s, order, frequency, terms) for s in sets]) >= common
     forest = _Forest(m)
     pairs = np.argwhere(open_)
     if len(pairs) > 4 * m:
@@ -302,9 +332,9 @@ def join(docs: DataFrame, words: int = 4, part: int = 85) -> DataFrame:
     """doc_id, n_shingles and component_id (the least id reachable by links) for every row."""
     terms = Terms(words, part)
     frequency = frequencies(docs, terms)
-    signed = checkpointed(signatures(docs, frequency, terms))
+    signed = checkpointed(signatures(docs, frequency, terms, 1))
     usable = signed.where("doc_id is not null and n > 0")
-    fine = _groups(usable)
+    fine = _groups(docs, usable, frequency, terms)
     grouped = checkpointed(usable.select("doc_id", "n", "h1", "h2").join(fine.select(F.col("id").alias("doc_id"), F.col("component").alias("group")), "doc_id"))
     sets = checkpointed(grouped.groupBy("group", "h1", "h2").agg(F.min("doc_id").alias("doc_id"), F.min("n").alias("n")))
     copies = grouped.join(sets.select("group", "h1", "h2", F.col("doc_id").alias("b")), ["group", "h1", "h2"]).where("doc_id <> b").select(F.col("doc_id").alias("a"), "b")

@@ -86,4 +86,5 @@ def test_prefixes_of_linked_sets_meet():
                 if 100 * (n - drop) >= part * n:
                     b = a[rng.permutation(n)[drop:]]
                     for order in (1, 2, 3):
-                        assert np.intersect1d(J.prefix_of(a, order, frequency, terms), J.prefix_of(b, order, frequency, terms)).size
+                        met = np.intersect1d(J.prefix_of(a, order, frequency, terms), J.prefix_of(b, order, frequency, terms)).size
+                        assert met >= min(terms.common(len(a)), terms.common(len(b))) >= max(terms.need(len(a)), 1)
