@@ -38,7 +38,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from parcelflow.llm import textarrays as T
-from parcelflow.llm.shared import checkpointed, connected_components, divided
+from parcelflow.llm.shared import Scratch, checkpointed, connected_components, divided
 
 #: Cells of the table that counts frequent shingles; its size does not follow the data.
 FREQUENCY_CELLS = 1 << 18
@@ -143,15 +143,17 @@ def _lists(arrays: list[np.ndarray]) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat.astype(np.uint64).view(np.int64)))
 
 
-def _meetings(tokens: DataFrame, sizes: DataFrame, rounds: int = 3) -> tuple[DataFrame, DataFrame]:
+def _meetings(tokens: DataFrame, sizes: DataFrame, scratch: Scratch, name: str, rounds: int = 2) -> tuple[DataFrame, DataFrame]:
     """From prefixes (doc_id, token) and sizes (doc_id, common, need): the pairs (a > b) that may link by rare tokens, and the families (id, component) of common ones."""
     counts = tokens.groupBy("token").agg(F.count("*").alias("m")).where("m > 1").select("token")
-    rows = checkpointed(tokens.join(counts, "token"))
-    for _ in range(rounds):
-        enough = rows.groupBy("doc_id").agg(F.count("*").alias("have")).join(sizes, "doc_id").where("have >= need").select("doc_id").distinct()
-        held = rows.join(enough, "doc_id")
+    rows = scratch.write(tokens.join(counts, "token"), f"{name}-met")
+    for turn in range(rounds):
+        enough = checkpointed(rows.groupBy("doc_id").agg(F.count("*").alias("have")).join(sizes, "doc_id").where("have >= need").select("doc_id").distinct())
+        near, _ = divided(rows, enough)
+        held = near.join(enough, "doc_id")
         again = held.groupBy("token").agg(F.count("*").alias("m"), F.min("doc_id").alias("least")).where("m > 1")
-        marks = checkpointed(held.join(again, "token"))
+        marks = scratch.write(held.join(again, "token").select("doc_id", "token", "m", "least"), f"{name}-{turn}")
+        scratch.drop(f"{name}-{turn - 1}" if turn else f"{name}-met")
         rows = marks.select("doc_id", "token")
     rare = marks.where(F.col("m") <= RARE).select("token", "doc_id")
     hot = marks.groupBy("doc_id").agg(F.count_if(F.col("m") > RARE).alias("hot")).join(sizes.select("doc_id", "common").distinct(), "doc_id")
@@ -159,7 +161,9 @@ def _meetings(tokens: DataFrame, sizes: DataFrame, rounds: int = 3) -> tuple[Dat
     of_a, of_b = (hot.select(F.col("doc_id").alias(x), F.col("hot").alias(f"hot_{x}"), F.col("common").alias(f"common_{x}")) for x in "ab")
     may = F.col("n") + F.least("hot_a", "hot_b") >= F.least("common_a", "common_b")
     pairs = checkpointed(shared.join(of_a, "a").join(of_b, "b").where(may).select("a", "b").distinct())
-    return pairs, connected_components(marks.where(F.col("m") > RARE).select(F.col("doc_id").alias("a"), F.col("least").alias("b")))
+    families = connected_components(marks.where(F.col("m") > RARE).select(F.col("doc_id").alias("a"), F.col("least").alias("b")))
+    scratch.drop(f"{name}-{rounds - 1}")
+    return pairs, families
 
 
 def _within(pairs: DataFrame, families: DataFrame) -> DataFrame:
@@ -169,14 +173,15 @@ def _within(pairs: DataFrame, families: DataFrame) -> DataFrame:
     return pairs.join(a, "a").join(b, "b").where("of_a = of_b").select("a", "b")
 
 
-def _groups(docs: DataFrame, usable: DataFrame, frequency: np.ndarray, terms: Terms) -> DataFrame:
+def _groups(docs: DataFrame, usable: DataFrame, frequency: np.ndarray, terms: Terms, scratch: Scratch) -> DataFrame:
     """id and component of the documents that met another under both orders."""
     sizes = usable.select("doc_id", "common", "need")
-    pairs, families = _meetings(usable.select("doc_id", F.explode("prefix").alias("token")), sizes)
+    pairs, families = _meetings(usable.select("doc_id", F.explode("prefix").alias("token")), sizes, scratch, "first")
     met = checkpointed(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).union(families.select("id")).distinct())
     near, _ = divided(docs, met)
-    second = checkpointed(signatures(near, frequency, terms, 2).join(met, "doc_id").select("doc_id", "common", "need", "prefix"))
-    pairs2, families2 = _meetings(second.select("doc_id", F.explode("prefix").alias("token")), second.select("doc_id", "common", "need"))
+    second = scratch.write(signatures(near, frequency, terms, 2).join(met, "doc_id").select("doc_id", "common", "need", "prefix"), "prefixes2")
+    pairs2, families2 = _meetings(second.select("doc_id", F.explode("prefix").alias("token")), second.select("doc_id", "common", "need"), scratch, "second")
+    scratch.drop("prefixes2")
     both = families.join(families2.withColumnRenamed("component", "other"), "id")
     stars = both.join(both.groupBy("component", "other").agg(F.min("id").alias("b")), ["component", "other"]).select(F.col("id").alias("a"), "b")
     edges = pairs.join(pairs2, ["a", "b"]).unionByName(_within(pairs, families2)).unionByName(_within(pairs2, families)).unionByName(stars)
@@ -332,9 +337,13 @@ def join(docs: DataFrame, words: int = 4, part: int = 85) -> DataFrame:
     """doc_id, n_shingles and component_id (the least id reachable by links) for every row."""
     terms = Terms(words, part)
     frequency = frequencies(docs, terms)
-    signed = checkpointed(signatures(docs, frequency, terms, 1))
+    scratch = Scratch(docs.sparkSession)
+    prefixes = scratch.write(signatures(docs, frequency, terms, 1), "prefixes")
+    signed = scratch.write(prefixes.drop("prefix"), "signed")
+    usable = prefixes.where("doc_id is not null and n > 0")
+    fine = _groups(docs, usable, frequency, terms, scratch)
+    scratch.drop("prefixes")
     usable = signed.where("doc_id is not null and n > 0")
-    fine = _groups(docs, usable, frequency, terms)
     grouped = checkpointed(usable.select("doc_id", "n", "h1", "h2").join(fine.select(F.col("id").alias("doc_id"), F.col("component").alias("group")), "doc_id"))
     sets = checkpointed(grouped.groupBy("group", "h1", "h2").agg(F.min("doc_id").alias("doc_id"), F.min("n").alias("n")))
     copies = grouped.join(sets.select("group", "h1", "h2", F.col("doc_id").alias("b")), ["group", "h1", "h2"]).where("doc_id <> b").select(F.col("doc_id").alias("a"), "b")
