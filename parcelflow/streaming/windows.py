@@ -60,7 +60,7 @@ def type_changes(events: DataFrame) -> DataFrame:
     State is the last type of each user. Rows of a micro-batch are taken in order of time within
     each Arrow batch of a user, as the source delivers them.
     """
-    slim = events.select("user_id", "event_id", "event_type", "ts").repartition("user_id").sortWithinPartitions("user_id", "ts", "event_id") if not events.isStreaming else events.select("user_id", "event_id", "event_type", "ts")
+    slim = events.select("user_id", "event_id", "event_type", "ts")
     return slim.groupBy("user_id").applyInPandasWithState(_changes, "user_id long, event_id long, was string, now string", "last string", "append", GroupStateTimeout.NoTimeout)
 
 
