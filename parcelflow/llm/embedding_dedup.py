@@ -257,3 +257,13 @@ def near_duplicates(vectors: DataFrame, least: float = 0.9, probes: int = PROBES
     out = keyed.select("vec_id", "key").join(by_vector, "key", "left")
     component = F.coalesce("component_id", "vec_id")
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(False)).alias("kept"))
+
+
+ORACLE = """
+with recursive e as (select vec_id, embedding::double[] as v from embeddings),
+k as (select * from e where v is not null and len(list_filter(v, lambda x: x is null or isnan(x) or isinf(x))) = 0 and len(list_filter(v, lambda x: x <> 0)) > 0),
+l as (select a.vec_id as a, b.vec_id as b from k a, k b where a.vec_id <> b.vec_id and list_inner_product(a.v, b.v) / (sqrt(list_inner_product(a.v, a.v)) * sqrt(list_inner_product(b.v, b.v))) >= 0.9),
+r(vec_id, reach) as (select vec_id, vec_id from e union select r.vec_id, l.b from r join l on r.reach = l.a),
+c as (select vec_id, min(reach) as component_id from r group by 1), n as (select a as vec_id, count(*) as n from l group by 1)
+select e.vec_id, coalesce(n.n, 0)::bigint as n_links, component_id, e.vec_id = component_id as kept from e join c using (vec_id) left join n using (vec_id)
+"""

@@ -351,3 +351,16 @@ def join(docs: DataFrame, words: int = 4, part: int = 85) -> DataFrame:
     found = connected_components(copies.unionByName(links))
     out = signed.select("doc_id", F.col("n").alias("n_shingles")).join(found, signed["doc_id"] == found["id"], "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+
+
+ORACLE = r"""
+with recursive w as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents),
+s as (select distinct doc_id, g from (
+  select doc_id, array_to_string(w[i:i + 3], ' ') as g from (select doc_id, w, unnest(range(1, len(w) - 2)) as i from w where len(w) >= 4)
+  union all select doc_id, array_to_string(w, ' ') from w where len(w) between 1 and 3)),
+n as (select doc_id, count(*) as n from s group by 1),
+p as (select a.doc_id as a, b.doc_id as b, count(*) as c from s a join s b on a.g = b.g and a.doc_id <> b.doc_id group by 1, 2),
+l as (select a, b from p join n x on a = x.doc_id join n y on b = y.doc_id where 100 * c >= 85 * (x.n + y.n - c)),
+r(doc_id, reach) as (select doc_id, doc_id from w union select r.doc_id, l.b from r join l on r.reach = l.a)
+select w.doc_id, coalesce(n.n, 0)::bigint as n_shingles, min(reach) as component_id from w left join n using (doc_id) join r on r.doc_id = w.doc_id group by 1, 2
+"""

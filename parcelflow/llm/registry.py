@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from parcelflow.llm import quality_rules, queries, substring_dedup
+from parcelflow.llm import chat, embedding_dedup, jaccard_join, quality_rules, queries, substring_dedup
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -26,4 +26,7 @@ QUERIES: dict[str, Query] = {
 ORACLES: dict[str, str] = {
     "op2_substring_dedup": substring_dedup.ORACLE,
     "op4_quality_rules": quality_rules.ORACLE,
+    "op8_jaccard_join": jaccard_join.ORACLE,
+    "op9_chat_formatting": chat.ORACLE,
+    "op10_embedding_dedup": embedding_dedup.ORACLE,
 }
