@@ -43,7 +43,7 @@ from parcelflow.llm.shared import Scratch, checkpointed, connected_components, d
 #: Cells of the table that counts frequent shingles; its size does not follow the data.
 FREQUENCY_CELLS = 1 << 18
 #: Sets and shingles that one cell of a large group holds, about.
-CELL_SETS, CELL_SHINGLES = 256, 400_000
+CELL_SETS, CELL_SHINGLES = 512, 400_000
 COLUMNS = 4096
 #: Documents of a prefix shingle up to which it gives pairs.
 RARE = 12
@@ -60,17 +60,20 @@ class Terms:
         """Common shingles that a set of n has with any linked one, at least."""
         return -(-self.part * n // 100)
 
-    def common(self, n: int) -> int:
-        """Shingles that the prefix of a set of n shares with those of larger linked sets, at least; never falls with n."""
-        return n // 10 + 1
+    def common(self, n: int, order: int) -> int:
+        """Shingles that the prefix of a set of n shares with those of larger linked sets, at least; never falls with n.
 
-    def need(self, n: int) -> int:
+        The first order sees all documents and keeps prefixes short; the others see few and ask for more.
+        """
+        return (1 if order == 1 else 4) * n // 10 + 1
+
+    def need(self, n: int, order: int) -> int:
         """Those that it shares with the prefix of any linked set, at least: a linked set has `least_overlap` shingles or more."""
-        return self.common(self.least_overlap(n))
+        return self.common(self.least_overlap(n), order)
 
-    def prefix(self, n: int) -> int:
+    def prefix(self, n: int, order: int) -> int:
         """At most n - least_overlap shingles of the set are not in a linked one, so its first `common` ones that are lie within this prefix."""
-        return min(n, n - self.least_overlap(n) + self.common(n))
+        return min(n, n - self.least_overlap(n) + self.common(n, order))
 
 
 def sets_of(chunk: T.Chunk, size: int) -> list[np.ndarray]:
@@ -93,7 +96,7 @@ def ranks(shingles: np.ndarray, order: int, frequency: np.ndarray) -> np.ndarray
 def prefix_of(shingles: np.ndarray, order: int, frequency: np.ndarray, terms: Terms) -> np.ndarray:
     if not len(shingles):
         return shingles
-    p = terms.prefix(len(shingles))
+    p = terms.prefix(len(shingles), order)
     return shingles[np.argpartition(ranks(shingles, order, frequency), p - 1)[:p]]
 
 
@@ -131,7 +134,7 @@ def signatures(docs: DataFrame, frequency: np.ndarray, terms: Terms, order: int)
                 part = batch.column("doc_id").slice(chunk.first, chunk.last - chunk.first)
                 hashes = [pa.array(np.array([T.mix(s, salt).sum(dtype=np.uint64) if len(s) else 0 for s in sets], np.uint64).view(np.int64)) for salt in (21, 22)]
                 prefix = _lists([prefix_of(s, order, shared.value, terms) for s in sets])
-                bounds = [pa.array([f(len(s)) for s in sets], pa.int32()) for f in (terms.common, terms.need)]
+                bounds = [pa.array([f(len(s), order) for s in sets], pa.int32()) for f in (terms.common, terms.need)]
                 yield pa.RecordBatch.from_arrays([part, pa.array([len(s) for s in sets], pa.int64()), *hashes, *bounds, prefix], names=["doc_id", "n", "h1", "h2", "common", "need", "prefix"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, h1 long, h2 long, common int, need int, prefix array<long>")
@@ -261,9 +264,9 @@ def links_within(ids: list[int], own: list[int], sets: list[np.ndarray], same: b
     if not same:
         side = np.array(own)
         open_ &= side[:, None] != side[None, :]
-    own_common = np.array([terms.common(k) for k in n])
-    common = np.minimum(own_common[:, None], own_common[None, :])
     for order in (1, 2, 3):
+        own_common = np.array([terms.common(k, order) for k in n])
+        common = np.minimum(own_common[:, None], own_common[None, :])
         if open_.any():
             open_ &= _shared_counts([prefix_of(s, order, frequency, terms) for s in sets]) >= common
     forest = _Forest(m)

@@ -87,4 +87,4 @@ def test_prefixes_of_linked_sets_meet():
                     b = a[rng.permutation(n)[drop:]]
                     for order in (1, 2, 3):
                         met = np.intersect1d(J.prefix_of(a, order, frequency, terms), J.prefix_of(b, order, frequency, terms)).size
-                        assert met >= min(terms.common(len(a)), terms.common(len(b))) >= max(terms.need(len(a)), 1)
+                        assert met >= min(terms.common(len(a), order), terms.common(len(b), order)) >= max(terms.need(len(a), order), 1)
