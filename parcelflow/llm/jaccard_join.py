@@ -43,8 +43,10 @@ from parcelflow.llm.shared import Scratch, checkpointed, connected_components, d
 #: Cells of the table that counts frequent shingles; its size does not follow the data.
 FREQUENCY_CELLS = 1 << 18
 #: Sets and shingles that one cell of a large group holds, about.
-CELL_SETS, CELL_SHINGLES = 512, 400_000
+CELL_SETS, CELL_SHINGLES = 1024, 1_500_000
 COLUMNS = 4096
+#: Lists of one task that share a value from which it counts by matrix products.
+COMMON = 48
 #: Documents of a prefix shingle up to which it gives pairs.
 RARE = 12
 
@@ -235,22 +237,40 @@ class _Forest:
 
 
 def _shared_counts(lists: list[np.ndarray]) -> np.ndarray:
-    """Number of values that each two of the lists share, by products of incidence matrices in column blocks."""
+    """Number of values that each two of the lists share: of common values by products of incidence matrices in column blocks, of others by counting pairs."""
     m = len(lists)
     owner = np.repeat(np.arange(m), [len(x) for x in lists])
-    values, at, many = np.unique(np.concatenate(lists), return_inverse=True, return_counts=True)
-    keep = many > 1
-    column = (np.cumsum(keep) - 1)[at]
-    owner, column = owner[keep[at]], column[keep[at]]
-    by_column = np.argsort(column, kind="stable")
-    owner, column = owner[by_column], column[by_column]
+    order = np.argsort(np.concatenate(lists), kind="stable")
+    values, owner = np.concatenate(lists)[order], owner[order]
+    starts = np.flatnonzero(np.r_[True, values[1:] != values[:-1]]) if len(values) else np.empty(0, np.int64)
+    many = np.diff(np.append(starts, len(values)))
     out = np.zeros((m, m), np.float32)
-    for start in range(0, int(keep.sum()), COLUMNS):
+
+    common = np.flatnonzero(many > COMMON)
+    rows = owner[np.repeat(starts[common], many[common]) + _counted(many[common])]
+    column = np.repeat(np.arange(len(common)), many[common])
+    for start in range(0, len(common), COLUMNS):
         a, b = np.searchsorted(column, [start, start + COLUMNS])
-        block = np.zeros((m, COLUMNS), np.float32)
-        block[owner[a:b], column[a:b] - start] = 1
+        block = np.zeros((m, min(COLUMNS, len(common) - start)), np.float32)
+        block[rows[a:b], column[a:b] - start] = 1
         out += block @ block.T
-    return out
+
+    light = np.flatnonzero((many > 1) & (many <= COMMON))
+    first, size = starts[light], many[light]
+    pairs = np.zeros(m * m, np.int64)
+    for gap in range(1, COMMON):
+        first, size = first[size > gap], size[size > gap]
+        if not len(first):
+            break
+        at = np.repeat(first, size - gap) + _counted(size - gap)
+        pairs += np.bincount(owner[at] * m + owner[at + gap], minlength=m * m)
+    pairs = pairs.reshape(m, m).astype(np.float32)
+    return out + pairs + pairs.T
+
+
+def _counted(sizes: np.ndarray) -> np.ndarray:
+    """0 to size - 1 for each size, in a row."""
+    return np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
 
 
 def links_within(ids: list[int], own: list[int], sets: list[np.ndarray], same: bool, frequency: np.ndarray, terms: Terms) -> list[tuple[int, int]]:

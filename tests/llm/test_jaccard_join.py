@@ -88,3 +88,17 @@ def test_prefixes_of_linked_sets_meet():
                     for order in (1, 2, 3):
                         met = np.intersect1d(J.prefix_of(a, order, frequency, terms), J.prefix_of(b, order, frequency, terms)).size
                         assert met >= min(terms.common(len(a), order), terms.common(len(b), order)) >= max(terms.need(len(a), order), 1)
+
+
+@pytest.mark.parametrize("common", [1, 3, 48])
+def test_shared_counts(common, monkeypatch):
+    monkeypatch.setattr(J, "COMMON", common)
+    monkeypatch.setattr(J, "COLUMNS", 7)
+    rng = np.random.default_rng(common)
+    lists = [np.unique(rng.integers(0, 60, n).astype(np.uint64)) for n in (0, 1, 5, 40, 40, 80, 3)]
+    got = J._shared_counts(lists)
+    for a in range(len(lists)):
+        for b in range(len(lists)):
+            if a != b:
+                assert got[a, b] == len(np.intersect1d(lists[a], lists[b]))
+    assert J._shared_counts([np.empty(0, np.uint64)] * 2).sum() == 0
