@@ -124,6 +124,17 @@ def ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.active_ranges(applications(spark, sf_dir).where("id % 7 = 0"), SALES_AS_OF)
 
 
+@query(
+    "w6_active_ranges_all",
+    f"""with {APPLICATIONS}, m as (select authority, cast(date_trunc('month', registration_date) as date) as month, count(*) as n from applications where registration_date <= {DAY} group by all),
+    i as (select *, year(month) * 12 + month(month) - 1 - row_number() over (partition by authority order by month) as island from m)
+    select authority, min(month) as start_date, least(last_day(max(month)), {DAY}) as end_date, sum(n)::bigint as rows, count(*) as months from i group by authority, island""",
+)
+def all_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Islands of active months of all applications."""
+    return P.active_ranges(applications(spark, sf_dir), SALES_AS_OF)
+
+
 @query(
     "c12_refresh_cohort",
     f"""with {APPLICATIONS}, {snapshot_sql('n', SALES_AS_OF)}, r as (select id, authority, state, case when state = 'registered' and registration_date >= {DAY} - 365 then 'recent'

@@ -228,6 +228,35 @@ def grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.agg(F.count("*").alias("n"), F.round(F.max(away), 2).alias("worst_metre"))
 
 
+def _round_trip_sql() -> str:
+    """The series of both ways for DuckDB, over rows of `applications`; `p` holds positions, `b` the way back of those inside the box."""
+    add = lambda first, terms: " ".join([first, *terms])
+    x = add("xi", [f"- ({c!r}) * sin({2 * j} * xi) * cosh({2 * j} * eta)" for j, c in enumerate(geo._BACK, 1)])
+    y = add("eta", [f"- ({c!r}) * cos({2 * j} * xi) * sinh({2 * j} * eta)" for j, c in enumerate(geo._BACK, 1)])
+    lat = add("chi", [f"+ ({c!r}) * sin({2 * j} * chi)" for j, c in enumerate(geo._LATITUDE, 1)])
+    east = add("eta", [f"+ ({c!r}) * cos({2 * j} * xi) * sinh({2 * j} * eta)" for j, c in enumerate(geo._FORWARD, 1)])
+    north = add("xi", [f"+ ({c!r}) * sin({2 * j} * xi) * cosh({2 * j} * eta)" for j, c in enumerate(geo._FORWARD, 1)])
+    return f"""r as (select grid_easting::double as e, grid_northing::double as n, (grid_northing - {geo.FALSE_N!r} + {geo._NORTH0!r}) / {geo._RADIUS!r} as xi, (grid_easting - {geo.FALSE_E!r}) / {geo._RADIUS!r} as eta from applications),
+    c as (select e, n, {x} as x, {y} as y from r), d as (select *, asin(sin(x) / cosh(y)) as chi from c), p as (select e, n, {lat} as phi, {geo.LNG0!r} + atan2(sinh(y), cos(x)) as lam from d),
+    q as (select e, n, phi, lam - {geo.LNG0!r} as lam, sinh(atanh(sin(phi)) - {geo._K!r} * atanh({geo._K!r} * sin(phi))) as t from p where e between 400000 and 800000 and n between 450000 and 1000000 and degrees(phi) between 51 and 56 and degrees(lam) between -11 and -5),
+    s as (select e, n, atan2(t, cos(lam)) as xi, atanh(sin(lam) / sqrt(1 + t * t)) as eta from q),
+    b as (select e, n, {geo.FALSE_E!r} + {geo._RADIUS!r} * ({east}) as e2, {geo.FALSE_N!r} - {geo._NORTH0!r} + {geo._RADIUS!r} * ({north}) as n2 from s)"""
+
+
+@query(
+    "g2_g3_grid_round_trip_all",
+    f"""with {APPLICATIONS}, {_round_trip_sql()}, k as (select count(*) as n, max(sqrt((e2 - e) ** 2 + (n2 - n) ** 2)) as worst from b)
+    select k.n as n, (select count(*) from applications) - k.n as outside, round(worst, 2) as worst_metre from k""",
+)
+def whole_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Round trips of every grid position that both ways accept; the others are counted as outside."""
+    rows = applications(spark, sf_dir).select(F.col("grid_easting").cast("double").alias("e"), F.col("grid_northing").cast("double").alias("n"))
+    there = rows.select("e", "n", geo.from_grid(F.col("e"), F.col("n")).alias("p"))
+    back = there.select("e", "n", geo.to_grid(F.col("p.lat"), F.col("p.lng")).alias("g"))
+    away = F.hypot(F.col("g.easting") - F.col("e"), F.col("g.northing") - F.col("n"))
+    return back.agg(F.count("g").alias("n"), F.count_if(F.col("g").isNull()).alias("outside"), F.round(F.max(away), 2).alias("worst_metre"))
+
+
 @query(
     "j16_within_radius",
     f"""with {APPLICATIONS}, p as (select id, 51.5 + (id * 7919 % 40000) / 10000.0 as lat, -10.0 + (id * 104729 % 45000) / 10000.0 as lng from applications),
