@@ -39,4 +39,4 @@ def sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """select user_id, event_id, was, event_type as now from (select *, lag(event_type) over (partition by user_id order by ts, event_id) as was from events) where was is not null and was <> event_type""",
 )
 def type_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return S.drained(spark, S.type_changes(S.event_stream(spark, sf_dir)), "append")
+    return S.type_changes(spark, S.event_stream(spark, sf_dir))

@@ -3,12 +3,9 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from parcelflow.sources.shared import shared_folder
 
@@ -41,27 +38,68 @@ def _watermarked(events: DataFrame, late: str) -> DataFrame:
     return events.withWatermark("ts", late) if events.isStreaming else events
 
 
-def _changes(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    last = state.get[0] if state.exists else None
-    out = []
-    for rows in batches:
-        rows = rows.sort_values(["ts", "event_id"], kind="stable")
-        for event_id, kind in zip(rows["event_id"], rows["event_type"], strict=True):
-            if last is not None and kind != last:
-                out.append((int(key[0]), int(event_id), last, kind))
-            last = kind
-    state.update((last,))
-    yield pd.DataFrame(out, columns=["user_id", "event_id", "was", "now"])
+class LateRows(ValueError):
+    """Rows that came after later ones of their user were released."""
 
 
-def type_changes(events: DataFrame) -> DataFrame:
+def _judged(rows: DataFrame, late: str) -> DataFrame:
+    """`rows` in order of each user with the type before, and what becomes of them.
+
+    release: comes out now; kept: needed by the next micro-batch (open rows, and the last closed one
+    of each user); overtaken: open, but before a closed row.
+    """
+    order = Window.partitionBy("user_id").orderBy(F.asc_nulls_last("ts"), F.asc_nulls_last("event_id"))
+    horizon = rows.agg((F.max("ts") - F.expr(f"interval {late}")).alias("horizon"))
+    due = F.col("closed") | F.coalesce(F.col("ts") <= F.col("horizon"), F.lit(False))
+    judged = rows.crossJoin(F.broadcast(horizon)).withColumn("due", due)
+    judged = judged.withColumns({"was": F.lag("event_type").over(order), "next_due": F.lead("due").over(order), "overtaken": ~F.col("closed") & F.coalesce(F.max("closed").over(order.rowsBetween(1, Window.unboundedFollowing)), F.lit(False))})
+    return judged.select("user_id", "event_id", "event_type", "ts", "closed", "was", "overtaken", (F.col("due") & ~F.col("closed")).alias("release"), (~F.col("due") | ~F.coalesce("next_due", F.lit(False))).alias("kept"))
+
+
+def _differing(judged: DataFrame) -> DataFrame:
+    return judged.where("was <> event_type").select("user_id", "event_id", "was", F.col("event_type").alias("now"))
+
+
+def type_changes(spark: SparkSession, events: DataFrame, late: str = "1 day") -> DataFrame:
     """A row whenever a user's event is of another type than the one before; the first sets the baseline.
 
-    State is the last type of each user. Rows of a micro-batch are taken in order of time within
-    each Arrow batch of a user, as the source delivers them.
+    The stream is run over all that is there. Events are ordered by time and number over the whole
+    user, however the source splits them: a micro-batch releases rows older than the latest event by
+    `late`, and keeps the others, with each user's last released row, as state in the shared folder. At the
+    end all that is open comes out. Rows that come too late for their user's order stop the run
+    with `LateRows`; none is dropped.
     """
+    folder = f"{shared_folder(spark)}/changes-{uuid.uuid4().hex}"
     slim = events.select("user_id", "event_id", "event_type", "ts")
-    return slim.groupBy("user_id").applyInPandasWithState(_changes, "user_id long, event_id long, was string, now string", "last string", "append", GroupStateTimeout.NoTimeout)
+    judged_schema = f"{_ddl(slim)}, closed boolean, was string, overtaken boolean, release boolean, kept boolean"
+    numbers: list[int] = []
+    read = lambda session, number: session.read.schema(judged_schema).parquet(f"{folder}/judged/{number}")
+    state = lambda session, number: read(session, number).where("kept").select(*slim.columns, (F.col("closed") | F.col("release")).alias("closed"))
+
+    def advance(batch: DataFrame, number: int) -> None:
+        rows = batch.withColumn("closed", F.lit(False))
+        before = [n for n in numbers if n < number]
+        if before:
+            rows = rows.unionByName(state(batch.sparkSession, before[-1]))
+        _judged(rows, late).write.mode("overwrite").parquet(f"{folder}/judged/{number}")
+        overtaken = read(batch.sparkSession, number).where("overtaken").count()
+        if overtaken:
+            raise LateRows(f"{overtaken} events came after later ones of their user had been released; a longer `late` than {late} is needed")
+        if number not in numbers:
+            numbers.append(number)
+
+    query = slim.writeStream.foreachBatch(advance).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
+    query.awaitTermination()
+    if not numbers:
+        return spark.createDataFrame([], "user_id long, event_id long, was string, now string")
+    out = _differing(_judged(state(spark, numbers[-1]), late).where("not closed"))
+    for number in numbers:
+        out = out.unionByName(_differing(read(spark, number).where("release")))
+    return out
+
+
+def _ddl(rows: DataFrame) -> str:
+    return ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields)
 
 
 def drained(spark: SparkSession, stream: DataFrame, mode: str) -> DataFrame:
