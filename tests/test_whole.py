@@ -5,6 +5,7 @@ import random
 
 import pytest
 
+from parcelflow.operators import search
 from parcelflow.plans import registry
 from parcelflow.plans.mapping import SALES_AS_OF, applications
 from parcelflow.streaming import windows
@@ -65,3 +66,10 @@ def test_changes_over_micro_batches_that_overlap(spark, tmp_path):
     assert sorted(map(tuple, windows.type_changes(spark, stream, "1 day").collect())) == changes_of(rows)
     with pytest.raises(Exception, match="LateRows"):
         windows.type_changes(spark, stream, "1 minute")
+
+
+def test_labels_of_any_length(spark):
+    names = ["bay", "one two three four five", "one two three four five six", "a b c d e f g h"]
+    places = [(1, "By One-Two, three four five six"), (2, "x one two three four five y"), (3, "A b c d e f g h, Bay"), (4, "bay"), (5, "a b c d e f g"), (6, None)]
+    found = search.longest_label(spark.createDataFrame(places, "id int, location string"), spark.createDataFrame([(n,) for n in names], "label string"))
+    assert {r.id: r.label for r in found.collect()} == {1: names[2], 2: names[1], 3: names[3], 4: "bay"}
