@@ -2,23 +2,26 @@
 
 Equal vectors are compared once, with their number as weight. Every distinct vector is indexed in
 the inverted list of its nearest coarse centre, as codes of its residual in some subspaces, with
-the length of what the codes leave out. It is a query in its `probes` nearest lists. There a table
-of the query's distances to all codes gives each member's approximate distance; since the true
-distance is at least that less the member's left-out length, nothing in a probed list is lost. What
-passes is compared exactly, in double precision.
+the length of what the codes leave out. It is a query in every list that may hold a vector within
+the radius: all but those whose members, being nearer to their centre than to the query's, lie
+beyond it. There a table of the query's distances to all codes gives each member's approximate
+distance; since the true distance is at least that less the member's left-out length, nothing is
+lost. What passes is compared exactly, in double precision.
 
 Centres and codes are fitted on a bounded, hash-chosen sample; every vector is indexed and is a
-query. A long list is held in blocks of at most about `BLOCK` members, each a task through which the list's
+query. Lists that follow each other make a group, so that a query is sent once to many lists; of two groups
+one sends its queries to the other. A long group is held in blocks, each a task through which the group's
 queries stream. Tasks return sums of links for each vector and edges that span components, never pairs.
 
 Vectors that are null, zero, or hold null or non-finite components link with nothing, nor do rows
-without id or vectors of another length than the most common one. Labels and extra columns are ignored.
+without id. Vectors of each length are indexed on their own. Labels and extra columns are ignored.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -32,8 +35,8 @@ LIST_ROWS, MOST_LISTS = 64, 4096
 #: Sample rows for each list, and at least; so MOST_LISTS * SAMPLE_BY_LIST rows come to the driver at most.
 SAMPLE_BY_LIST, LEAST_SAMPLE = 8, 4096
 SUBSPACES, CODES = 8, 64
-BLOCK = 1024
-PROBES = 8
+#: Members of one block are at most about GROUP_BLOCKS * BLOCK, as are those of a group of short lists.
+BLOCK, GROUP_BLOCKS = 1024, 4
 
 
 @dataclass
@@ -93,32 +96,64 @@ def _matrix(column: pa.ListArray) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
 
 
-def index(distinct: DataFrame, quantiser: Quantiser, probes: int = PROBES) -> DataFrame:
-    """The columns id, weight and vector, and home (its list), codes, error and probes of every distinct vector."""
+def reach_of(least: float) -> float:
+    """Distance of unit vectors at the cosine `least`, with room for rounding."""
+    return float(np.sqrt(2 - 2 * least)) + 1e-6
+
+
+def lists_in_reach(near: np.ndarray, home: np.ndarray, centres: np.ndarray, reach: float) -> np.ndarray:
+    """Whether each list may hold a vector within `reach` of each query; near: x.c - c.c / 2.
+
+    A member is at least as near to its own centre c as to the query's h, and the difference of
+    the squared distances to c and h changes by 2 |c - h| a unit of length at most.
+    """
+    size = (centres**2).sum(1)
+    apart = np.sqrt(np.maximum(size[home][:, None] + size - 2 * centres[home] @ centres.T, 0) + 1e-12)
+    return np.take_along_axis(near, home[:, None], 1) - near <= apart * reach + 1e-9
+
+
+def _sends(home: np.ndarray, groups: int) -> np.ndarray:
+    """Whether queries of group `home` go to each group: of two groups exactly one sends, and every group meets itself."""
+    ahead = (np.arange(groups) - home[:, None]) % groups
+    return (2 * ahead < groups) | ((2 * ahead == groups) & (home[:, None] < np.arange(groups)))
+
+
+def index(distinct: DataFrame, quantiser: Quantiser, groups: int, least: float, probes: int = 0) -> DataFrame:
+    """The columns id, weight and vector, and group, home (its list), codes, error and probes (groups to ask) of every distinct vector.
+
+    `probes` lists are asked at least.
+    """
     shared = distinct.sparkSession.sparkContext.broadcast(quantiser)  # MOST_LISTS centres at most
+    reach = reach_of(least)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         q = shared.value
         size = (q.centres**2).sum(1)
+        group = np.arange(len(q.centres)) * groups // len(q.centres)
+        starts = np.searchsorted(group, np.arange(groups))
         for batch in batches:
-            for start in range(0, batch.num_rows, 1024):
-                part = batch.slice(start, 1024)
+            for start in range(0, batch.num_rows, 512):
+                part = batch.slice(start, 512)
                 x = unit(_matrix(part.column("vector")), q.centres.shape[1])
                 near = x @ q.centres.T - 0.5 * size
-                k = min(probes, near.shape[1])
-                top = np.argpartition(-near, k - 1, axis=1)[:, :k]
-                top = np.take_along_axis(top, np.argsort(-np.take_along_axis(near, top, 1), axis=1, kind="stable"), 1)
-                codes, error = q.residual_codes(x - q.centres[top[:, 0]])
-                yield pa.RecordBatch.from_arrays([part.column("id"), part.column("weight"), part.column("vector"), pa.array(top[:, 0], pa.int32()), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(error), pa.array(top.tolist(), pa.list_(pa.int32()))], names=["id", "weight", "vector", "home", "codes", "error", "probes"])
+                home = near.argmax(1)
+                asked = lists_in_reach(near, home, q.centres, reach)
+                if probes:
+                    k = min(probes, near.shape[1])
+                    np.put_along_axis(asked, np.argpartition(-near, k - 1, axis=1)[:, :k], True, 1)
+                asked = np.logical_or.reduceat(asked, starts, axis=1) & _sends(group[home], groups)
+                codes, error = q.residual_codes(x - q.centres[home])
+                sent = pa.array([np.flatnonzero(row).tolist() for row in asked], pa.list_(pa.int32()))
+                yield pa.RecordBatch.from_arrays([part.column("id"), part.column("weight"), part.column("vector"), pa.array(group[home], pa.int32()), pa.array(home, pa.int32()), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(error), sent], names=["id", "weight", "vector", "group", "home", "codes", "error", "probes"])
 
-    return distinct.select("id", "weight", "vector").mapInArrow(run, "id long, weight long, vector array<float>, home int, codes binary, error double, probes array<int>")
+    return distinct.select("id", "weight", "vector").mapInArrow(run, "id long, weight long, vector array<float>, group int, home int, codes binary, error double, probes array<int>")
 
 
 class _Task:
-    """One block of a list: its members, their sums of links, and the components they make."""
+    """One block of a group: its members, their sums of links, and the components they make."""
 
-    def __init__(self, list_id: int):
-        self.list_id = list_id
+    def __init__(self, group: int):
+        self.group = group
         self.rows: list[tuple] = []
         self.ready = False
 
@@ -130,10 +165,13 @@ class _Task:
         self.norm = np.linalg.norm(self.raw, axis=1)
         self.codes = np.array([list(r[3]) for r in self.rows], np.int64)
         self.error = np.array([r[4] for r in self.rows])
-        self.probes = [frozenset(r[5]) for r in self.rows]
+        lists, self.list = np.unique([r[5] for r in self.rows], return_inverse=True)
+        self.centres = q.centres[lists]
+        coded = np.concatenate([book[self.codes[:, s]] for s, book in enumerate(q.books)], 1)
+        home = self.centres[self.list]
+        self.shift = (home**2).sum(1) + 2 * (home * coded).sum(1)
         self.sums = np.zeros(len(self.rows), np.int64)
         self.up = np.arange(len(self.rows))
-        self.centre = q.centres[self.list_id]
 
     def root(self, k: int) -> int:
         while self.up[k] != k:
@@ -141,20 +179,17 @@ class _Task:
             k = self.up[k]
         return k
 
-    def meet(self, ids: np.ndarray, weight: np.ndarray, raw: np.ndarray, home: np.ndarray, q: Quantiser, least: float) -> tuple[np.ndarray, list[tuple[int, int]]]:
+    def meet(self, ids: np.ndarray, weight: np.ndarray, raw: np.ndarray, group: np.ndarray, q: Quantiser, least: float) -> tuple[np.ndarray, list[tuple[int, int]]]:
         """Sums of links of the queries, and one edge for each that links."""
-        residual = unit(raw, len(self.centre)) - self.centre
-        tables = q.tables(residual)
-        near = np.zeros((len(ids), len(self.ids)))
+        x = unit(raw, q.centres.shape[1])
+        tables = q.tables(x)
+        # |x - c - code|^2 = |x - code|^2 - 2 x.c + (2 c.code + |c|^2)
+        near = (-2 * x @ self.centres.T)[:, self.list] + self.shift
         for s in range(tables.shape[1]):
             near += tables[:, s, self.codes[:, s]]
-        reach = np.sqrt(2 - 2 * least) + 1e-6
-        a, b = np.nonzero(np.sqrt(near) - self.error <= reach)
-        # members of the list meet once, by id; others meet where the lower of the two lists finds them
-        mine = home[a] == self.list_id
-        take = np.where(mine, ids[a] < self.ids[b], True)
-        for k in np.flatnonzero(~mine):
-            take[k] = not (home[a[k]] < self.list_id and int(home[a[k]]) in self.probes[b[k]])
+        a, b = np.nonzero(near <= (self.error + reach_of(least)) ** 2)
+        # members of the group meet once, by id; of two groups only one sends queries
+        take = (group[a] != self.group) | (ids[a] < self.ids[b])
         a, b = a[take], b[take]
         cosine = np.einsum("ij,ij->i", raw[a], self.raw[b]) / (np.linalg.norm(raw, axis=1)[a] * self.norm[b])
         linked = cosine >= least
@@ -181,12 +216,12 @@ class _Task:
 
 def _compared(indexed: DataFrame, quantiser: Quantiser, least: float) -> DataFrame:
     """id, links (to sum) and other (an edge, null in rows of sums)."""
-    sizes = indexed.groupBy("home").agg(F.count("*").alias("n"))
-    blocks = sizes.select(F.col("home").alias("list"), F.ceil(F.col("n") / F.lit(float(BLOCK))).cast("int").alias("blocks"))
-    blocks = F.broadcast(blocks)  # a row for each list, MOST_LISTS at most
-    members = indexed.withColumn("list", F.col("home")).join(blocks, "list").select("list", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("block"), F.lit(0).alias("query"), "id", "weight", "vector", "home", "codes", "error", "probes")
+    sizes = indexed.groupBy("group").agg(F.count("*").alias("n"))
+    blocks = sizes.select(F.col("group").alias("list"), F.ceil(F.col("n") / F.lit(float(GROUP_BLOCKS * BLOCK))).cast("int").alias("blocks"))
+    blocks = F.broadcast(blocks)  # a row for each group, MOST_LISTS at most
+    members = indexed.withColumn("list", F.col("group")).join(blocks, "list").select("list", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("block"), F.lit(0).alias("query"), "id", "weight", "vector", "group", "home", "codes", "error")
     asked = indexed.withColumn("list", F.explode("probes")).join(blocks, "list").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    queries = asked.select("list", "block", F.lit(1).alias("query"), "id", "weight", "vector", "home", F.lit(None).cast("binary").alias("codes"), F.lit(None).cast("double").alias("error"), F.lit(None).cast("array<int>").alias("probes"))
+    queries = asked.select("list", "block", F.lit(1).alias("query"), "id", "weight", "vector", "group", F.lit(None).cast("int").alias("home"), F.lit(None).cast("binary").alias("codes"), F.lit(None).cast("double").alias("error"))
     dealt = members.unionByName(queries).repartition("list", "block").sortWithinPartitions("list", "block", "query", "id")
     shared = indexed.sparkSession.sparkContext.broadcast(quantiser)
 
@@ -202,7 +237,7 @@ def _compared(indexed: DataFrame, quantiser: Quantiser, least: float) -> DataFra
         for batch in batches:
             lists, parts, query = (batch.column(c).to_numpy() for c in ("list", "block", "query"))
             vectors = _matrix(batch.column("vector"))
-            ids, weight, home = (batch.column(c).to_numpy() for c in ("id", "weight", "home"))
+            ids, weight, group = (batch.column(c).to_numpy() for c in ("id", "weight", "group"))
             cuts = np.flatnonzero((np.diff(lists) != 0) | (np.diff(parts) != 0) | (np.diff(query) != 0)) + 1
             for a, b in zip(np.r_[0, cuts], np.r_[cuts, len(ids)], strict=True):
                 if (lists[a], parts[a]) != key:
@@ -211,15 +246,15 @@ def _compared(indexed: DataFrame, quantiser: Quantiser, least: float) -> DataFra
                     key, task = (lists[a], parts[a]), _Task(int(lists[a]))
                 if not query[a]:
                     part = batch.slice(a, b - a)
-                    task.rows.extend(zip(ids[a:b].tolist(), weight[a:b].tolist(), vectors[a:b], part.column("codes").to_pylist(), part.column("error").to_pylist(), part.column("probes").to_pylist(), strict=True))
+                    task.rows.extend(zip(ids[a:b].tolist(), weight[a:b].tolist(), vectors[a:b], part.column("codes").to_pylist(), part.column("error").to_pylist(), part.column("home").to_pylist(), strict=True))
                     continue
                 if not task.rows:
-                    continue  # a probed list without members
+                    continue  # a block without members
                 if not task.ready:
                     task.prepare(q)
                 for start in range(a, b, 512):
                     stop = min(b, start + 512)
-                    found, joined = task.meet(ids[start:stop], weight[start:stop], vectors[start:stop], home[start:stop], q, least)
+                    found, joined = task.meet(ids[start:stop], weight[start:stop], vectors[start:stop], group[start:stop], q, least)
                     sums.extend((int(i), int(n)) for i, n in zip(ids[start:stop], found, strict=True) if n)
                     edges.extend(joined)
             yield batch_of()
@@ -231,25 +266,29 @@ def _compared(indexed: DataFrame, quantiser: Quantiser, least: float) -> DataFra
     return dealt.mapInArrow(run, "id long, links long, other long")
 
 
-def near_duplicates(vectors: DataFrame, least: float = 0.9, probes: int = PROBES) -> DataFrame:
+def _links(distinct: DataFrame, length: int, n: int, least: float, probes: int) -> DataFrame:
+    """Links and edges of the `n` vectors of one length."""
+    lists = max(1, min(MOST_LISTS, n // LIST_ROWS))
+    every = max(1, n // max(LEAST_SAMPLE, SAMPLE_BY_LIST * lists))
+    sample = distinct.where(F.pmod(F.xxhash64("id", F.lit(29)), F.lit(every)) == 0).orderBy("id").select("vector").collect()
+    quantiser = fit(np.array([r["vector"] for r in sample], np.float64).reshape(-1, length), lists) if sample else fit(np.eye(1, length), 1)
+    groups = min(len(quantiser.centres), -(-n // (GROUP_BLOCKS * BLOCK)))
+    return checkpointed(_compared(checkpointed(index(distinct, quantiser, groups, least, probes)), quantiser, least))
+
+
+def near_duplicates(vectors: DataFrame, least: float = 0.9, probes: int = 0) -> DataFrame:
     """vec_id, n_links, component_id and kept for every row."""
     e = F.col("embedding")
     sound = e.isNotNull() & F.col("vec_id").isNotNull() & (F.size(e) > 0) & F.forall(e, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(e, lambda x: x != 0)
     rows = vectors.select("vec_id", F.col("embedding").cast("array<float>").alias("embedding"))
     keyed = rows.withColumn("key", F.when(F.coalesce(sound, F.lit(False)), F.struct(F.xxhash64("embedding").alias("a"), F.xxhash64(F.lit(1), "embedding").alias("b"))))
     usable = keyed.where("key is not null")
-    common = usable.groupBy(F.size("embedding").alias("n")).agg(F.count("*").alias("m")).orderBy(F.desc("m"), "n").first()
-    length = common["n"] if common else 0
-    distinct = checkpointed(usable.where(F.size("embedding") == length).groupBy("key").agg(F.min("vec_id").alias("id"), F.count("*").alias("weight"), F.first("embedding").alias("vector")))
-    n = distinct.count()
-    if not n:
-        return vectors.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.col("vec_id").isNotNull().alias("kept"))
-    lists = max(1, min(MOST_LISTS, n // LIST_ROWS))
-    every = max(1, n // max(LEAST_SAMPLE, SAMPLE_BY_LIST * lists))
-    sample = distinct.where(F.pmod(F.xxhash64("id", F.lit(29)), F.lit(every)) == 0).orderBy("id").select("vector").collect()
-    quantiser = fit(np.array([r["vector"] for r in sample], np.float64).reshape(-1, length), lists) if sample else fit(np.eye(1, length), 1)
-    indexed = checkpointed(index(distinct, quantiser, probes))
-    found = checkpointed(_compared(indexed, quantiser, least))
+    distinct = checkpointed(usable.groupBy("key").agg(F.min("vec_id").alias("id"), F.count("*").alias("weight"), F.first("embedding").alias("vector")))
+    lengths = distinct.groupBy(F.size("vector").alias("length")).agg(F.count("*").alias("n")).where("n > 1").orderBy("length").collect()
+    parts = [_links(distinct.where(F.size("vector") == r["length"]), r["length"], r["n"], least, probes) for r in lengths]
+    if not parts:
+        parts = [distinct.sparkSession.createDataFrame([], "id long, links long, other long")]
+    found = reduce(DataFrame.unionByName, parts)
     sums = found.groupBy("id").agg(F.sum("links").alias("links"))
     components = connected_components(found.where("other is not null").select(F.col("id").alias("a"), F.col("other").alias("b")))
     by_vector = distinct.select("key", "id", "weight").join(sums, "id", "left").join(components, "id", "left")

@@ -94,3 +94,19 @@ def test_codes_never_hide_a_member():
     near = np.sqrt(sum(tables[:, s, codes[:, s].astype(int)] for s in range(E.SUBSPACES)))
     true = np.linalg.norm(v[:50, None] - v[None], axis=2)
     assert (near - error[None] <= true + 1e-9).all()
+
+
+def test_no_link_is_lost_over_many_lists(spark, monkeypatch):
+    monkeypatch.setattr(E, "LIST_ROWS", 4)
+    monkeypatch.setattr(E, "BLOCK", 64)
+    turn = np.random.default_rng(6).uniform(0, 2 * np.pi, 1200)  # a radius reaches over a seventh of all lists
+    rows = [(k, [float(np.float32(np.cos(t))), float(np.float32(np.sin(t)))], 1) for k, t in enumerate(turn)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
+    got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in E.near_duplicates(df).collect()}
+    assert got == brute(rows)[0]
+
+
+def test_every_length_links(spark):
+    rows = [(1, [1.0, 0.0]), (2, [1.0, 0.1]), (3, [1.0, 0.0, 0.0]), (4, [1.0, 0.1, 0.0]), (5, [0.9, 0.0, 0.1]), (6, [1.0])]
+    got = {r.vec_id: (r.n_links, r.component_id) for r in E.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect()}
+    assert got == {1: (1, 1), 2: (1, 1), 3: (2, 3), 4: (2, 3), 5: (2, 3), 6: (0, 6)}
