@@ -18,7 +18,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from parcelflow.llm import words as W
@@ -108,7 +108,7 @@ def _land(pi: np.ndarray, size: np.ndarray) -> np.ndarray:
 
 def _block(seed: int, level: int) -> Callable[[tuple, pd.DataFrame], pd.DataFrame]:
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["size", "doc_id"], kind="stable", ignore_index=True)
+        rows = rows.sort_values(["size", "doc_id", "salt"], kind="stable", ignore_index=True)
         last = bool(rows["last"].iloc[0])
         size, pi = rows["size"].to_numpy(np.int64), rows["pi"].to_numpy(float)
         pi = _flight(pi, size, np.random.default_rng([seed, level, int(key[0]), int(key[1])]), HANDED_ON)
@@ -117,20 +117,41 @@ def _block(seed: int, level: int) -> Callable[[tuple, pd.DataFrame], pd.DataFram
     return run
 
 
+def _spread(numbered: DataFrame, block_rows: int) -> DataFrame:
+    """`salt` becomes 0 but in rows that share source, id and size with many.
+
+    These get the hash of their carried columns, and the ones that are many even so, which are
+    interchangeable, keep a number of their own: no block holds them all.
+    """
+    same, most = ["source", "doc_id", "size"], F.lit(max(1, block_rows // 8))
+    alike = numbered.groupBy(*same, "alike").agg(F.count("*").alias("equal"))
+    shared = alike.groupBy(*same).agg(F.sum("equal").alias("equal")).where(F.col("equal") > most)
+    out = numbered
+    for name, keys, columns in (("shared", shared, same), ("equal", alike.where(F.col("equal") > most), [*same, "alike"])):
+        hot = keys.select(*(F.col(c).alias(f"hot_{c}") for c in columns), F.lit(True).alias(f"is_{name}"))
+        out = out.join(hot, [F.col(c).eqNullSafe(F.col(f"hot_{c}")) for c in columns], "left").drop(*(f"hot_{c}" for c in columns))
+    salt = F.when(F.col("is_equal"), F.xxhash64("alike", "salt")).when(F.col("is_shared"), F.col("alike")).otherwise(F.lit(0).cast("long"))
+    return out.withColumn("salt", salt).drop("is_shared", "is_equal", "alike")
+
+
+def _salted(*parts: Column | str) -> Column:
+    return F.when(F.col("salt") == 0, F.xxhash64(*parts)).otherwise(F.xxhash64(*parts, "salt"))
+
+
 def mix(docs: DataFrame, weights: tuple[float, ...] = (1.0, 2.0, 3.0), share: float = 1.0, most: float = 3.0, seed: int = 11, block_rows: int = BLOCK_ROWS, carry: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, size, source_size, target, taken, copies and the columns `carry` for every document.
 
     `weights` repeat over the sources in code point order; all targets add up to `share` of
     all words; no target exceeds `most` times its source.
     """
-    sized = checkpointed(docs.select("doc_id", "source", *carry, W.word_count(F.col("text")).alias("size")))
+    numbered = docs.select("doc_id", "source", *carry, W.word_count(F.col("text")).alias("size")).withColumns({"salt": F.monotonically_increasing_id(), "alike": F.xxhash64(*carry) if carry else F.lit(0).cast("long")})
+    sized = checkpointed(_spread(checkpointed(numbered), block_rows))
     targets = checkpointed(source_targets(sized, weights, share, most))
     rate = F.when(F.col("source_size") > 0, F.least(F.col("target") / F.col("source_size"), F.lit(float(most)))).otherwise(F.lit(0.0))
     rated = sized.join(targets.withColumnRenamed("source", "of"), F.col("source").eqNullSafe(F.col("of"))).drop("of", "source").withColumn("rate", rate)
     base = F.floor(F.col("rate") + F.lit(EPS))
     blocks = F.ceil(F.col("n_docs") / F.lit(float(block_rows)))
-    # the size helps to spread rows whose ids are null or equal
-    state = rated.select("doc_id", *carry, "size", "source_size", "target", "source_id", base.alias("base"), F.greatest(F.col("rate") - base, F.lit(0.0)).alias("pi"), F.pmod(F.xxhash64("doc_id", "size"), blocks).cast("long").alias("block"), (blocks <= 1).alias("last"))
+    state = rated.select("doc_id", *carry, "salt", "size", "source_size", "target", "source_id", base.alias("base"), F.greatest(F.col("rate") - base, F.lit(0.0)).alias("pi"), F.pmod(_salted("doc_id", "size"), blocks).cast("long").alias("block"), (blocks <= 1).alias("last"))
     schema = state.schema
     done: list[DataFrame] = []
     level = 0
@@ -144,7 +165,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (1.0, 2.0, 3.0), share: fl
         level += 1
         sums = rest.groupBy("source_id").agg(F.count("*").alias("open_docs"))
         again = F.ceil(F.col("open_docs") / F.lit(float(block_rows)))
-        state = rest.join(sums, "source_id").withColumns({"block": F.pmod(F.xxhash64("doc_id", "size", F.lit(level)), again).cast("long"), "last": again <= 1}).select(*schema.names)
+        state = rest.join(sums, "source_id").withColumns({"block": F.pmod(_salted("doc_id", "size", F.lit(level)), again).cast("long"), "last": again <= 1}).select(*schema.names)
     out = done[0]
     for part in done[1:]:
         out = out.unionByName(part)

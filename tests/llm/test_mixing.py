@@ -63,3 +63,21 @@ def test_documents_stay_balanced(spark):
 def test_small_tables(spark, rows):
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
     assert mixing.mix(docs).count() == len(rows)
+
+
+def test_equal_rows_fill_no_block(spark, monkeypatch):
+    real = mixing._block
+
+    def guarded(seed, level):
+        run = real(seed, level)
+
+        def check(key, rows):
+            assert len(rows) <= 600, len(rows)
+            return run(key, rows)
+
+        return check
+
+    monkeypatch.setattr(mixing, "_block", guarded)
+    rows = [(None, None, "s")] * 1500 + [(7, "a b c", "s")] * 1500 + [(k, "w " * (k % 9), "t") for k in range(600)]
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string"), block_rows=300).collect()
+    assert len(got) == len(rows) and sum(r["size"] for r in got) == sum(len((r[1] or "").split()) for r in rows)
