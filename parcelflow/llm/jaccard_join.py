@@ -2,23 +2,26 @@
 
 Prefix filtering under several global orders. In any one order of all shingles, two sets that
 are similar enough share several shingles among their first ones. Candidates must do so under three
-orders:
-
-1. A document whose prefix holds too few shingles that others' prefixes hold links with none. It goes, its
-   shingles count no more, and others may go for that. Of what stays, a shingle that few documents have in their prefix of the first order gives those pairs; one that
-   many have puts them in a family. Families are stars around the least document, so that a
-   shingle with n documents costs n rows. As frequent shingles come last, only large groups of near
-   copies make families.
-2. The same is done under the second order, for the documents that met someone. Pairs stay that met
-   under both orders, as a pair or within a family; families are split by those of the second order.
-3. Within the groups that remain the third order filters single pairs, with the sizes; what is
-   left is verified exactly on the full sets.
+orders, and every order sees only what the one before left:
+
+1. Of each document's short prefix under the first order, the shingles are counted that any other prefix
+   holds. A document with too few of them links with none and goes; most do.
+2. The others, each set once, do the same with a longer prefix under the second order. Of what stays, a
+   shingle that few sets have in their prefix gives pairs, which stay if they share enough. One that many
+   have would give too many: its sets are tied to the least of them, but only sets whose prefix has
+   enough such shingles to link by them. Pairs and ties make groups.
+3. Within a group the three filters are intersected for each pair, with the sizes; what is left is
+   verified exactly on the full sets.
 
 All orders put shingles that are frequent in many documents last (from counts in a table of fixed
-size over all documents) and hash the rest, each order with another salt. Equal sets are verified
-once. A large group is verified in cells of bounded size: sets are dealt by size
-level, only cells of equal and neighbouring levels can hold links, and each pair of such cells is
-a task of its own; what comes out are links that span the cell's components, never all pairs.
+size over all documents) and hash the rest, each order with another salt. Frequent ones count as held by
+others without a look, so that no shingle of very many documents is gathered in one place.
+
+A group of at most `CELL_SETS` sets is one task. A larger one is dealt into cells by size level. First each
+cell is verified within itself and with leaders, some sets of each level that go to all its cells. Sets
+of the component that is then the largest need no look at each other again; only the rest meets
+everything of its level and the neighbouring ones, cell by cell. What comes out are links that span
+the components of a task, never all pairs.
 
 Words are those of [^\\x20\\x09-\\x0D]+ with A-Z folded. Shingles are 64-bit hashes. Fewer words
 than a shingle are one shingle; without words the set is empty and links with nothing, like null
@@ -34,7 +37,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from parcelflow.llm import textarrays as T
@@ -47,8 +50,12 @@ CELL_SETS, CELL_SHINGLES = 1024, 1_500_000
 COLUMNS = 4096
 #: Lists of one task that share a value from which it counts by matrix products.
 COMMON = 48
-#: Documents of a prefix shingle up to which it gives pairs.
+#: Sets of a prefix shingle up to which it gives pairs.
 RARE = 12
+#: Leaders of one size level of a group that several cells hold.
+LEADERS = 8
+#: Share of a set's shingles, in hundredths, that prefixes have in common at least, by order.
+SHARES = {1: 5, 2: 35, 3: 40}
 
 
 @dataclass(frozen=True)
@@ -67,7 +74,7 @@ class Terms:
 
         The first order sees all documents and keeps prefixes short; the others see few and ask for more.
         """
-        return (1 if order == 1 else 4) * n // 10 + 1
+        return SHARES[order] * n // 100 + 1
 
     def need(self, n: int, order: int) -> int:
         """Those that it shares with the prefix of any linked set, at least: a linked set has `least_overlap` shingles or more."""
@@ -126,7 +133,7 @@ def frequencies(docs: DataFrame, terms: Terms) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, frequency: np.ndarray, terms: Terms, order: int) -> DataFrame:
-    """doc_id, n, h1, h2 (a 128-bit hash of the set), common, need, and the prefix under an order."""
+    """doc_id, n, h1, h2 (a 128-bit hash of the set), common, need, and the prefix under an order: frequent shingles of it apart."""
     shared = docs.sparkSession.sparkContext.broadcast(frequency)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -135,11 +142,13 @@ def signatures(docs: DataFrame, frequency: np.ndarray, terms: Terms, order: int)
                 sets = sets_of(chunk, terms.words)
                 part = batch.column("doc_id").slice(chunk.first, chunk.last - chunk.first)
                 hashes = [pa.array(np.array([T.mix(s, salt).sum(dtype=np.uint64) if len(s) else 0 for s in sets], np.uint64).view(np.int64)) for salt in (21, 22)]
-                prefix = _lists([prefix_of(s, order, shared.value, terms) for s in sets])
+                found = [prefix_of(s, order, shared.value, terms) for s in sets]
+                often = [shared.value[(p & np.uint64(FREQUENCY_CELLS - 1)).astype(np.int64)] > 0 for p in found]
                 bounds = [pa.array([f(len(s), order) for s in sets], pa.int32()) for f in (terms.common, terms.need)]
-                yield pa.RecordBatch.from_arrays([part, pa.array([len(s) for s in sets], pa.int64()), *hashes, *bounds, prefix], names=["doc_id", "n", "h1", "h2", "common", "need", "prefix"])
+                lists = [_lists([p[~o] for p, o in zip(found, often, strict=True)]), _lists([p[o] for p, o in zip(found, often, strict=True)])]
+                yield pa.RecordBatch.from_arrays([part, pa.array([len(s) for s in sets], pa.int64()), *hashes, *bounds, *lists], names=["doc_id", "n", "h1", "h2", "common", "need", "prefix", "frequent"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, h1 long, h2 long, common int, need int, prefix array<long>")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, h1 long, h2 long, common int, need int, prefix array<long>, frequent array<long>")
 
 
 def _lists(arrays: list[np.ndarray]) -> pa.ListArray:
@@ -148,49 +157,38 @@ def _lists(arrays: list[np.ndarray]) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat.astype(np.uint64).view(np.int64)))
 
 
-def _meetings(tokens: DataFrame, sizes: DataFrame, scratch: Scratch, name: str, rounds: int = 2) -> tuple[DataFrame, DataFrame]:
-    """From prefixes (doc_id, token) and sizes (doc_id, common, need): the pairs (a > b) that may link by rare tokens, and the families (id, component) of common ones."""
-    counts = tokens.groupBy("token").agg(F.count("*").alias("m")).where("m > 1").select("token")
-    rows = scratch.write(tokens.join(counts, "token"), f"{name}-met")
-    for turn in range(rounds):
-        enough = checkpointed(rows.groupBy("doc_id").agg(F.count("*").alias("have")).join(sizes, "doc_id").where("have >= need").select("doc_id").distinct())
-        near, _ = divided(rows, enough)
-        held = near.join(enough, "doc_id")
-        again = held.groupBy("token").agg(F.count("*").alias("m"), F.min("doc_id").alias("least")).where("m > 1")
-        marks = scratch.write(held.join(again, "token").select("doc_id", "token", "m", "least"), f"{name}-{turn}")
-        scratch.drop(f"{name}-{turn - 1}" if turn else f"{name}-met")
-        rows = marks.select("doc_id", "token")
-    rare = marks.where(F.col("m") <= RARE).select("token", "doc_id")
-    hot = marks.groupBy("doc_id").agg(F.count_if(F.col("m") > RARE).alias("hot")).join(sizes.select("doc_id", "common").distinct(), "doc_id")
-    shared = rare.withColumnRenamed("doc_id", "a").join(rare.withColumnRenamed("doc_id", "b"), "token").where("a > b").groupBy("a", "b").agg(F.count("*").alias("n"))
-    of_a, of_b = (hot.select(F.col("doc_id").alias(x), F.col("hot").alias(f"hot_{x}"), F.col("common").alias(f"common_{x}")) for x in "ab")
-    may = F.col("n") + F.least("hot_a", "hot_b") >= F.least("common_a", "common_b")
-    pairs = checkpointed(shared.join(of_a, "a").join(of_b, "b").where(may).select("a", "b").distinct())
-    families = connected_components(marks.where(F.col("m") > RARE).select(F.col("doc_id").alias("a"), F.col("least").alias("b")))
-    scratch.drop(f"{name}-{rounds - 1}")
-    return pairs, families
-
-
-def _within(pairs: DataFrame, families: DataFrame) -> DataFrame:
-    """The pairs whose ends are in one family."""
-    a = families.select(F.col("id").alias("a"), F.col("component").alias("of_a"))
-    b = families.select(F.col("id").alias("b"), F.col("component").alias("of_b"))
-    return pairs.join(a, "a").join(b, "b").where("of_a = of_b").select("a", "b")
-
-
-def _groups(docs: DataFrame, usable: DataFrame, frequency: np.ndarray, terms: Terms, scratch: Scratch) -> DataFrame:
-    """id and component of the documents that met another under both orders."""
-    sizes = usable.select("doc_id", "common", "need")
-    pairs, families = _meetings(usable.select("doc_id", F.explode("prefix").alias("token")), sizes, scratch, "first")
-    met = checkpointed(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).union(families.select("id")).distinct())
-    near, _ = divided(docs, met)
-    second = scratch.write(signatures(near, frequency, terms, 2).join(met, "doc_id").select("doc_id", "common", "need", "prefix"), "prefixes2")
-    pairs2, families2 = _meetings(second.select("doc_id", F.explode("prefix").alias("token")), second.select("doc_id", "common", "need"), scratch, "second")
-    scratch.drop("prefixes2")
-    both = families.join(families2.withColumnRenamed("component", "other"), "id")
-    stars = both.join(both.groupBy("component", "other").agg(F.min("id").alias("b")), ["component", "other"]).select(F.col("id").alias("a"), "b")
-    edges = pairs.join(pairs2, ["a", "b"]).unionByName(_within(pairs, families2)).unionByName(_within(pairs2, families)).unionByName(stars)
-    return connected_components(edges)
+def _met(signed: DataFrame) -> DataFrame:
+    """doc_id, token and m, the number of prefixes that hold the token, for every token that several hold; frequent ones are left out."""
+    tokens = signed.select("doc_id", F.explode("prefix").alias("token"))
+    return tokens.withColumn("m", F.count("*").over(Window.partitionBy("token"))).where("m > 1")
+
+
+def _enough(signed: DataFrame, met: DataFrame) -> DataFrame:
+    """doc_id, common, need and warm of the documents whose prefix holds enough tokens that others hold; warm: those of more than RARE prefixes."""
+    bounds = signed.groupBy("doc_id").agg(F.min("common").alias("common"), F.min("need").alias("need"), F.sum(F.size("frequent")).alias("often"))
+    have = met.groupBy("doc_id").agg(F.count("*").alias("have"), F.count_if(F.col("m") > RARE).alias("warm"))
+    held = bounds.join(have, "doc_id", "left").withColumns({"have": F.coalesce("have", F.lit(0)) + F.col("often"), "warm": F.coalesce("warm", F.lit(0)) + F.col("often")})
+    return held.where("have >= need").select("doc_id", "common", "need", "warm")
+
+
+def _groups(sets: DataFrame, scratch: Scratch) -> DataFrame:
+    """id and component of the sets that the filters of the second order leave together."""
+    met = scratch.write(_met(sets), "met")
+    alive = checkpointed(_enough(sets, met))
+    lists = met.where(F.col("m") <= RARE).groupBy("token").agg(F.sort_array(F.collect_list("doc_id")).alias("ids"))  # RARE ids at most
+    both = F.flatten(F.transform("ids", lambda a, k: F.transform(F.slice("ids", F.lit(1), k), lambda b: F.struct(a.alias("a"), b.alias("b")))))
+    shared = lists.select(F.explode(both).alias("p")).groupBy("p.a", "p.b").agg(F.count("*").alias("n")).where("a <> b")
+    of_a, of_b = (alive.select(F.col("doc_id").alias(x), F.col("warm").alias(f"warm_{x}"), F.col("common").alias(f"common_{x}")) for x in "ab")
+    pairs = shared.join(of_a, "a").join(of_b, "b").where(F.col("n") + F.least("warm_a", "warm_b") >= F.least("common_a", "common_b")).select("a", "b")
+
+    warm = alive.where("warm >= need").select("doc_id")
+    often = sets.select("doc_id", F.explode("frequent").alias("token")).join(warm, "doc_id", "left_semi")
+    tied = scratch.write(met.where(F.col("m") > RARE).join(warm, "doc_id", "left_semi").select("doc_id", "token").unionByName(often), "tied")
+    least = tied.groupBy("token").agg(F.min("doc_id").alias("b"))
+    ties = tied.join(least, "token").where("doc_id <> b").select(F.col("doc_id").alias("a"), "b").distinct()
+    found = connected_components(pairs.unionByName(ties))
+    scratch.drop("met", "tied")
+    return found
 
 
 def _level(n: Column, terms: Terms) -> Column:
@@ -198,27 +196,51 @@ def _level(n: Column, terms: Terms) -> Column:
     return F.floor(F.log(n.cast("double")) / F.lit(1.0001 * math.log(100 / terms.part))).cast("int")
 
 
-def _cells(sets: DataFrame, terms: Terms) -> DataFrame:
-    """doc_id, own (its cell) and tasks (the pairs of cells it takes part in) for each set of a group of several.
+def _dealt(rows: DataFrame, terms: Terms) -> DataFrame:
+    """`rows` (doc_id, group, n, rest) with own, the set's cell, and the cells of the rest and of others that hold linked sets.
 
-    A cell is level * 2**32 + number; a task is the group and two cells.
+    A cell is a size level, whether it holds the rest, and a number.
     """
-    levelled = sets.withColumn("level", _level(F.col("n"), terms))
+    levelled = rows.withColumn("level", _level(F.col("n"), terms) * 2 + F.col("rest").cast("int"))
     sums = levelled.groupBy("group", "level").agg(F.count("*").alias("m"), F.sum("n").alias("n"))
     parts = F.greatest(F.ceil(F.col("m") / F.lit(float(CELL_SETS))), F.ceil(F.col("n") / F.lit(float(CELL_SHINGLES)))).cast("int")
-    plan = sums.groupBy("group").agg(F.sum("m").alias("m"), F.sum("n").alias("n"), F.map_from_entries(F.collect_list(F.struct("level", parts.alias("parts")))).alias("parts")).where("m > 1")
-    small = (F.col("m") <= CELL_SETS) & (F.col("n") <= CELL_SHINGLES)
-    rows = levelled.select("doc_id", "group", "level").join(plan, "group")
+    plan = sums.groupBy("group").agg(F.map_from_entries(F.collect_list(F.struct("level", parts.alias("parts")))).alias("parts"))  # a level for each power of 1 / similarity
 
     def cells(level: Column) -> Column:
         many = F.try_element_at(F.col("parts"), level)
         return F.when(many.isNull(), F.array().cast("array<bigint>")).otherwise(F.transform(F.sequence(F.lit(0), many - 1), lambda s: F.shiftleft(level.cast("long"), 32) + s))
 
     level = F.col("level")
+    even = level - F.col("rest").cast("int")
     own = F.shiftleft(level.cast("long"), 32) + F.pmod(F.xxhash64("doc_id"), F.element_at(F.col("parts"), level))
-    others = F.concat(cells(level - 1), cells(level), cells(level + 1))
-    placed = rows.withColumn("own", F.when(small, F.lit(0).cast("long")).otherwise(own)).withColumn("others", F.when(small, F.array(F.lit(0).cast("long"))).otherwise(others))
-    return placed.select("doc_id", "own", F.transform("others", lambda c: F.struct(F.col("group").alias("group"), F.least(F.col("own"), c).alias("low"), F.greatest(F.col("own"), c).alias("high"))).alias("tasks"))
+    placed = levelled.join(plan, "group").withColumn("own", own)
+    return placed.withColumn("of_rest", F.concat(cells(even - 1), cells(even + 1), cells(even + 3))).withColumn("of_others", F.concat(cells(even - 2), cells(even), cells(even + 2)))
+
+
+def _tasks(cells: Column) -> Column:
+    """A task, which is a group and two cells, for the set's own cell and each other one."""
+    return F.transform(cells, lambda c: F.struct(F.col("group").alias("group"), F.least(F.col("own"), c).alias("low"), F.greatest(F.col("own"), c).alias("high")))
+
+
+def _first_look(sets: DataFrame, large: DataFrame, terms: Terms) -> DataFrame:
+    """doc_id, own and tasks: small groups whole, large ones by cells, which leaders visit."""
+    small = sets.join(large, "group", "left_anti").withColumn("own", F.lit(0).cast("long"))
+    rows = _dealt(sets.join(large, "group", "left_semi").withColumn("rest", F.lit(False)), terms)
+    slot = F.pmod(F.xxhash64(F.lit(5), "doc_id"), F.lit(LEADERS))
+    leaders = rows.groupBy("group", "level", slot.alias("slot")).agg(F.min("doc_id").alias("doc_id")).select("doc_id", F.lit(True).alias("leads")).distinct()
+    visits = F.transform("of_others", lambda c: F.struct(F.col("group").alias("group"), c.alias("low"), c.alias("high")))
+    at_home = F.array(F.struct(F.col("group").alias("group"), F.col("own").alias("low"), F.col("own").alias("high")))
+    led = rows.join(leaders, "doc_id", "left").select("doc_id", "own", F.when(F.col("leads"), F.array_union(visits, at_home)).otherwise(at_home).alias("tasks"))
+    return small.select("doc_id", "own", _tasks(F.array("own")).alias("tasks")).unionByName(led)
+
+
+def _second_look(sets: DataFrame, large: DataFrame, found: DataFrame, terms: Terms) -> DataFrame:
+    """doc_id, own and tasks for the large groups that are not one component: the rest meets itself and the largest component."""
+    named = sets.join(large, "group", "left_semi").join(found.withColumnRenamed("id", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+    sizes = named.groupBy("group", "component").agg(F.count("*").alias("m"))
+    main = sizes.groupBy("group").agg(F.max(F.struct("m", "component")).alias("largest"), F.count("*").alias("k")).where("k > 1")
+    rows = _dealt(named.join(main, "group").withColumn("rest", F.col("component") != F.col("largest.component")), terms)
+    return rows.select("doc_id", "own", _tasks(F.when(F.col("rest"), F.concat("of_rest", "of_others")).otherwise(F.col("of_rest"))).alias("tasks")).where(F.size("tasks") > 0)
 
 
 class _Forest:
@@ -257,14 +279,18 @@ def _shared_counts(lists: list[np.ndarray]) -> np.ndarray:
 
     light = np.flatnonzero((many > 1) & (many <= COMMON))
     first, size = starts[light], many[light]
-    pairs = np.zeros(m * m, np.int64)
+    pairs = np.zeros(m * m, np.float32)
+    held: list[np.ndarray] = []
     for gap in range(1, COMMON):
         first, size = first[size > gap], size[size > gap]
+        at = np.repeat(first, size - gap) + _counted(size - gap)
+        held.append(owner[at] * m + owner[at + gap])
+        if sum(map(len, held)) > 4 * m * m or gap == COMMON - 1 or not len(first):
+            pairs += np.bincount(np.concatenate(held), minlength=m * m).astype(np.float32)
+            held = []
         if not len(first):
             break
-        at = np.repeat(first, size - gap) + _counted(size - gap)
-        pairs += np.bincount(owner[at] * m + owner[at + gap], minlength=m * m)
-    pairs = pairs.reshape(m, m).astype(np.float32)
+    pairs = pairs.reshape(m, m)
     return out + pairs + pairs.T
 
 
@@ -340,9 +366,12 @@ def _verified(docs: DataFrame, placed: DataFrame, frequency: np.ndarray, terms:
                 if (group, low, high) != now:
                     close()
                     now, ids, own, sets = (group, low, high), [], [], []
+                found = flat[offsets[k] : offsets[k + 1]]
+                if ids and ids[-1] == doc_id and np.array_equal(sets[-1], found):
+                    continue  # a repeated row
                 ids.append(doc_id)
                 own.append(cell)
-                sets.append(flat[offsets[k] : offsets[k + 1]].copy())
+                sets.append(found.copy())
             if edges:
                 yield _edge_batch(edges)
                 edges = []
@@ -361,18 +390,28 @@ def join(docs: DataFrame, words: int = 4, part: int = 85) -> DataFrame:
     terms = Terms(words, part)
     frequency = frequencies(docs, terms)
     scratch = Scratch(docs.sparkSession)
-    prefixes = scratch.write(signatures(docs, frequency, terms, 1), "prefixes")
-    signed = scratch.write(prefixes.drop("prefix"), "signed")
-    usable = prefixes.where("doc_id is not null and n > 0")
-    fine = _groups(docs, usable, frequency, terms, scratch)
-    scratch.drop("prefixes")
-    usable = signed.where("doc_id is not null and n > 0")
-    grouped = checkpointed(usable.select("doc_id", "n", "h1", "h2").join(fine.select(F.col("id").alias("doc_id"), F.col("component").alias("group")), "doc_id"))
-    sets = checkpointed(grouped.groupBy("group", "h1", "h2").agg(F.min("doc_id").alias("doc_id"), F.min("n").alias("n")))
-    copies = grouped.join(sets.select("group", "h1", "h2", F.col("doc_id").alias("b")), ["group", "h1", "h2"]).where("doc_id <> b").select(F.col("doc_id").alias("a"), "b")
-    links = _verified(docs, checkpointed(_cells(sets, terms)), frequency, terms)
+    first = scratch.write(signatures(docs, frequency, terms, 1).drop("h1", "h2"), "first")
+    usable = first.where("doc_id is not null and n > 0")
+    alive = checkpointed(_enough(usable, _met(usable)).select("doc_id"))
+    near, _ = divided(docs.select("doc_id", "text"), alive)
+    second = scratch.write(signatures(near.join(alive, "doc_id", "left_semi"), frequency, terms, 2), "second").where("n > 0")
+    sets = checkpointed(second.groupBy("h1", "h2").agg(F.min("doc_id").alias("doc_id"), F.min("n").alias("n")))
+    copies = second.join(sets.select("h1", "h2", F.col("doc_id").alias("b")), ["h1", "h2"]).where("doc_id <> b").select(F.col("doc_id").alias("a"), "b").distinct()
+    copies = checkpointed(copies)
+    single = second.join(sets.select("h1", "h2", "doc_id"), ["h1", "h2", "doc_id"], "left_semi").dropDuplicates(["h1", "h2", "doc_id"])
+    fine = _groups(single.select("doc_id", "common", "need", "prefix", "frequent"), scratch)
+    scratch.drop("second")
+
+    grouped = checkpointed(sets.join(fine.select(F.col("id").alias("doc_id"), F.col("component").alias("group")), "doc_id").select("doc_id", "group", "n"))
+    sizes = grouped.groupBy("group").agg(F.count("*").alias("m"), F.sum("n").alias("n"))
+    large = checkpointed(sizes.where((F.col("m") > CELL_SETS) | (F.col("n") > CELL_SHINGLES)).select("group"))
+    links = _verified(docs, checkpointed(_first_look(grouped, large, terms)), frequency, terms)
     found = connected_components(copies.unionByName(links))
-    out = signed.select("doc_id", F.col("n").alias("n_shingles")).join(found, signed["doc_id"] == found["id"], "left")
+    if not large.isEmpty():
+        again = checkpointed(_second_look(grouped, large, found, terms))
+        stars = found.select(F.col("id").alias("a"), F.col("component").alias("b"))
+        found = connected_components(stars.unionByName(_verified(docs, again, frequency, terms)))
+    out = first.select("doc_id", F.col("n").alias("n_shingles")).join(found, first["doc_id"] == found["id"], "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
 
 

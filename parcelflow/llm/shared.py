@@ -34,19 +34,22 @@ class Scratch:
             path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
 
 
-#: Buckets of ids in `divided`: the bound of what it broadcasts, about 16 MB.
-ID_BUCKETS = 1 << 20
+#: Buckets of ids in `divided`, one bit each, 64 to a row: the bound of what it broadcasts is 2^18 rows of two numbers.
+ID_BUCKETS = 1 << 24
 
 
 def divided(rows: DataFrame, ids: DataFrame, id_col: str = "doc_id") -> tuple[DataFrame, DataFrame]:
     """`rows` in two parts without a shuffle: those whose id may be among `ids`, and those whose id is not.
 
-    Whether a bucket of ids is used goes to all tasks: at most ID_BUCKETS numbers, however many
+    A bit for each bucket of ids goes to all tasks: at most ID_BUCKETS bits, however many
     ids there are. With very many ids the first part is all rows, and nothing is lost but the saving.
     """
     bucket = F.pmod(F.xxhash64(id_col), F.lit(ID_BUCKETS))
-    used = F.broadcast(ids.select(bucket.alias("_used")).distinct())
-    return rows.join(used, bucket == F.col("_used"), "left_semi"), rows.join(used, bucket == F.col("_used"), "left_anti")
+    word, bit = F.shiftright(bucket, 6), F.pmod(bucket, F.lit(64)).cast("int")
+    bits = ids.groupBy(word.alias("__word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), bit)).alias("__bits"))
+    joined = rows.withColumn("__word_of_row", word).join(F.broadcast(bits), F.col("__word_of_row") == F.col("__word"), "left")
+    inside = F.coalesce(F.getbit("__bits", bit) == 1, F.lit(False))
+    return joined.where(inside).select(*rows.columns), joined.where(~inside).select(*rows.columns)
 
 
 def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
