@@ -180,7 +180,10 @@ def _runs(docs: DataFrame, window: int) -> DataFrame:
 
 
 def _split_by_context(words: T.Words, begin: int, count: int, seed: int, window: int) -> list[tuple[int, int, int]]:
-    """(first window, number of windows, new seed) of the parts of a run: by the seed's place, and by the words on the side of it that has more."""
+    """(first window, number of windows, new seed) of the parts of a run: by the words next to the seed, on the side of it that has more.
+
+    Where words repeat the seed has many places in a run, and windows of one context stay together.
+    """
     k = min(SEED_WORDS, window)
     half = (window - k) // 2
     starts = np.arange(begin, begin + count + window - k)
@@ -192,7 +195,7 @@ def _split_by_context(words: T.Words, begin: int, count: int, seed: int, window:
     high = np.where(before, place, place + window - half)
     context = T.mix(words.ranges(low, high) ^ T.mix(np.full(count, seed, np.int64).view(np.uint64), 41), 42) + before.astype(np.uint64)
     new = np.ones(count, bool)
-    new[1:] = (context[1:] != context[:-1]) | (place[1:] != place[:-1])
+    new[1:] = context[1:] != context[:-1]
     first = np.flatnonzero(new)
     return list(zip(first.tolist(), np.diff(np.append(first, count)).tolist(), context[first].view(np.int64).tolist(), strict=True))
 
