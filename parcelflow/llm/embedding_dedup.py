@@ -10,8 +10,8 @@ passes is compared exactly, in double precision. A pair is found if either asks
 Centres, codes and the number of lists to ask are fitted on a bounded, hash-chosen sample; every vector is
 indexed and is a query. Of sample vectors that the centres were not fitted on, neighbours are made that
 lie at the least cosine, towards other vectors of the sample; so many lists are asked as find
-`RECALL` of them. Lists grow with the vectors: beyond `MOST_LISTS` centres each list is split by a second table of
-centres for what the first leave. Lists that follow each other make a group, which holds similar
+`RECALL` of them, and of nearer ones more. Lists grow with the vectors: beyond four times `MOST_LISTS` of them each
+centre's list is split by a second table of centres for what the first leave. Lists that follow each other make a group, which holds similar
 centres, so that a query is sent once to many lists. A long group is held in blocks, each a task through
 which the group's queries stream. Tasks return sums of links for each vector and edges that span
 components, never pairs.
@@ -39,7 +39,7 @@ LIST_ROWS, MOST_LISTS = 64, 4096
 #: Sample rows for each centre, at least, and the numbers that a sample holds at most (32 MB).
 SAMPLE_BY_LIST, LEAST_SAMPLE, SAMPLE_NUMBERS = 8, 4096, 1 << 22
 #: Share of made neighbours at the least cosine that the lists asked find.
-RECALL = 0.99
+RECALL = 0.97
 SUBSPACES, CODES = 8, 64
 #: Members of one block are at most about GROUP_BLOCKS * BLOCK, as are those of a group of short lists.
 BLOCK, GROUP_BLOCKS, MOST_GROUPS = 1024, 4, 1 << 16
@@ -141,7 +141,7 @@ def probes_for(quantiser: Quantiser, x: np.ndarray, least: float, rng: np.random
                 found += ((quantiser.nearest(x[b], probes) == target[b, None]).any(1) | (quantiser.nearest(made[b], probes) == home[b, None]).any(1)).sum()
             if found >= RECALL * len(x):
                 break
-            probes = min(2 * probes, most)
+            probes = min(probes + probes // 2 + 1, most)
     return probes
 
 
@@ -158,7 +158,7 @@ def fit(sample: np.ndarray, lists: int, groups: int = 1, least: float = 0.9, see
     centres = centres[np.argsort((centres @ side.T - 0.5 * (side**2).sum(1)).argmax(1), kind="stable")]
     near = (train @ centres.T - 0.5 * (centres**2).sum(1)).argmax(1)
     rest = train - centres[near]
-    second = _means(rest, min(MOST_LISTS, -(-lists // k)), rng) if lists > MOST_LISTS else np.zeros((1, width))
+    second = _means(rest, min(MOST_LISTS, -(-lists // k)), rng) if lists > 4 * MOST_LISTS else np.zeros((1, width))
     rest = rest - second[(rest @ second.T - 0.5 * (second**2).sum(1)).argmax(1)]
     parts = rest.reshape(len(rest), SUBSPACES, -1)
     made = Quantiser(centres, second, np.stack([_means(np.ascontiguousarray(parts[:, s]), CODES, rng) for s in range(SUBSPACES)]))
