@@ -3,26 +3,27 @@
 Subwords are runs of 3 and 5 bytes of the text (A-Z folded, white space as one blank), hashed
 into buckets. A document is the mean of its subwords' embeddings; a linear layer and a softmax
 give the languages. Embeddings and layer are learned by stochastic gradient descent in numpy,
-on at most `per_language` hash-chosen documents of each language and `SUBWORDS` of their
-subwords, so the driver holds a bounded sample. A temperature, fitted on documents kept out of
+on about `per_language` hash-chosen documents of each language and `TRAIN_ROWS` in all, so the driver
+holds a bounded sample: for each document the number of every bucket in its whole text. A step draws some subwords
+of each document from all of them. A temperature, fitted on documents kept out of
 training, calibrates the probabilities; the rejection threshold is the lowest score above which
-those documents reach the wanted accuracy.
+those documents reach the wanted accuracy. Of more than `MOST_LANGUAGES` languages those with most rows are learned.
 
 Scoring reads whole texts: embedding and layer fold into one table of a logit for each bucket and
-language. Null texts and texts without a letter are `und` with score 0. Null languages and null
+language. Null texts and texts without a letter (Unicode category L) are `und` with score 0. Null languages and null
 ids are not learned from. Equal texts get equal rows. Extra columns are ignored. Without any
 labelled row every text is `und`.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import regex
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from parcelflow.llm import textarrays as T
@@ -30,14 +31,15 @@ from parcelflow.llm import textarrays as T
 BUCKETS = 1 << 16
 ORDERS = (3, 5)
 DIMENSION = 16
-#: Subwords of a training document, drawn from its whole text.
-SUBWORDS = 600
-PER_LANGUAGE = 1000
-#: Languages that are learned, by number of labelled rows; a bound for the driver.
+#: Subwords of one document in one step of training, at most.
+DRAWN = 600
+#: Documents learned from, of each language and in all, about.
+PER_LANGUAGE, TRAIN_ROWS = 1000, 4000
+#: Languages that are learned; a bound for the model, which holds BUCKETS numbers for each.
 MOST_LANGUAGES = 400
 FOLD = T.LOWER.copy()
 FOLD[T.IS_SPACE] = 0x20
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTER = regex.compile(r"\p{L}")
 
 
 def held_out(doc_id: Column) -> Column:
@@ -85,7 +87,7 @@ class Model:
                 bounds = np.stack([first[rows], first[rows] + many[rows]], 1).ravel()
                 bounds = bounds[:-1] if bounds[-1] == len(buckets) else bounds
                 for k in range(len(self.languages)):
-                    sums[rows, k] += np.add.reduceat(self.table[k][buckets], bounds)[::2]
+                    sums[rows, k] += np.add.reduceat(self.table[k][buckets], bounds, dtype=np.float64)[::2]
                 counts[rows] += many[rows]
         return sums / np.maximum(counts, 1)[:, None] + self.bias
 
@@ -95,13 +97,22 @@ class Model:
         return z / z.sum(1, keepdims=True)
 
 
-def fit(rows: list[tuple[np.ndarray, str]], epochs: int = 6, seed: int = 5, accuracy: float = 0.99) -> Model | None:
-    """A model from (subword buckets, language) rows; a fifth of them calibrates it."""
+def _draw(buckets: np.ndarray, counts: np.ndarray, rng: np.random.Generator) -> np.ndarray:
+    """Some subwords of a text, by their numbers in it; all of a short one."""
+    upto = np.cumsum(counts)
+    wanted = int(rng.integers(8, DRAWN))
+    if not len(counts) or upto[-1] <= wanted:
+        return np.repeat(buckets, counts)
+    return buckets[np.searchsorted(upto, rng.integers(0, upto[-1], wanted), side="right")]
+
+
+def fit(rows: list[tuple[np.ndarray, np.ndarray, str]], epochs: int = 6, seed: int = 5, accuracy: float = 0.99) -> Model | None:
+    """A model from (buckets, their numbers, language) rows; a fifth of them calibrates it."""
     if not rows:
         return None
     rng = np.random.default_rng(seed)
-    languages = sorted({lang for _, lang in rows})
-    label = np.array([languages.index(lang) for _, lang in rows])
+    languages = sorted({lang for *_, lang in rows})
+    label = np.array([languages.index(lang) for *_, lang in rows])
     order = rng.permutation(len(rows))
     check, train = (order[: len(rows) // 5], order[len(rows) // 5 :]) if len(rows) >= 20 else (order, order)
     embed = rng.uniform(-1 / DIMENSION, 1 / DIMENSION, (BUCKETS, DIMENSION))
@@ -111,7 +122,7 @@ def fit(rows: list[tuple[np.ndarray, str]], epochs: int = 6, seed: int = 5, accu
     for _ in range(epochs):
         for batch in np.array_split(rng.permutation(train), max(1, -(-len(train) // 32))):
             # part of a text now and then, so that short texts are known too
-            picks = [rng.choice(rows[k][0], size=min(len(rows[k][0]), int(rng.integers(8, SUBWORDS))), replace=False) for k in batch]
+            picks = [_draw(rows[k][0], rows[k][1], rng) for k in batch]
             sizes = np.array([len(p) for p in picks])
             flat, owner = np.concatenate(picks), np.repeat(np.arange(len(batch)), sizes)
             mean = np.zeros((len(batch), DIMENSION))
@@ -127,8 +138,8 @@ def fit(rows: list[tuple[np.ndarray, str]], epochs: int = 6, seed: int = 5, accu
             bias -= rate * p.sum(0) / len(batch)
             np.add.at(embed, flat, -rate * 4 * back[owner])
             done += 1
-    model = Model(languages, np.ascontiguousarray((embed @ layer).T), bias)
-    logits = np.stack([model.table[:, rows[k][0]].mean(1) if len(rows[k][0]) else np.zeros(len(languages)) for k in check]) + bias
+    model = Model(languages, np.ascontiguousarray((embed @ layer).T.astype(np.float32)), bias)
+    logits = np.stack([model.table[:, rows[k][0]] @ (rows[k][1] / max(1, rows[k][1].sum())) for k in check]) + bias
     grid = np.exp(np.linspace(np.log(0.05), np.log(20), 60))
     loss = []
     for t in grid:
@@ -143,29 +154,28 @@ def fit(rows: list[tuple[np.ndarray, str]], epochs: int = 6, seed: int = 5, accu
     return model
 
 
-def training_rows(docs: DataFrame, per_language: int = PER_LANGUAGE) -> list[tuple[np.ndarray, str]]:
-    """Subword samples of at most about `per_language` labelled documents of each language."""
+def training_rows(docs: DataFrame, per_language: int = PER_LANGUAGE, most: int = TRAIN_ROWS) -> list[tuple[np.ndarray, np.ndarray, str]]:
+    """Buckets, their numbers in the whole text, and language of about `per_language` labelled documents of each language and `most` in all."""
     usable = docs.select("doc_id", "text", "lang").where(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & ~held_out(F.col("doc_id")))
     sums = usable.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES)
-    share = F.broadcast(sums.withColumn("every", F.greatest(F.lit(1), F.ceil(F.col("n") / F.lit(float(per_language))))).drop("n"))
+    wanted = F.least(F.lit(per_language), F.ceil(F.lit(most) / F.count("*").over(Window.partitionBy())))  # over MOST_LANGUAGES rows
+    share = F.broadcast(sums.withColumn("every", F.greatest(F.lit(1), F.ceil(F.col("n") / wanted))).drop("n"))
     chosen = usable.join(share, "lang").where(F.pmod(F.xxhash64("doc_id", F.lit(17)), F.col("every")) == 0)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, parts = batch.column("doc_id").to_pylist(), [[] for _ in range(batch.num_rows)]
+            found: list[tuple[bytes, bytes]] = []
             for chunk in T.chunks(batch.column("text")):
-                for order in ORDERS:
-                    buckets = subwords(chunk.data, order)
-                    for k, (a, n) in enumerate(zip(*_ranges(chunk.offsets, order), strict=True), chunk.first):
-                        own = buckets[a : a + n]
-                        draw = np.random.default_rng([abs(ids[k]), order])
-                        parts[k].append(draw.choice(own, SUBWORDS // len(ORDERS), replace=False) if n > SUBWORDS // len(ORDERS) else own)
-            found = pa.array([np.concatenate(x).tolist() for x in parts], pa.list_(pa.int32()))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("lang"), found], names=["doc_id", "lang", "subwords"])
-
-    found = chosen.select("doc_id", "text", "lang").mapInArrow(run, "doc_id long, lang string, subwords array<int>")
-    rows = sorted(found.collect(), key=lambda r: r["doc_id"])  # bounded: per_language x MOST_LANGUAGES x SUBWORDS
-    return [(np.array(r["subwords"], np.int64), r["lang"]) for r in rows]
+                every = [(subwords(chunk.data, order), *_ranges(chunk.offsets, order)) for order in ORDERS]
+                for k in range(chunk.last - chunk.first):
+                    own = np.concatenate([buckets[first[k] : first[k] + many[k]] for buckets, first, many in every])
+                    buckets, counts = np.unique(own, return_counts=True)
+                    found.append((buckets.astype(np.int32).tobytes(), counts.astype(np.int32).tobytes()))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("lang"), *(pa.array(c, pa.binary()) for c in zip(*found, strict=True))], names=["doc_id", "lang", "buckets", "counts"])
+
+    held = chosen.select("doc_id", "text", "lang").mapInArrow(run, "doc_id long, lang string, buckets binary, counts binary")
+    rows = sorted(held.toArrow().to_pylist(), key=lambda r: (r["doc_id"], r["buckets"], r["counts"], r["lang"]))
+    return [(np.frombuffer(r["buckets"], np.int32).astype(np.int64), np.frombuffer(r["counts"], np.int32).astype(np.int64), r["lang"]) for r in rows]
 
 
 def identify(docs: DataFrame, model: Model | None, reject: bool = False) -> DataFrame:

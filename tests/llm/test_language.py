@@ -66,3 +66,21 @@ def test_rejection_and_no_labels(spark, trained):
     assert language.fit(language.training_rows(docs)) is None
     assert language.identify(docs, None).first().lang_pred == "und"
     assert language.identify(docs.limit(0), model).count() == 0
+
+
+def test_letters_are_those_of_unicode(spark, trained):
+    _, model = trained
+    rows = [(1, "² ½ ① Ⅷ"), (2, "² ½ ① Ⅷ ª"), (3, "٣ _ 7"), (4, "漢")]
+    got = {r.doc_id: (r.lang_pred, r.score) for r in language.identify(spark.createDataFrame(rows, "doc_id long, text string"), model).collect()}
+    assert got[1] == got[3] == ("und", 0.0)
+    assert got[2][0] in model.languages and got[4][0] in model.languages
+
+
+def test_training_rows_count_whole_texts_and_stay_bounded(spark):
+    long = "abc" * 5000
+    docs = spark.createDataFrame([(2, long, "en"), (2, long, "en"), (3, "xy", "fr"), (4, None, "fr")], "doc_id long, text string, lang string")
+    rows = language.training_rows(docs)
+    assert sorted(int(c.sum()) for _, c, _ in rows) == sorted([0, 0] + [len(long) - 2 + len(long) - 4] * 2)
+    many = spark.createDataFrame([(k, f"word {k}", f"l{k % 3}") for k in range(900)], "doc_id long, text string, lang string")
+    assert 100 < len(language.training_rows(many, most=150)) < 220
+    assert {lang for *_, lang in language.training_rows(many, most=150)} == {"l0", "l1", "l2"}
