@@ -34,6 +34,14 @@ class Scratch:
             path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def unused(name: str, *frames: DataFrame) -> str:
+    """`name`, with as many underscores after it as no column of the frames has."""
+    taken = {c.lower() for frame in frames for c in frame.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 #: Buckets of ids in `divided`, one bit each, 64 to a row: the bound of what it broadcasts is 2^18 rows of two numbers.
 ID_BUCKETS = 1 << 24
 
@@ -46,9 +54,10 @@ def divided(rows: DataFrame, ids: DataFrame, id_col: str = "doc_id") -> tuple[Da
     """
     bucket = F.pmod(F.xxhash64(id_col), F.lit(ID_BUCKETS))
     word, bit = F.shiftright(bucket, 6), F.pmod(bucket, F.lit(64)).cast("int")
-    bits = ids.groupBy(word.alias("__word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), bit)).alias("__bits"))
-    joined = rows.withColumn("__word_of_row", word).join(F.broadcast(bits), F.col("__word_of_row") == F.col("__word"), "left")
-    inside = F.coalesce(F.getbit("__bits", bit) == 1, F.lit(False))
+    of_row, of_ids, bits = (unused(name, rows) for name in ("word_of_row", "word_of_ids", "bits_of_ids"))
+    used = ids.groupBy(word.alias(of_ids)).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), bit)).alias(bits))
+    joined = rows.withColumn(of_row, word).join(F.broadcast(used), F.col(of_row) == F.col(of_ids), "left")
+    inside = F.coalesce(F.getbit(bits, bit) == 1, F.lit(False))
     return joined.where(inside).select(*rows.columns), joined.where(~inside).select(*rows.columns)
 
 

@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from parcelflow.llm import textarrays as T
 from parcelflow.llm import words as W
-from parcelflow.llm.shared import checkpointed, divided
+from parcelflow.llm.shared import checkpointed, divided, unused
 
 WINDOW = 50
 SEED_WORDS = 8
@@ -228,7 +228,7 @@ def _contested(docs: DataFrame, wanted: DataFrame, window: int) -> DataFrame:
 
 
 def _windows(crowded: DataFrame, window: int) -> DataFrame:
-    """A row with a 128-bit hash for each window of the rows."""
+    """A row with a 128-bit hash for each different window of each row, and its places."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -237,11 +237,20 @@ def _windows(crowded: DataFrame, window: int) -> DataFrame:
                 w1, bounds = words.sequences(window)
                 w2, _ = T.Words(words.starts, words.ends, words.bounds, T.mix(words.hashes, 31)).sequences(window)
                 row = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
-                part = batch.slice(chunk.first, chunk.last - chunk.first).take(pa.array(row))
-                at = part.column("at").to_numpy() + np.arange(len(row)) - bounds[:-1][row]
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("seed", "h1", "h2", "doc_id")), pa.array(at, pa.int32()), pa.array(w1.view(np.int64)), pa.array(w2.view(np.int64))], names=["seed", "h1", "h2", "doc_id", "at", "w1", "w2"])
+                at = part_at(batch, chunk)[row] + np.arange(len(row)) - bounds[:-1][row]
+                order = np.lexsort((at, w2, w1, row))
+                row, w1, w2, at = row[order], w1[order], w2[order], at[order]
+                new = np.ones(len(row), bool)
+                new[1:] = (row[1:] != row[:-1]) | (w1[1:] != w1[:-1]) | (w2[1:] != w2[:-1])
+                first = np.flatnonzero(new)
+                part = batch.slice(chunk.first, chunk.last - chunk.first).take(pa.array(row[first]))
+                places = pa.ListArray.from_arrays(pa.array(np.append(first, len(row)), pa.int32()), pa.array(at, pa.int32()))
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("seed", "h1", "h2", "doc_id")), places, pa.array(w1[first].view(np.int64)), pa.array(w2[first].view(np.int64))], names=["seed", "h1", "h2", "doc_id", "places", "w1", "w2"])
 
-    return crowded.select("seed", "h1", "h2", "doc_id", "at", "words").mapInArrow(run, "seed long, h1 long, h2 long, doc_id long, at int, w1 long, w2 long")
+    def part_at(batch: pa.RecordBatch, chunk: T.Chunk) -> np.ndarray:
+        return batch.column("at").to_numpy()[chunk.first : chunk.last]
+
+    return crowded.select("seed", "h1", "h2", "doc_id", "at", "words").mapInArrow(run, "seed long, h1 long, h2 long, doc_id long, places array<int>, w1 long, w2 long")
 
 
 def _by_automata(runs: DataFrame, window: int) -> DataFrame:
@@ -292,7 +301,7 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     sized = contested.join(sizes, "shard")
     windows = _windows(sized.where(F.col("n") > SHARD_RUNS), window)
     least = windows.groupBy("w1", "w2").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("w1", "w2", "low")
-    by_hash = windows.join(least, ["w1", "w2"]).where("doc_id > low").select(*key, "at", F.lit(1).alias("n"))
+    by_hash = windows.join(least, ["w1", "w2"]).where("doc_id > low").select(*key, F.explode("places").alias("at"), F.lit(1).alias("n"))
     inner = _by_automata(sized.where(F.col("n") <= SHARD_RUNS), window).unionByName(by_hash)
     inner = inner.groupBy(*key).agg(F.collect_list(F.struct("at", "n")).alias("parts"))
 
@@ -342,13 +351,15 @@ def strip(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """`docs` with repeated passages cut out: other texts stay as they are, cut ones keep their white space
     between kept words that were neighbours and get a space at a cut; texts with no word left go, n_chars follows."""
     th = F.xxhash64("text")
-    spans = repeated_spans(docs, window).select(F.col("doc_id").alias("_id"), F.col("th").alias("_th"), F.col("spans").alias("_spans"))
-    near, rest = divided(docs, spans.withColumnRenamed("_id", "doc_id"))
-    held = near.join(spans, (near["doc_id"] == F.col("_id")) & (th == F.col("_th")), "left").drop("_id", "_th")
+    own_id, own_th, cuts = (unused(name, docs) for name in ("id_of_spans", "hash_of_spans", "spans_of_text"))
+    spans = repeated_spans(docs, window)
+    near, rest = divided(docs, spans)
+    named = spans.select(F.col("doc_id").alias(own_id), F.col("th").alias(own_th), F.col("spans").alias(cuts))
+    held = near.join(named, (near["doc_id"] == F.col(own_id)) & (th == F.col(own_th)), "left").drop(own_id, own_th)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            column, spans = batch.column("text"), batch.column("_spans").to_pylist()
+            column, spans = batch.column("text"), batch.column(cuts).to_pylist()
             texts, stays = column.to_pylist(), [True] * batch.num_rows
             for chunk in T.chunks(column):
                 words = T.words_of(chunk)
@@ -359,7 +370,7 @@ def strip(docs: DataFrame, window: int = WINDOW) -> DataFrame:
                     parts = _stretches(_kept(b - a, spans[chunk.first + k], window).tolist())
                     texts[chunk.first + k] = " ".join(bytes(chunk.data[words.starts[a + i] : words.ends[a + i + n - 1]]).decode() for i, n in parts)
                     stays[chunk.first + k] = bool(parts)
-            out = {name: batch.column(name) for name in batch.schema.names if name != "_spans"} | {"text": pa.array(texts, pa.string())}
+            out = {name: batch.column(name) for name in batch.schema.names if name != cuts} | {"text": pa.array(texts, pa.string())}
             if "n_chars" in out:
                 out["n_chars"] = pa.array([len(t) if s and t is not None else n for t, s, n in zip(texts, spans, batch.column("n_chars").to_pylist(), strict=True)], batch.column("n_chars").type)
             yield pa.RecordBatch.from_arrays(list(out.values()), names=list(out)).filter(pa.array(stays))
