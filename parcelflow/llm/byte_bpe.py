@@ -24,7 +24,7 @@ NO_RANK = np.int32(2**31 - 1)
 #: Pieces longer than this merge on their own, all equal pairs of a round at once.
 LONG_PIECE = 256
 #: Entries of the piece cache of one worker; it is emptied when full.
-CACHE_ENTRIES = 400_000
+CACHE_ENTRIES = 100_000
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -218,7 +218,7 @@ def _table(data: bytes, pattern: str) -> ByteBpe:
     return _BUILT[key]
 
 
-def _slices(texts: list[str | None], most: int = 2_000_000) -> Iterator[tuple[int, int]]:
+def _slices(texts: list[str | None], most: int = 500_000) -> Iterator[tuple[int, int]]:
     """Ranges of rows of about `most` characters, so that memory does not follow the batch."""
     start = size = 0
     for k, text in enumerate(texts):

@@ -47,7 +47,7 @@ from parcelflow.llm.shared import Scratch, checkpointed, connected_components, d
 FREQUENCY_CELLS = 1 << 18
 #: Sets and shingles that one cell of a large group holds, about.
 CELL_SETS, CELL_SHINGLES = 1024, 1_500_000
-COLUMNS = 4096
+COLUMNS = 1024
 #: Lists of one task that share a value from which it counts by matrix products.
 COMMON = 48
 #: Sets of a prefix shingle up to which it gives pairs.
@@ -285,7 +285,7 @@ def _shared_counts(lists: list[np.ndarray]) -> np.ndarray:
         first, size = first[size > gap], size[size > gap]
         at = np.repeat(first, size - gap) + _counted(size - gap)
         held.append(owner[at] * m + owner[at + gap])
-        if sum(map(len, held)) > 4 * m * m or gap == COMMON - 1 or not len(first):
+        if sum(map(len, held)) > 500_000 or gap == COMMON - 1 or not len(first):
             pairs += np.bincount(np.concatenate(held), minlength=m * m).astype(np.float32)
             held = []
         if not len(first):

@@ -42,8 +42,8 @@ def unused(name: str, *frames: DataFrame) -> str:
     return name
 
 
-#: Buckets of ids in `divided`, one bit each, 64 to a row: the bound of what it broadcasts is 2^18 rows of two numbers.
-ID_BUCKETS = 1 << 24
+#: Buckets of ids in `divided`, one bit each, 64 to a row: the bound of what it broadcasts is 2^16 rows of two numbers.
+ID_BUCKETS = 1 << 22
 
 
 def divided(rows: DataFrame, ids: DataFrame, id_col: str = "doc_id") -> tuple[DataFrame, DataFrame]:
