@@ -11,11 +11,15 @@ from pyspark.sql import functions as F
 
 from parcelflow.llm import byte_bpe, jaccard_join, mixing, quality_model, substring_dedup
 from parcelflow.llm.queries import vocabulary
+from parcelflow.llm.shared import checkpointed, divided, unused
 from parcelflow.sources.shared import shared_folder
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier scores 0.3 or more; it learns from `labels`."""
+    """Documents that the quality classifier scores 0.3 or more; it learns from `labels`.
+
+    Null and empty texts have a score like any other; equal texts stay or go together, repeated rows too.
+    """
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     return quality_model.keep_good(docs, quality_model.train(docs, labels))
 
@@ -23,31 +27,45 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document of the least id of each component of five-word shingles at a similarity of 0.8.
 
-    Documents without words are in no group. Of rows with one id and equal texts one stays; rows
-    without id stay.
+    Documents without words, null texts among them, are in no group and stay. Of rows with one id and
+    equal texts the one with the least other columns stays; rows without id stay. Only documents that may
+    go are shuffled.
     """
     groups = jaccard_join.join(docs, words=5, part=80)
-    removed = groups.where("component_id <> doc_id").select("doc_id").distinct()
-    rest = docs.join(removed, "doc_id", "left_anti")
-    return rest.where("doc_id is not null").dropDuplicates(["doc_id", "text"]).unionByName(rest.where("doc_id is null")).select(*docs.columns)
+    removed = checkpointed(groups.where("component_id <> doc_id").select("doc_id").distinct())
+    repeated = checkpointed(docs.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"))
+    near, rest = divided(docs, removed.unionByName(repeated))
+    held = near.join(removed, "doc_id", "left_anti").select(*docs.columns)
+    others = [c for c in docs.columns if c not in ("doc_id", "text")]
+    single = held.where("doc_id is not null").groupBy("doc_id", "text").agg(F.min(F.struct(*others)).alias("others"))
+    single = single.select(*(F.col(c) if c in ("doc_id", "text") else F.col("others")[c].alias(c) for c in docs.columns))
+    return rest.unionByName(held.where("doc_id is null")).unionByName(single)
 
 
 def cut_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the passages of 50 words that an earlier one has; those left without a word go."""
+    """Documents without the passages of 50 words that an earlier one has; those left without a word go.
+
+    Null and empty texts and rows without id stay as they are; rows of one id never cut each other.
+    """
     return substring_dedup.strip(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it, which may be never; rows equal in id, text and source are taken alike."""
-    key = F.xxhash64("text", "source")
-    taken = mixing.mix(docs.withColumn("_key", key), carry=("_key",))
-    picks = taken.groupBy(F.col("doc_id").alias("_id"), "_key").agg(F.max("copies").alias("_copies")).where("_copies > 0")
-    held = docs.join(picks, docs["doc_id"].eqNullSafe(picks["_id"]) & (key == picks["_key"]))
-    return held.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select(*docs.columns)
+    """Each document as often as the mix takes it, which may be never.
+
+    Rows equal in id, text and source are taken alike. A null source is a source; texts without words have
+    size 0.
+    """
+    key, of, count, copy = (unused(name, docs) for name in ("mix_key", "mix_id", "mix_copies", "mix_copy"))
+    value = F.xxhash64("text", "source")
+    taken = mixing.mix(docs.withColumn(key, value), carry=(key,))
+    picks = taken.groupBy(F.col("doc_id").alias(of), key).agg(F.max("copies").alias(count)).where(F.col(count) > 0)
+    held = docs.join(picks, docs["doc_id"].eqNullSafe(picks[of]) & (value == picks[key]))
+    return held.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(count).cast("int")))).select(*docs.columns)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, source, n_tokens and the ids of every document."""
+    """doc_id, source, n_tokens and the ids of every row; null and empty texts have none."""
     coded = byte_bpe.encode(docs.select("doc_id", "source", "text"), vocabulary(), public_tokenizers.PATTERN)
     return coded.select("doc_id", "source", F.size("ids").cast("long").alias("n_tokens"), "ids")
 
@@ -62,7 +80,7 @@ STAGES: list[tuple[str, Stage]] = [
     ("byte_bpe", encode),
 ]
 
-#: No stage but the third can be said in SQL; tests hold the stages against brute force instead.
+#: The second and the third stage can be said in SQL, the others cannot; tests hold all against brute force instead.
 ORACLE_SQL: str | None = None
 
 
