@@ -32,15 +32,15 @@ def trends(days: DataFrame, as_of: date, spans: tuple[int, ...] = (7, 28)) -> Da
 
 
 def promotions(days: DataFrame, known: DataFrame, as_of: date, window: int = 90, least_days: int = 3, clicks: int = 2, impressions: int = 100) -> DataFrame:
-    """Pages not yet notable that were active on enough days and clicked or shown enough."""
-    rows = days.where(F.col("day") > F.date_sub(F.lit(as_of), window)).where("clicks > 0 or impressions > 0")
+    """Pages not yet notable with rows on enough days of the window, clicked or shown or not, and clicked or shown enough."""
+    rows = days.where(F.col("day") >= F.date_sub(F.lit(as_of), window))
     totals = rows.groupBy("page").agg(F.count_distinct("day").alias("days"), F.sum("clicks").alias("clicks"), F.sum("impressions").alias("impressions"))
     enough = (F.col("days") >= least_days) & ((F.col("clicks") >= clicks) | (F.col("impressions") >= impressions))
     return totals.where(enough).join(known.select("page"), "page", "left_anti")
 
 
 def stratified(candidates: DataFrame, total: int, shares: dict[str, float], order: list[Column]) -> DataFrame:
-    """`total` rows, each cohort's quota first, then what is left over from any cohort, in cohort order."""
+    """`total` rows, each cohort's quota first, then what is left over from any cohort in the candidates' own order."""
     quota, rest = {}, total
     names = list(shares)
     for name in names[:-1]:
@@ -51,7 +51,7 @@ def stratified(candidates: DataFrame, total: int, shares: dict[str, float], orde
     place = F.element_at(F.create_map(*[F.lit(x) for k, n in enumerate(names) for x in (n, k)]), F.col("cohort"))
     ranked = candidates.withColumn("rank", F.row_number().over(Window.partitionBy("cohort").orderBy(*order)))
     first = F.when(F.col("rank") <= limit, 0).otherwise(1)
-    return ranked.where(F.col("rank") <= total).orderBy(first, place, "rank").limit(total).drop("rank")
+    return ranked.where(F.col("rank") <= total).orderBy(first, F.when(first == 0, place), *order).limit(total).drop("rank")
 
 
 def residence_cohort(members: DataFrame, candidates: DataFrame, as_of: date, size: int = 100, residence: int = 42, rotation: int = 20) -> DataFrame:
@@ -79,19 +79,28 @@ def enqueue(observed: DataFrame, subscriptions: DataFrame, deliveries: DataFrame
     return due.join(deliveries.select("subscription", "change"), ["subscription", "change"], "left_anti")
 
 
-def claim(queue: DataFrame, now: datetime, batch: int = 25, attempts: int = 5) -> DataFrame:
-    """The queue with the oldest due rows leased by this single writer; tokens follow from the row and the clock."""
+def claim(queue: DataFrame, enabled: DataFrame, now: datetime, batch: int = 25, attempts: int = 5) -> DataFrame:
+    """The queue with the oldest due rows of enabled subscriptions leased by this single writer; tokens follow from the row and the clock, and leased rows are due at no time."""
     due = (F.col("status") == "queued") & (F.col("attempts") < attempts) & (F.col("due_at") <= F.lit(now))
-    chosen = queue.where(due).orderBy("due_at", "id").limit(batch).select("id", F.lit(True).alias("chosen"))
+    chosen = queue.where(due).join(enabled.select("subscription"), "subscription", "left_semi").orderBy("due_at", "created_at", "id").limit(batch).select("id", F.lit(True).alias("chosen"))
     rows = queue.join(chosen, "id", "left")
     took = F.coalesce("chosen", F.lit(False))
-    return rows.select("id", F.when(took, "processing").otherwise(F.col("status")).alias("status"), (F.col("attempts") + took.cast("int")).alias("attempts"), "due_at", F.when(took, F.sha2(F.concat_ws(":", F.col("id").cast("string"), F.lit(str(now))), 256)).alias("token"), F.when(took, F.lit(now)).alias("claimed_at"))
+    return rows.select("id", F.when(took, "processing").otherwise(F.col("status")).alias("status"), (F.col("attempts") + took.cast("int")).alias("attempts"), F.when(~took, F.col("due_at")).alias("due_at"), F.when(took, F.sha2(F.concat_ws(":", F.col("id").cast("string"), F.lit(str(now))), 256)).alias("token"), F.when(took, F.lit(now)).alias("claimed_at"))
 
 
 def expire_leases(queue: DataFrame, now: datetime, minutes: int = 30, attempts: int = 5) -> DataFrame:
-    """Leases older than `minutes` go back to the queue, or fail after the last attempt."""
+    """Leases older than `minutes` go back to the queue, due now, or fail after the last attempt; either way claim and token go."""
     stale = (F.col("status") == "processing") & (F.col("claimed_at") <= F.lit(now) - F.make_dt_interval(mins=F.lit(minutes)))
-    return queue.withColumn("status", F.when(stale & (F.col("attempts") >= attempts), "failed").when(stale, "queued").otherwise(F.col("status")))
+    stale = F.coalesce(stale, F.lit(False))
+    last = stale & (F.col("attempts") >= attempts)
+    return queue.withColumns(
+        {
+            "status": F.when(last, "failed").when(stale, "queued").otherwise(F.col("status")),
+            "due_at": F.when(stale & ~last, F.lit(now)).when(~stale, F.col("due_at")),
+            "claimed_at": F.when(~stale, F.col("claimed_at")),
+            "token": F.when(~stale, F.col("token")),
+        }
+    )
 
 
 def complete(queue: DataFrame, results: DataFrame, now: datetime, attempts: int = 5) -> DataFrame:

@@ -70,7 +70,7 @@ def insights(sales: DataFrame, keys: list[str], as_of: date, price_gate: int = 2
     both_prices = (F.col("sales_12m") >= price_gate) & (F.col("previous_12m") >= price_gate)
     both_counts = (F.col("sales_12m") >= activity_gate) & (F.col("previous_12m") >= activity_gate)
     split = (F.col("new_count") >= split_gate) & (F.col("old_count") >= split_gate)
-    gap = stats.round_half_up(F.datediff("last_now", "first_now") / (F.col("sales_12m") - 1))
+    gap = F.datediff("last_now", "first_now") / (F.col("sales_12m") - 1)
     return raw.select(
         *keys,
         "sales_12m",
@@ -78,10 +78,10 @@ def insights(sales: DataFrame, keys: list[str], as_of: date, price_gate: int = 2
         F.col("median_now").alias("median_price"),
         F.round(F.col("mean_now") + 1e-7, 2).alias("avg_price"),
         F.when(both_prices, F.round(stats.percent_change(F.col("median_now"), F.col("median_before")), 4)).alias("yoy_percent"),
-        F.when((F.col("sales_12m") >= price_gate) & (F.col("third_12m") >= price_gate), F.round(stats.percent_change(F.col("median_now"), F.col("median_third")), 4)).alias("three_year_percent"),
+        F.when(both_prices & (F.col("third_12m") >= price_gate), F.round(stats.percent_change(F.col("median_now"), F.col("median_third")), 4)).alias("three_year_percent"),
         F.when(both_counts, F.round(stats.percent_change(F.col("sales_12m"), F.col("previous_12m")), 4)).alias("activity_percent"),
         both_counts.alias("activity_reliable"),
-        F.when(F.col("sales_12m") >= gap_gate, F.nullif(F.greatest(gap, F.lit(0.0)), F.lit(0.0))).alias("days_between_sales"),
+        F.when((F.col("sales_12m") >= gap_gate) & (gap > 0), F.greatest(stats.round_half_up(gap), F.lit(1.0))).alias("days_between_sales"),
         stats.gated(F.col("q1"), F.col("sales_12m"), spread_gate).alias("price_p25"),
         stats.gated(F.col("q3"), F.col("sales_12m"), spread_gate).alias("price_p75"),
         F.when(split, F.col("new_raw")).alias("new_median"),
@@ -103,9 +103,9 @@ def peak_month(sales: DataFrame, keys: list[str], least_years: int = 4, least_sa
 
 
 def threshold_shares(sales: DataFrame, keys: list[str], as_of: date, thresholds: tuple[int, ...] = (300_000, 400_000, 500_000), least: int = 18, low: float = 10, high: float = 90) -> DataFrame:
-    """Share of the last 12 months' sales above each price; near-empty and near-full shares are left out."""
+    """Share in whole percent of the last 12 months' sales above each price; those under `low` or over `high` are left out."""
     recent = sales.where(_within(dates.rolling(as_of, 12)))
-    above = [F.round(F.avg((_price() > t).cast("double")) * 100, 4).alias(str(t)) for t in thresholds]
+    above = [stats.round_half_up(F.avg((_price() > t).cast("double")) * 100).alias(str(t)) for t in thresholds]
     wide = recent.groupBy(*keys).agg(F.count("*").alias("sales_count"), *above).where(F.col("sales_count") >= least)
     long = wide.unpivot([*keys, "sales_count"], [str(t) for t in thresholds], "threshold", "share")
     return long.where(F.col("share").between(low, high)).select(*keys, F.col("threshold").cast("long").alias("threshold"), "sales_count", "share")
@@ -147,8 +147,8 @@ def strongest_county(sales: DataFrame, as_of: date, gate: int = 24) -> DataFrame
 
 
 def _descending(column: str) -> Column:
-    """A key that is greater for names earlier in order; names differ within their first 64 characters."""
-    return F.translate(F.hex(F.rpad(F.substring(column, 1, 64), 64, " ").cast("binary")), "0123456789ABCDEF", "FEDCBA9876543210")
+    """A key that is greater for names earlier in order; the end of a name is greater than any byte."""
+    return F.concat(F.translate(F.hex(F.col(column).cast("binary")), "0123456789ABCDEF", "FEDCBA9876543210"), F.lit("G"))
 
 
 def match_markets(sales: DataFrame, markets: DataFrame) -> DataFrame:

@@ -56,7 +56,7 @@ def percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _insights_sql(keys: str, source: str = "sales", extra: str = "") -> str:
     both, split = "sales_12m >= 24 and previous_12m >= 24", "new_count >= 8 and old_count >= 8"
-    gap = "floor(date_diff('day', first_now, last_now) / nullif(sales_12m - 1, 0) + 0.5)"
+    gap = "date_diff('day', first_now, last_now) / nullif(sales_12m - 1, 0)"
     return f"""raw as (select {keys}, count(*) filter ({NOW}) as sales_12m, count(*) filter ({BEFORE}) as previous_12m, count(*) filter ({THIRD}) as third_12m,
       median(price_eur) filter ({NOW}) as median_now, median(price_eur) filter ({BEFORE}) as median_before, median(price_eur) filter ({THIRD}) as median_third,
       avg(price_eur) filter ({NOW}) as mean_now, min(date_of_sale) filter ({NOW}) as first_now, max(date_of_sale) filter ({NOW}) as last_now,
@@ -66,9 +66,9 @@ def _insights_sql(keys: str, source: str = "sales", extra: str = "") -> str:
       from {source} where date_of_sale <= {DAY} group by {keys}),
     insights as (select {keys}, sales_12m, previous_12m, median_now as median_price, round(mean_now + 1e-7, 2) as avg_price,
       case when {both} then round({_change('median_now', 'median_before')}, 4) end as yoy_percent,
-      case when sales_12m >= 24 and third_12m >= 24 then round({_change('median_now', 'median_third')}, 4) end as three_year_percent,
+      case when {both} and third_12m >= 24 then round({_change('median_now', 'median_third')}, 4) end as three_year_percent,
       case when {both} then round({_change('sales_12m', 'previous_12m')}, 4) end as activity_percent, ({both}) as activity_reliable,
-      case when sales_12m >= 6 then nullif(greatest({gap}, 0.0), 0.0) end as days_between_sales,
+      case when sales_12m >= 6 and {gap} > 0 then greatest(floor({gap} + 0.5), 1.0) end as days_between_sales,
       case when sales_12m >= 12 then q1 end as price_p25, case when sales_12m >= 12 then q3 end as price_p75,
       case when {split} then new_raw end as new_median, case when {split} then old_raw end as second_hand_median,
       case when {split} then new_raw - old_raw end as new_premium, case when {split} then round({_change('new_raw', 'old_raw')}, 4) end as new_premium_percent
@@ -108,7 +108,7 @@ def peak_months(spark: SparkSession, sf_dir: str) -> DataFrame:
     "a13_threshold_shares",
     f"""with {SALES}, w as (select county, count(*) as sales_count, avg((price_eur > 40000)::int) * 100 as a, avg((price_eur > 50000)::int) * 100 as b, avg((price_eur > 60000)::int) * 100 as c
       from sales where {NOW} group by county having count(*) >= 18),
-    l as (select county, 40000::bigint as threshold, sales_count, round(a, 4) as share from w union all select county, 50000, sales_count, round(b, 4) from w union all select county, 60000, sales_count, round(c, 4) from w)
+    l as (select county, 40000::bigint as threshold, sales_count, floor(a + 0.5) as share from w union all select county, 50000, sales_count, floor(b + 0.5) from w union all select county, 60000, sales_count, floor(c + 0.5) from w)
     select * from l where share between 10 and 90""",
 )
 def thresholds(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -50,7 +50,7 @@ def trends(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "a38_promotions",
     f"""with {SEARCH_DAYS} select page, count(distinct day) as days, sum(clicks)::bigint as clicks, sum(impressions)::bigint as impressions from search_days
-    where day > {DAY} - 90 and (clicks > 0 or impressions > 0) and page % 5 <> 0 group by page having count(distinct day) >= 3 and (sum(clicks) >= 2 or sum(impressions) >= 100)""",
+    where day >= {DAY} - 90 and page % 5 <> 0 group by page having count(distinct day) >= 3 and (sum(clicks) >= 2 or sum(impressions) >= 100)""",
 )
 def promotions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages to promote; those whose number is divisible by five are notable already."""
@@ -62,7 +62,7 @@ def promotions(spark: SparkSession, sf_dir: str) -> DataFrame:
     "w7_stratified_sample",
     f"""with {SEARCH_DAYS}, c as (select page, case page % 3 when 0 then 'notable' when 1 then 'left' else 'recent' end as cohort, sum(clicks)::bigint as clicks from search_days group by page),
     r as (select *, row_number() over (partition by cohort order by clicks desc, page) as rank from c)
-    select page, cohort, clicks from r where rank <= 40 order by case when rank <= case cohort when 'notable' then 8 when 'left' then 12 else 20 end then 0 else 1 end, case cohort when 'notable' then 0 when 'left' then 1 else 2 end, rank limit 40""",
+    select page, cohort, clicks from r where rank <= 40 order by case when rank <= case cohort when 'notable' then 8 when 'left' then 12 else 20 end then case cohort when 'notable' then 0 when 'left' then 1 else 2 end else 3 end, clicks desc, page limit 40""",
 )
 def sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A sample of 40 pages with quotas of cohorts; sampling is the feature."""
@@ -132,29 +132,32 @@ def enqueue(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _queue(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = spark.read.parquet(f"{sf_dir}/events.parquet").where("event_type = 'purchase'")
-    return events.select(F.col("event_id").alias("id"), F.when(F.col("event_id") % 3 == 0, "processing").otherwise("queued").alias("status"), (F.col("event_id") % 7).cast("int").alias("attempts"), F.col("ts").alias("due_at"), F.when(F.col("event_id") % 3 == 0, F.col("ts")).alias("claimed_at"), F.when(F.col("event_id") % 3 == 0, F.sha2(F.col("event_id").cast("string"), 256)).alias("token"))
+    return events.select(F.col("event_id").alias("id"), F.when(F.col("event_id") % 3 == 0, "processing").otherwise("queued").alias("status"), (F.col("event_id") % 7).cast("int").alias("attempts"), F.col("ts").alias("due_at"), F.when(F.col("event_id") % 3 == 0, F.col("ts")).alias("claimed_at"), F.when(F.col("event_id") % 3 == 0, F.sha2(F.col("event_id").cast("string"), 256)).alias("token"), F.col("user_id").alias("subscription"), F.date_trunc("day", "ts").alias("created_at"))
 
 
-QUEUED = "queue as (select event_id as id, case when event_id % 3 = 0 then 'processing' else 'queued' end as status, (event_id % 7)::int as attempts, ts as due_at, case when event_id % 3 = 0 then ts end as claimed_at, case when event_id % 3 = 0 then sha256(cast(event_id as varchar)) end as token from events where event_type = 'purchase')"
+QUEUED = "queue as (select event_id as id, case when event_id % 3 = 0 then 'processing' else 'queued' end as status, (event_id % 7)::int as attempts, ts as due_at, case when event_id % 3 = 0 then ts end as claimed_at, case when event_id % 3 = 0 then sha256(cast(event_id as varchar)) end as token, user_id as subscription, date_trunc('day', ts) as created_at from events where event_type = 'purchase')"
 
 
 @query(
     "q2_claim_batch",
-    f"""with {QUEUED}, c as (select id from queue where status = 'queued' and attempts < 5 and due_at <= timestamp '{NOW}' order by due_at, id limit 25)
-    select id, case when id in (select id from c) then 'processing' else status end as status, attempts + (id in (select id from c))::int as attempts, due_at,
+    f"""with {QUEUED}, c as (select id from queue where status = 'queued' and attempts < 5 and due_at <= timestamp '{NOW}' and subscription % 4 <> 0 order by due_at, created_at, id limit 25)
+    select id, case when id in (select id from c) then 'processing' else status end as status, attempts + (id in (select id from c))::int as attempts, case when id not in (select id from c) then due_at end as due_at,
     case when id in (select id from c) then sha256(cast(id as varchar) || ':{NOW}') end as token, case when id in (select id from c) then timestamp '{NOW}' end as claimed_at from queue""",
 )
 def claims(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return M.claim(_queue(spark, sf_dir), NOW)
+    """Subscriptions whose number is divisible by four are disabled."""
+    queue = _queue(spark, sf_dir)
+    return M.claim(queue, queue.where("subscription % 4 <> 0").select("subscription").distinct(), NOW)
 
 
 @query(
     "q3_expire_leases",
-    f"""with {QUEUED} select id, case when status = 'processing' and claimed_at <= timestamp '{NOW}' - interval 30 minute and attempts >= 5 then 'failed'
-      when status = 'processing' and claimed_at <= timestamp '{NOW}' - interval 30 minute then 'queued' else status end as status from queue""",
+    f"""with {QUEUED}, q as (select *, coalesce(status = 'processing' and claimed_at <= timestamp '{NOW}' - interval 30 minute, false) as stale from queue)
+    select id, case when stale and attempts >= 5 then 'failed' when stale then 'queued' else status end as status,
+      case when stale and attempts < 5 then timestamp '{NOW}' when not stale then due_at end as due_at, case when not stale then claimed_at end as claimed_at, case when not stale then token end as token from q""",
 )
 def expired(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return M.expire_leases(_queue(spark, sf_dir), NOW).select("id", "status")
+    return M.expire_leases(_queue(spark, sf_dir), NOW).select("id", "status", "due_at", "claimed_at", "token")
 
 
 @query(

@@ -74,11 +74,70 @@ def test_changed_fields_ignore_array_order(spark):
     assert got == {1: ("unchanged", []), 2: ("changed", ["proposal"]), 3: ("new", [])}
 
 
+QUEUE = "id int, status string, attempts int, due_at timestamp, claimed_at timestamp, token string, subscription int, created_at timestamp"
+
+
+def test_claims_follow_subscription_and_age(spark):
+    now = datetime.datetime(2024, 1, 1, 12)
+    earlier = now - datetime.timedelta(hours=1)
+    rows = [(1, "queued", 0, now, None, None, 1, now), (2, "queued", 0, now, None, None, 1, earlier), (3, "queued", 0, earlier, None, None, 2, earlier), (4, "queued", 0, now, None, None, 1, now)]
+    got = {r.id: r for r in measure.claim(spark.createDataFrame(rows, QUEUE), spark.createDataFrame([(1,)], "subscription int"), now, batch=2).collect()}
+    assert {k for k, r in got.items() if r.status == "processing"} == {1, 2}  # 3 is disabled, 4 comes after 1
+    assert got[1].due_at is None and got[3].due_at == earlier
+
+
+def test_expired_leases_lose_their_claim(spark):
+    now = datetime.datetime(2024, 1, 1, 12)
+    old, due = now - datetime.timedelta(minutes=30), now - datetime.timedelta(days=1)
+    rows = [(1, "processing", 1, due, old, "t", 1, due), (2, "processing", 5, due, old, "t", 1, due), (3, "processing", 1, due, now, "t", 1, due), (4, "queued", 1, due, None, None, 1, due)]
+    got = {r.id: (r.status, r.due_at, r.claimed_at, r.token) for r in measure.expire_leases(spark.createDataFrame(rows, QUEUE), now).collect()}
+    assert got == {1: ("queued", now, None, None), 2: ("failed", None, None, None), 3: ("processing", due, now, "t"), 4: ("queued", due, None, None)}
+
+
+def test_busy_county_sells_every_day(spark):
+    as_of = D(2024, 6, 28)
+    rows = [sale(D(2024, 1, 1 + k % 3), 100) for k in range(24)] + [sale(D(2024, 1, 1), 100, county="Kerry")] * 24
+    rows += [sale(D(2021, 1, 1 + k), 50) for k in range(24)]
+    got = {r.county: r for r in sales.insights(spark.createDataFrame(rows, SALES), ["county"], as_of).collect()}
+    assert got["Cork"].days_between_sales == 1.0 and got["Kerry"].days_between_sales is None
+    assert got["Cork"].three_year_percent is None  # no sales in the year before
+
+
+def test_shares_are_whole_percents(spark):
+    rows = [sale(D(2024, 1, 1), 400_000 if k < 2 else 1) for k in range(21)]  # 9.52 %
+    rows += [sale(D(2024, 1, 1), 400_000 if k < 19 else 1, county="Kerry") for k in range(21)]  # 90.48 %
+    got = sales.threshold_shares(spark.createDataFrame(rows, SALES), ["county"], D(2024, 6, 28), thresholds=(300_000,)).collect()
+    assert {(r.county, r.share) for r in got} == {("Cork", 10.0), ("Kerry", 90.0)}
+
+
+def test_idle_days_and_the_first_day_count_for_promotion(spark):
+    as_of = D(2024, 6, 28)
+    first = as_of - datetime.timedelta(days=90)
+    rows = [("a", first, 2, 0), ("a", as_of, 0, 0), ("a", D(2024, 6, 1), 0, 0), ("b", first - datetime.timedelta(days=1), 2, 0), ("b", as_of, 2, 0), ("b", D(2024, 6, 1), 0, 0)]
+    days = spark.createDataFrame(rows, "page string, day date, clicks long, impressions long")
+    got = measure.promotions(days, days.where("false").select("page"), as_of).collect()
+    assert [(r.page, r.days, r.clicks) for r in got] == [("a", 3, 2)]
+
+
+def test_spill_follows_the_candidates_order(spark):
+    rows = [(k, ["notable", "recent", "left"][k % 3], k) for k in range(12)]
+    got = measure.stratified(spark.createDataFrame(rows, "id int, cohort string, n int"), 5, {"notable": 0.2, "left": 0.2, "recent": 0.0}, [F.asc("n")]).collect()
+    assert [r.id for r in got] == [0, 2, 1, 4, 7]  # quotas 1, 1 and the remaining 3
+    got = measure.stratified(spark.createDataFrame([(k, "left" if k % 2 else "notable", k) for k in range(6)], "id int, cohort string, n int"), 4, {"notable": 0.25, "left": 0.25, "recent": 0.5}, [F.asc("n")]).collect()
+    assert [r.id for r in got] == [0, 1, 2, 3]
+
+
+def test_names_that_agree_for_long(spark):
+    names = ["a" * 70, "a" * 70 + "b", "a" * 64, "b", "", "ab"]
+    df = spark.createDataFrame([(n,) for n in names], "name string")
+    assert [r.name for r in df.orderBy(sales._descending("name").desc()).collect()] == sorted(names)
+
+
 def test_queue_turns(spark):
     now = datetime.datetime(2024, 1, 1, 12)
     rows = [(1, "queued", 0, now, None, None), (2, "queued", 5, now, None, None), (3, "processing", 5, now, now - datetime.timedelta(minutes=30), "t"), (4, "processing", 1, now, now - datetime.timedelta(minutes=29), "u")]
-    queue = spark.createDataFrame(rows, "id int, status string, attempts int, due_at timestamp, claimed_at timestamp, token string")
-    claimed = {r.id: r for r in measure.claim(queue, now).collect()}
+    queue = spark.createDataFrame([(*r, 1, now) for r in rows], QUEUE)
+    claimed = {r.id: r for r in measure.claim(queue, spark.createDataFrame([(1,)], "subscription int"), now).collect()}
     assert claimed[1].status == "processing" and claimed[1].attempts == 1 and claimed[1].token and claimed[2].status == "queued"
     assert {r.id: r.status for r in measure.expire_leases(queue, now).collect()} == {1: "queued", 2: "queued", 3: "failed", 4: "processing"}
     results = spark.createDataFrame([(3, "t", True), (4, "stale", True)], "id int, token string, ok boolean")
