@@ -193,14 +193,30 @@ GROUPS: dict[str, tuple[str, list[tuple[str, bool]], int | None]] = {
 }
 
 
+def _sort_keys(order: list[tuple[str, bool]]) -> list[Column]:
+    """Three numbers that rise in the order of the numeric columns, which come before the label; null values last."""
+    keys = [F.col(c).cast("double") if up else -F.col(c).cast("double") for c, up in order if c != "label"]
+    return [*keys, *[F.lit(None).cast("double")] * (3 - len(keys))]
+
+
 def ranked_groups(comparison: DataFrame) -> DataFrame:
-    """group_key, rank, slug of every group; the rows are sorted first and capped then."""
-    parts = []
+    """group_key, rank, slug of every group; the rows are sorted first and capped then. One pass: a row becomes one for each group that it is in."""
+    entries = []
     for key, (member, order, cap) in GROUPS.items():
-        by = [F.col(c).asc_nulls_last() if up else F.col(c).desc_nulls_last() for c, up in order]
-        ranked = comparison.where(member).withColumn("group_key", F.lit(key)).withColumn("rank", F.row_number().over(Window.partitionBy("group_key").orderBy(*by, "slug")))
-        parts.append((ranked.where(F.col("rank") <= cap) if cap else ranked).select("group_key", "rank", "slug", "median_price", "sales_12m"))
-    return reduce(DataFrame.unionByName, parts)
+        fields = [F.lit(key).alias("group_key"), F.lit(cap).cast("int").alias("cap"), *(k.alias(f"key_{i}") for i, k in enumerate(_sort_keys(order)))]
+        entries.append(F.when(F.expr(member), F.struct(*fields)))
+    member_of = comparison.select("slug", "label", "median_price", "sales_12m", F.explode(F.array_compact(F.array(*entries))).alias("g")).select("slug", "label", "median_price", "sales_12m", "g.*")
+    by = Window.partitionBy("group_key").orderBy(*(F.col(f"key_{i}").asc_nulls_last() for i in range(3)), "label", "slug")
+    ranked = member_of.withColumn("rank", F.row_number().over(by))
+    return ranked.where(F.col("cap").isNull() | (F.col("rank") <= F.col("cap"))).select("group_key", "rank", "slug", "median_price", "sales_12m")
+
+
+def extremes(comparison: DataFrame) -> DataFrame:
+    """pick and slug of the highest, lowest, busiest and nearest to the national median, in one aggregation; ties go to more sales or the higher price, then to the label."""
+    price, many = F.col("median_price"), F.col("sales_12m")
+    picks = {"highest": [-price, -many], "lowest": [price, -many], "busiest": [-many, -price], "closest": [F.col("national_distance")]}
+    one = comparison.agg(*(F.min_by("slug", F.struct(*keys, "label")).alias(pick) for pick, keys in picks.items()))
+    return one.unpivot([], list(picks), "pick", "slug").where("slug is not null")
 
 
 def mode_or_none(rows: DataFrame, keys: list[str], value: str) -> DataFrame:

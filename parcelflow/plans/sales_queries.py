@@ -232,10 +232,7 @@ def search_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     union all select 'busiest', slug from (select * from m order by sales_12m desc, median_price desc, label limit 1) union all select 'closest', slug from (select * from m order by national_distance, label limit 1)""",
 )
 def extremes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = S.comparison_rows(sales(spark, sf_dir), markets(spark, sf_dir), SALES_AS_OF).where("kind = 'area'")
-    picks = {"highest": [F.desc("median_price"), F.desc("sales_12m"), F.asc("label")], "lowest": [F.asc("median_price"), F.desc("sales_12m"), F.asc("label")], "busiest": [F.desc("sales_12m"), F.desc("median_price"), F.asc("label")], "closest": [F.asc("national_distance"), F.asc("label")]}
-    parts = [rows.orderBy(*order).limit(1).select(F.lit(pick).alias("pick"), "slug") for pick, order in picks.items()]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
+    return S.extremes(S.comparison_rows(sales(spark, sf_dir), markets(spark, sf_dir), SALES_AS_OF).where("kind = 'area'"))
 
 
 @query(
