@@ -20,6 +20,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from parcelflow.llm.shared import trimmed
+
 NO_RANK = np.int32(2**31 - 1)
 #: Pieces longer than this merge on their own, all equal pairs of a round at once.
 LONG_PIECE = 256
@@ -245,7 +247,7 @@ def encode(docs: DataFrame, ranks: bytes, pattern: str, text_col: str = "text",
                 part = batch.slice(a, b - a)
                 yield pa.RecordBatch.from_arrays([part.column(f.name) for f in others] + [pa.array(ids, pa.list_(pa.int32()))], names=[f.name for f in others] + [ids_col])
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(trimmed(run), schema)
 
 
 def decode(coded: DataFrame, ranks: bytes, pattern: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
@@ -258,7 +260,7 @@ def decode(coded: DataFrame, ranks: bytes, pattern: str, id_col: str = "doc_id",
             out = [bpe.decode(ids or ()) for ids in batch.column(ids_col).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(id_col), pa.array(out, pa.binary())], names=[id_col, "decoded"])
 
-    return coded.select(id_col, ids_col).mapInArrow(run, f"`{id_col}` {coded.schema[id_col].dataType.simpleString()}, decoded binary")
+    return coded.select(id_col, ids_col).mapInArrow(trimmed(run), f"`{id_col}` {coded.schema[id_col].dataType.simpleString()}, decoded binary")
 
 
 def round_trip(docs: DataFrame, ranks: bytes, pattern: str) -> DataFrame:
@@ -278,4 +280,4 @@ def round_trip(docs: DataFrame, ranks: bytes, pattern: str) -> DataFrame:
                     decoded.append(hashlib.sha256(bpe.decode(ids)).hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(counts, pa.int64()), pa.array(coded, pa.string()), pa.array(decoded, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return docs.select("doc_id", "text").mapInArrow(trimmed(run), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -41,7 +41,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from parcelflow.llm import textarrays as T
-from parcelflow.llm.shared import Scratch, checkpointed, connected_components, divided
+from parcelflow.llm.shared import Scratch, checkpointed, connected_components, divided, trimmed
 
 #: Cells of the table that counts frequent shingles; its size does not follow the data.
 FREQUENCY_CELLS = 1 << 18
@@ -127,7 +127,7 @@ def frequencies(docs: DataFrame, terms: Terms) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(top, pa.int64()), pa.array(cells[top], pa.int64())], names=["cell", "n"])
 
     grade = np.zeros(FREQUENCY_CELLS, np.uint8)
-    for row in docs.select("text").mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect():
+    for row in docs.select("text").mapInArrow(trimmed(run), "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect():
         grade[row["cell"]] = min(31, int(row["n"]).bit_length())
     return grade
 
@@ -148,7 +148,7 @@ def signatures(docs: DataFrame, frequency: np.ndarray, terms: Terms, order: int)
                 lists = [_lists([p[~o] for p, o in zip(found, often, strict=True)]), _lists([p[o] for p, o in zip(found, often, strict=True)])]
                 yield pa.RecordBatch.from_arrays([part, pa.array([len(s) for s in sets], pa.int64()), *hashes, *bounds, *lists], names=["doc_id", "n", "h1", "h2", "common", "need", "prefix", "frequent"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, h1 long, h2 long, common int, need int, prefix array<long>, frequent array<long>")
+    return docs.select("doc_id", "text").mapInArrow(trimmed(run), "doc_id long, n long, h1 long, h2 long, common int, need int, prefix array<long>, frequent array<long>")
 
 
 def _lists(arrays: list[np.ndarray]) -> pa.ListArray:
@@ -343,7 +343,7 @@ def _verified(docs: DataFrame, placed: DataFrame, frequency: np.ndarray, terms:
 
     task = "struct<group: long, low: long, high: long>"
     near, _ = divided(docs.select("doc_id", "text"), placed)
-    held = near.join(placed, "doc_id").mapInArrow(read, f"doc_id long, own long, tasks array<{task}>, shingles array<long>")
+    held = near.join(placed, "doc_id").mapInArrow(trimmed(read), f"doc_id long, own long, tasks array<{task}>, shingles array<long>")
     dealt = held.select("doc_id", "own", F.explode("tasks").alias("t"), "shingles").select("t.group", "t.low", "t.high", "doc_id", "own", "shingles")
     dealt = dealt.repartition("group", "low", "high").sortWithinPartitions("group", "low", "high", "doc_id")
 
@@ -378,7 +378,7 @@ def _verified(docs: DataFrame, placed: DataFrame, frequency: np.ndarray, terms:
         close()
         yield _edge_batch(edges)
 
-    return dealt.mapInArrow(verify, "a long, b long")
+    return dealt.mapInArrow(trimmed(verify), "a long, b long")
 
 
 def _edge_batch(edges: list[tuple[int, int]]) -> pa.RecordBatch:

@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 
 from parcelflow.llm import textarrays as T
 from parcelflow.llm.language import held_out
+from parcelflow.llm.shared import trimmed
 
 #: Labelled documents that a model is fitted on, about.
 TRAIN_ROWS = 20_000
@@ -143,7 +144,7 @@ def _measured(docs: DataFrame, others: list[str]) -> DataFrame:
                 rows = pa.array(list(statistics(chunk)), pa.list_(pa.float64()))
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in others), rows], names=[*others, "stats"])
 
-    return docs.select(*others, "text").mapInArrow(run, f"{kinds}, stats array<double>")
+    return docs.select(*others, "text").mapInArrow(trimmed(run), f"{kinds}, stats array<double>")
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", rows: int = TRAIN_ROWS) -> Trees:
@@ -168,7 +169,7 @@ def score(docs: DataFrame, model: Trees) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(scores, pa.float64()), pa.array((scores >= GOOD).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
 
     slim = docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text")
-    return slim.mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
+    return slim.mapInArrow(trimmed(run), "doc_id long, held_out boolean, score double, predicted int")
 
 
 def keep_good(docs: DataFrame, model: Trees) -> DataFrame:
@@ -181,4 +182,4 @@ def keep_good(docs: DataFrame, model: Trees) -> DataFrame:
             scores = np.concatenate(parts) if parts else np.empty(0)
             yield batch.filter(pa.array(scores >= GOOD))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(trimmed(run), docs.schema)

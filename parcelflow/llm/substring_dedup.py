@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from parcelflow.llm import textarrays as T
 from parcelflow.llm import words as W
-from parcelflow.llm.shared import checkpointed, divided, unused
+from parcelflow.llm.shared import checkpointed, divided, trimmed, unused
 
 WINDOW = 50
 SEED_WORDS = 8
@@ -176,7 +176,7 @@ def _runs(docs: DataFrame, window: int) -> DataFrame:
                 rows = pa.array(text + chunk.first)
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(rows), batch.column("th").take(rows), pa.array(start, pa.int32()), pa.array(count, pa.int32()), *(pa.array(h.view(np.int64)) for h in hashes)], names=["doc_id", "th", "start", "count", "seed", "h1", "h2"])
 
-    return _signed(docs).where("doc_id is not null").mapInArrow(run, "doc_id long, th long, start int, count int, seed long, h1 long, h2 long")
+    return _signed(docs).where("doc_id is not null").mapInArrow(trimmed(run), "doc_id long, th long, start int, count int, seed long, h1 long, h2 long")
 
 
 def _split_by_context(words: T.Words, begin: int, count: int, seed: int, window: int) -> list[tuple[int, int, int]]:
@@ -224,7 +224,7 @@ def _contested(docs: DataFrame, wanted: DataFrame, window: int) -> DataFrame:
 
     by_row = wanted.groupBy("doc_id", "th").agg(F.collect_list(F.struct("start", "count", "seed", "h1", "h2", "crowded")).alias("runs"))
     near, _ = divided(_signed(docs), wanted)
-    return near.join(by_row, ["doc_id", "th"]).select("doc_id", "text", "runs").mapInArrow(run, "shard long, seed long, h1 long, h2 long, doc_id long, at int, words string")
+    return near.join(by_row, ["doc_id", "th"]).select("doc_id", "text", "runs").mapInArrow(trimmed(run), "shard long, seed long, h1 long, h2 long, doc_id long, at int, words string")
 
 
 def _windows(crowded: DataFrame, window: int) -> DataFrame:
@@ -250,7 +250,7 @@ def _windows(crowded: DataFrame, window: int) -> DataFrame:
     def part_at(batch: pa.RecordBatch, chunk: T.Chunk) -> np.ndarray:
         return batch.column("at").to_numpy()[chunk.first : chunk.last]
 
-    return crowded.select("seed", "h1", "h2", "doc_id", "at", "words").mapInArrow(run, "seed long, h1 long, h2 long, doc_id long, places array<int>, w1 long, w2 long")
+    return crowded.select("seed", "h1", "h2", "doc_id", "at", "words").mapInArrow(trimmed(run), "seed long, h1 long, h2 long, doc_id long, places array<int>, w1 long, w2 long")
 
 
 def _by_automata(runs: DataFrame, window: int) -> DataFrame:
@@ -278,7 +278,7 @@ def _by_automata(runs: DataFrame, window: int) -> DataFrame:
         close()
         yield _stretch_batch(out)
 
-    return dealt.mapInArrow(run, "seed long, h1 long, h2 long, at int, n int")
+    return dealt.mapInArrow(trimmed(run), "seed long, h1 long, h2 long, at int, n int")
 
 
 def _stretch_batch(rows: list[tuple[int, int, int, int, int]]) -> pa.RecordBatch:
@@ -340,7 +340,7 @@ def digests(docs: DataFrame, window: int = WINDOW) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.string())], names=["doc_id", "n_words", "n_removed", "kept_sha256"])
 
     near, _ = divided(_signed(docs), spans)
-    cut = near.join(spans, ["doc_id", "th"]).select("doc_id", "text", "spans").mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    cut = near.join(spans, ["doc_id", "th"]).select("doc_id", "text", "spans").mapInArrow(trimmed(run), "doc_id long, n_words long, n_removed long, kept_sha256 string")
     text = F.coalesce("text", F.lit(""))
     joined = F.regexp_replace(F.btrim(text, F.lit(W.SPACES)), W.SPACE_RUN, " ")
     whole = _signed(docs).select("doc_id", "th", W.word_count(text).alias("n_words"), F.lit(0).cast("long").alias("n_removed"), F.sha2(joined.cast("binary"), 256).alias("kept_sha256"))
@@ -375,7 +375,7 @@ def strip(docs: DataFrame, window: int = WINDOW) -> DataFrame:
                 out["n_chars"] = pa.array([len(t) if s and t is not None else n for t, s, n in zip(texts, spans, batch.column("n_chars").to_pylist(), strict=True)], batch.column("n_chars").type)
             yield pa.RecordBatch.from_arrays(list(out.values()), names=list(out)).filter(pa.array(stays))
 
-    return held.mapInArrow(run, docs.schema).unionByName(rest)
+    return held.mapInArrow(trimmed(run), docs.schema).unionByName(rest)
 
 
 ORACLE = r"""
