@@ -150,12 +150,12 @@ def revisions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "c14_marked_checked",
-    f"""with {APPLICATIONS}, {snapshot_sql('n', SALES_AS_OF)} select authority, count(*) as n, count(*) filter (authority = 'FRANCE' and registration_date >= date '1996-01-01' and registration_date < date '1999-01-01' and final_grant_date is null
+    f"""with {APPLICATIONS}, {snapshot_sql('n', SALES_AS_OF)} select authority, count(*) as n, count(*) filter (authority = 'NATION_1' and registration_date >= date '1996-01-01' and registration_date < date '1999-01-01' and final_grant_date is null
       and state <> 'final_grant' and (appeal_lodged_date is not null or state = 'appealed' or decision_date is null or decision_date >= {DAY} - 180)) as checked from n group by 1""",
 )
 def marked(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = snapshot(applications(spark, sf_dir), SALES_AS_OF).withColumn("last_checked", F.lit(None).cast("date"))
-    found = U.marked_checked(rows, "FRANCE", date(1996, 1, 1), date(1999, 1, 1), SALES_AS_OF)
+    found = U.marked_checked(rows, "NATION_1", date(1996, 1, 1), date(1999, 1, 1), SALES_AS_OF)
     return found.groupBy("authority").agg(F.count("*").alias("n"), F.count("last_checked").alias("checked"))
 
 
@@ -170,13 +170,13 @@ def quality_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "c21_proposal_backfill",
     f"""with {APPLICATIONS}, {SEARCH_DAYS}, {snapshot_sql('n', SALES_AS_OF)}, t as (select page, sum(clicks) as clicks, sum(impressions) as impressions from search_days group by 1), r as (select n.id, reference, registration_date, coalesce(clicks, 0) as clicks, coalesce(impressions, 0) as impressions, status = 'P' as is_notable,
-      case when coalesce(clicks, 0) > 0 or coalesce(impressions, 0) > 0 or status = 'P' then 0 when registration_date >= {DAY} - interval 24 month and state not in ('decision_made', 'final_grant') and decision_date is null then 1 else 2 end as priority from n left join t on page = n.id where length(location) = 18 and authority = 'FRANCE')
+      case when coalesce(clicks, 0) > 0 or coalesce(impressions, 0) > 0 or status = 'P' then 0 when registration_date >= {DAY} - interval 24 month and state not in ('decision_made', 'final_grant') and decision_date is null then 1 else 2 end as priority from n left join t on page = n.id where length(location) = 18 and authority = 'NATION_1')
     select * from r order by priority, clicks desc, impressions desc, registration_date desc, reference desc, id limit 100""",
 )
 def proposal_backfill(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Applications of one authority whose text has just the length at which its source cuts."""
     rows = snapshot(applications(spark, sf_dir), SALES_AS_OF)
-    cut = (F.col("authority") == "FRANCE") & (F.length("location") == 18)
+    cut = (F.col("authority") == "NATION_1") & (F.length("location") == 18)
     return U.proposal_backfill(rows, search_days(spark, sf_dir), rows.where("status = 'P'"), cut, SALES_AS_OF, 100)
 
 
@@ -264,7 +264,8 @@ def _number(name: str) -> Column:
 
 
 def _coded(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    codes = table(spark, sf_dir, "customer").select(_code(F.col("c_custkey")).alias("eircode"))
+    numbers = table(spark, sf_dir, "customer").select("c_custkey", F.explode(F.array(F.lit(0), F.lit(4), F.lit(3000))).alias("step"))
+    codes = numbers.select(_code(F.col("c_custkey") + F.col("step")).alias("eircode"))
     sold = sales(spark, sf_dir).select(_code(_number("address")).alias("eircode"), "date_of_sale", "county", "locality", F.when(F.col("is_new_dwelling"), F.col("area_slug")).alias("area_slug"), "price_eur")
     planned = applications(spark, sf_dir).select("id", _code(_number("location") + 7).alias("eircode"), "registration_date", F.col("authority").alias("county"), F.lit(" ").alias("locality"), F.when(F.col("id") % 2 == 0, F.lower("authority")).alias("area_slug"))
     return codes, sold, planned
@@ -274,7 +275,7 @@ def _code_sql(number: str) -> str:
     return f"'A' || ({number}) % 90 + 10 || ' ' || lpad(cast(({number}) % 10000 as varchar), 4, '0')".replace(f"({number}) % 90 + 10", f"cast(({number}) % 90 + 10 as varchar)")
 
 
-CODED_SQL = f"""{SALES}, {APPLICATIONS}, codes as (select distinct {_code_sql('c_custkey')} as eircode from customer),
+CODED_SQL = f"""{SALES}, {APPLICATIONS}, codes as (select distinct {_code_sql('k')} as eircode from (select c_custkey + unnest([0, 4, 3000]) as k from customer)),
     sold as (select {_code_sql("cast(regexp_extract(address, '(\\d+)$', 1) as bigint)")} as eircode, date_of_sale, county, locality, case when is_new_dwelling then area_slug end as area_slug from sales),
     planned as (select id, {_code_sql("cast(regexp_extract(location, '(\\d+)$', 1) as bigint) + 7")} as eircode, registration_date, authority as county, cast(null as varchar) as locality, case when id % 2 = 0 then lower(authority) end as area_slug from applications)"""
 CONTEXT_SQL = f"""{CODED_SQL}, s as (select eircode, county, locality, area_slug, m from (select *, row_number() over (partition by eircode order by date_of_sale desc, county desc, locality desc, area_slug desc nulls last) as rn from sold) join (select eircode, count(distinct county) > 1 or count(distinct locality) > 1 or count(distinct area_slug) > 1 as m from sold group by 1) using (eircode) where rn = 1),
@@ -295,7 +296,7 @@ def _context(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("x8_postcode_context", f"with {CONTEXT_SQL} select * from ctx")
 def postcode_context(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Context of every customer's code from sales, planning or the routing key."""
+    """Context of the codes made of every customer's number and of later ones: from sales, planning or the routing key, or none."""
     return _context(spark, sf_dir)
 
 
@@ -321,9 +322,10 @@ def exact_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "x4_unique_places",
-    "with a as (select distinct p_brand as county, lower(p_name) as label from part) select label as query, min(county) as county, min(label) as area_slug from a group by 1 having count(*) = 1",
+    "with a as (select distinct c_nationkey as county, c_custkey % 1000 as k from customer) select 'area ' || k as query, min(county) as county, 'area-' || k as area_slug from a group by k having count(*) = 1",
 )
 def unique_places(spark: SparkSession, sf_dir: str) -> DataFrame:
-    part = table(spark, sf_dir, "part")
-    areas = part.select(F.col("p_brand").alias("county"), F.lower("p_name").alias("area_slug"), F.upper("p_name").alias("area_label")).distinct()
-    return X.unique_place(part.select(F.lower("p_name").alias("query")), areas)
+    """Area names that only one nation has, asked in another case."""
+    k = (F.col("c_custkey") % 1000).cast("string")
+    customers = table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("county"), F.concat(F.lit("area-"), k).alias("area_slug"), F.concat(F.lit("Area "), k).alias("area_label"))
+    return X.unique_place(customers.select(F.lower("area_label").alias("query")), customers.distinct())

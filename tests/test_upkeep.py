@@ -107,3 +107,21 @@ def test_context(spark):
     }
     plans = {r["eircode"]: tuple(r)[1:] for r in context.fallback_plan(context.postcode_context(codes, sold, plan, routing)).collect()}
     assert plans == {"A10 0001": ("X", "area", None), "A10 0002": ("Y", "area", None), "A10 0003": ("S", "routing-key", None)}
+
+
+def test_search_rules(spark):
+    from parcelflow.operators import search
+
+    for text, kind in {"25-123": "reference", "1234567": "reference", "24/A12": "reference", "D6W XY12": "postcode", "Apt 12": "address", "a1": "area", "Naas": "area"}.items():
+        assert one(spark, search.intent(F.col("t")), t=text) == kind, text
+    areas = spark.createDataFrame(
+        [("Cork", "Carrigaline", "carrigaline", 900), ("Cork", "Carrigaline Rd", "carrigaline-rd", 3), ("Cork", "Carrigaline Road", "carrigaline-road", 9), ("Cork", "Carrig Hill", "carrig-hill", 200), ("Cork", "Tower", "tower", 100)],
+        "county string, label string, area_slug string, sales_count long",
+    )
+    assert [r["label"] for r in search.suggested_places(areas, "carrigaline").collect()] == ["Carrigaline", "Tower", "Carrig Hill"]
+    exact = search.suggested_places(areas, "Carrigaline road").collect()
+    assert exact[0]["label"] == "Carrigaline Road" and exact[0]["score"] == round(1080 + 35.0, 6)
+    streets = areas.where("label like '% R%'")
+    assert [r["label"] for r in search.suggested_places(streets, "x").collect()] == ["Carrigaline Road"]
+    sold = spark.createDataFrame([("1 Main St", date(2020, 1, 1), 1.0), ("1 Main St.", date(2021, 1, 1), 1.0), ("1 Main Street", date(2022, 1, 1), 1.0), (None, date(2023, 1, 1), 1.0)], "address string, date_of_sale date, price_eur double")
+    assert [(r["address"], r["score"]) for r in search.rank_addresses(sold, "1 main st", 4).collect()] == [("1 Main St.", 1800), ("1 Main St", 1800), ("1 Main Street", 800), (None, 0)]
