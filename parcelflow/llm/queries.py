@@ -7,7 +7,7 @@ from pathlib import Path
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from parcelflow.llm import byte_bpe, chat, embedding_dedup, jaccard_join, language, mixing, quality_model, quality_rules, sharding, substring_dedup
+from parcelflow.llm import byte_bpe, chat, embedding_dedup, jaccard_join, language, mixing, periodic_runs, quality_model, quality_rules, sharding, substring_dedup
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -72,3 +72,9 @@ def op9_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links and components of all vectors at a cosine of 0.9 or more."""
     return embedding_dedup.near_duplicates(_table(spark, sf_dir, "embeddings"))
+
+
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Periodic runs of words of every document, of which a tenth get repeats at their end first."""
+    docs = _table(spark, sf_dir, "documents")
+    return periodic_runs.digests(periodic_runs.collapse(docs.select("doc_id", periodic_runs.with_repeats(docs["doc_id"], docs["text"]).alias("text"))))

@@ -21,6 +21,7 @@ QUERIES: dict[str, Query] = {
     "op8_jaccard_join": queries.op8_jaccard_join,
     "op9_chat_formatting": queries.op9_chat_formatting,
     "op10_embedding_dedup": queries.op10_embedding_dedup,
+    "op11_periodic_runs": queries.op11_periodic_runs,
 }
 
 ORACLES: dict[str, str] = {
