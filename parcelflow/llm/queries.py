@@ -7,7 +7,7 @@ from pathlib import Path
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from parcelflow.llm import byte_bpe, chat, embedding_dedup, jaccard_join, language, mixing, periodic_runs, quality_model, quality_rules, sharding, substring_dedup
+from parcelflow.llm import byte_bpe, chat, embedding_dedup, jaccard_join, language, language_model, merkle, mixing, periodic_runs, quality_model, quality_rules, sharding, substring_dedup
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -78,3 +78,14 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Periodic runs of words of every document, of which a tenth get repeats at their end first."""
     docs = _table(spark, sf_dir, "documents")
     return periodic_runs.digests(periodic_runs.collapse(docs.select("doc_id", periodic_runs.with_repeats(docs["doc_id"], docs["text"]).alias("text"))))
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaf, subroot, root and proof of every document, and whether its text, lower-cased for a third of the ids, still verifies."""
+    docs = _table(spark, sf_dir, "documents")
+    return merkle.verify(docs, merkle.tampered(docs["doc_id"], docs["text"]))
+
+
+def op13_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log probability of every text under add-one unigrams and under the interpolated model, learned from those that are not held out."""
+    return language_model.score(_table(spark, sf_dir, "documents"))

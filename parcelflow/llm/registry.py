@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from parcelflow.llm import chat, embedding_dedup, jaccard_join, quality_rules, queries, substring_dedup
+from parcelflow.llm import chat, embedding_dedup, jaccard_join, merkle, quality_rules, queries, substring_dedup
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -22,6 +22,8 @@ QUERIES: dict[str, Query] = {
     "op9_chat_formatting": queries.op9_chat_formatting,
     "op10_embedding_dedup": queries.op10_embedding_dedup,
     "op11_periodic_runs": queries.op11_periodic_runs,
+    "op12_merkle_manifest": queries.op12_merkle_manifest,
+    "op13_language_model": queries.op13_language_model,
 }
 
 ORACLES: dict[str, str] = {
@@ -30,4 +32,5 @@ ORACLES: dict[str, str] = {
     "op8_jaccard_join": jaccard_join.ORACLE,
     "op9_chat_formatting": chat.ORACLE,
     "op10_embedding_dedup": embedding_dedup.ORACLE,
+    "op12_merkle_manifest": merkle.ORACLE,
 }
