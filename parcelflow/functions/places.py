@@ -15,6 +15,8 @@ COUNTIES = {
     "KILKENNY": "Kilkenny", "OFFALY": "Offaly", "CAVAN": "Cavan", "ROSCOMMON": "Roscommon", "WESTMEATH": "Westmeath",
     "MONAGHAN": "Monaghan", "SLIGO": "Sligo", "CARLOW": "Carlow", "LONGFORD": "Longford", "LEITRIM": "Leitrim",
 }
+#: Authorities of the capital, which localities are not derived for but which have a county all the same.
+CAPITAL = {"DUBLINCITY": "Dublin", "FINGAL": "Dublin", "SOUTHDUBLIN": "Dublin", "DLR": "Dublin"}
 #: Authorities whose localities come from a list first, and that list.
 LISTED_AUTHORITIES = ("CORKCOCO", "CORKCITY")
 LISTED = (
@@ -34,6 +36,20 @@ def county_of(authority: Column) -> Column:
     return F.try_element_at(F.create_map(*[F.lit(x) for pair in COUNTIES.items() for x in pair]), authority)
 
 
+def authority_county(authority: Column) -> Column:
+    """The county that an authority code stands for, the capital's four among them; null for unknown codes."""
+    return F.try_element_at(F.create_map(*[F.lit(x) for pair in (COUNTIES | CAPITAL).items() for x in pair]), authority)
+
+
+def county_authorities(county: Column) -> Column:
+    """The authority codes of a county, whatever its case and accents; empty for unknown ones."""
+    by_county: dict[str, list[str]] = {}
+    for code, name in (COUNTIES | CAPITAL).items():
+        by_county.setdefault(name.lower(), []).append(code)
+    pairs = [x for name, codes in by_county.items() for x in (F.lit(name), F.array(*map(F.lit, sorted(codes))))]
+    return F.coalesce(F.try_element_at(F.create_map(*pairs), T.slug(county)), F.array().cast("array<string>"))
+
+
 def locality(location: Column, ward: Column, authority: Column) -> Column:
     """The locality of an application.
 

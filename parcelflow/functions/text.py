@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -16,6 +18,31 @@ def slug(value: Column) -> Column:
     return F.btrim(F.regexp_replace(F.regexp_replace(folded, "['’]", ""), "[^a-z0-9]+", "-"), F.lit("-"))
 
 
+def _foldable() -> tuple[str, str]:
+    """Precomposed Latin letters in lower case that are one ASCII letter and marks, and those ASCII letters."""
+    parts = [(chr(c), unicodedata.normalize("NFKD", chr(c))) for c in range(0xC0, 0x250) if chr(c).islower()]
+    kept = [(c, p[0]) for c, p in parts if len(p) > 1 and p[0].isascii() and all(map(unicodedata.combining, p[1:]))]
+    return "".join(c for c, _ in kept), "".join(p for _, p in kept)
+
+
+_MARKED, _UNMARKED = _foldable()
+
+
+def folded(value: Column) -> Column:
+    """Lower case without accents, whether they are part of the letter or marks of their own."""
+    return F.regexp_replace(F.translate(F.lower(value), _MARKED, _UNMARKED), r"\p{M}+", "")
+
+
+def tokens(value: Column) -> Column:
+    """Words of ASCII letters and digits, folded, with one blank between; empty for null."""
+    return F.btrim(F.regexp_replace(folded(F.coalesce(value, F.lit(""))), "[^a-z0-9]+", " "))
+
+
+def has_tokens(value: Column, name: Column) -> Column:
+    """Whether a token text has the tokens of another in a row; false for an empty one."""
+    return F.coalesce((name != "") & F.contains(F.concat(F.lit(" "), value, F.lit(" ")), F.concat(F.lit(" "), name, F.lit(" "))), F.lit(False))
+
+
 def ascii_slug(value: Column) -> Column:
     """The slug of the database side: no accent folding, no apostrophe rule."""
     return F.btrim(F.regexp_replace(F.lower(F.btrim(value)), "[^a-z0-9]+", "-"), F.lit("-"))

@@ -1,54 +1,12 @@
-"""What is known about a postcode, from exact records first and its routing area otherwise."""
+"""Exact lookups: the records of a postcode, and places that one name alone means."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parcelflow.functions import places
 from parcelflow.functions import text as T
 
-PLACE = ("county", "locality", "area_slug")
-
-
-def _clean(c: str) -> Column:
-    return F.nullif(F.btrim(F.col(c)), F.lit(""))
-
-
-def postcode_context(codes: DataFrame, sales: DataFrame, applications: DataFrame, routing: DataFrame) -> DataFrame:
-    """eircode, county, locality, area_slug, source, confidence, conflict for every code asked.
-
-    codes: eircode. sales: eircode, date_of_sale and a place; the latest sale that says any of it counts, ties
-    by the place itself. applications: eircode, registration_date and a place; the latest counts. routing:
-    eircode_prefix and a place. conflict: `county` where sales and planning name different counties,
-    `values` where the sales differ among themselves.
-    """
-    tidy = {c: _clean(c) for c in PLACE}
-    says = F.coalesce(*PLACE).isNotNull()
-    differ = [F.count_distinct(F.lower(c)) > 1 for c in PLACE]
-    of_sales = sales.withColumns(tidy).groupBy("eircode").agg(
-        F.max_by(F.struct(*PLACE), F.struct(says, "date_of_sale", *PLACE)).alias("s"), (differ[0] | differ[1] | differ[2]).alias("mixed")
-    )
-    of_plans = applications.withColumns(tidy).groupBy("eircode").agg(F.max_by(F.struct(*PLACE), F.struct("registration_date", *PLACE)).alias("p"))
-    of_key = routing.select("eircode_prefix", F.struct(*(_clean(c).alias(c) for c in PLACE)).alias("r"))
-    asked = codes.select("eircode").distinct().withColumn("eircode_prefix", F.substring("eircode", 1, 3))
-    rows = asked.join(of_sales, "eircode", "left").join(of_plans, "eircode", "left").join(of_key, "eircode_prefix", "left")
-    source = F.when(F.col("s").isNotNull(), "sale").when(F.col("p").isNotNull(), "planning").when(F.col("r").isNotNull(), "routing-key").otherwise("none")
-    clash = F.coalesce(F.lower("s.county") != F.lower("p.county"), F.lit(False))
-    conflict = F.when(F.col("s").isNotNull(), F.when(clash, "county").when(F.col("mixed"), "values"))
-    sure = F.when(source == "sale", F.when(conflict.isNotNull(), "medium").otherwise("high")).when(source == "planning", F.when(F.col("p.area_slug").isNotNull(), "high").otherwise("medium")).when(source == "routing-key", "low").otherwise("none")
-    held = F.coalesce("s", "p", "r")
-    return rows.select("eircode", *(held[c].alias(c) for c in PLACE), source.alias("source"), sure.alias("confidence"), conflict.alias("conflict"))
-
-
-def fallback_plan(context: DataFrame) -> DataFrame:
-    """For each context with a county: label, sales_scope (`area` or `routing-key`) and the locality to look for in planning."""
-    broad = F.coalesce(T.slug(F.col("county")) == T.slug(F.col("area_slug")), F.lit(False))
-    scope = F.when(F.col("area_slug").isNull() | broad, "routing-key").otherwise("area")
-    label = F.coalesce("locality", T.slug_title(F.col("area_slug")), F.concat(F.substring("eircode", 1, 3), F.lit(" routing area")))
-    found = context.where("source <> 'none' and county is not null")
-    return found.select("eircode", label.alias("label"), scope.alias("sales_scope"), F.when(places.is_specific(F.col("locality"), F.col("county")), F.col("locality")).alias("planning_locality"))
-
 
 def exact_records(codes: DataFrame, sales: DataFrame, applications: DataFrame) -> DataFrame:
     """Every sale and application of the codes asked: eircode, surface, id, day. Latest first is up to the reader's order."""
@@ -59,8 +17,8 @@ def exact_records(codes: DataFrame, sales: DataFrame, applications: DataFrame) -
 
 
 def unique_place(queries: DataFrame, areas: DataFrame) -> DataFrame:
-    """query and area of the queries that name exactly one area by label or slug, whatever the case."""
-    asked = queries.select("query").distinct().withColumn("name", F.lower(F.btrim("query")))
-    names = F.array_distinct(F.array(F.lower(F.btrim("area_label")), F.lower(F.btrim("area_slug"))))
+    """query and area of the queries that name exactly one area by label or slug, whatever the case, accents and punctuation."""
+    asked = queries.select("query").distinct().withColumn("name", T.tokens(F.col("query"))).where("name <> ''")
+    names = F.array_distinct(F.array(T.tokens(F.col("area_label")), T.tokens(F.col("area_slug"))))
     named = areas.select("county", "area_slug", F.explode(names).alias("name"))
     return asked.join(named, "name").groupBy("query").agg(F.count("*").alias("n"), F.min("county").alias("county"), F.min("area_slug").alias("area_slug")).where("n = 1").drop("n")

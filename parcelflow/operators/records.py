@@ -90,15 +90,3 @@ def membership_sync(members: DataFrame, selected: DataFrame, as_of: date) -> Dat
 def contradictions(rows: DataFrame, key: str, value: str) -> DataFrame:
     """Keys with more than one value, regardless of case and outer blanks."""
     return rows.groupBy(key).agg(F.count_distinct(F.lower(F.btrim(value))).alias("n")).where("n > 1")
-
-
-def routing_area(sales: DataFrame, least: int = 5, county: float = 0.6, area: float = 0.7) -> DataFrame:
-    """County and area of each routing prefix where enough sales agree."""
-    totals = sales.groupBy("eircode_prefix").agg(F.count("*").alias("total")).where(F.col("total") >= least)
-
-    def dominant(column: str, share: float) -> DataFrame:
-        counts = sales.groupBy("eircode_prefix", column).agg(F.count("*").alias("n"))
-        top = counts.groupBy("eircode_prefix").agg(F.max(F.struct("n", column)).alias("top")).join(totals, "eircode_prefix")
-        return top.select("eircode_prefix", F.when(F.col("top.n") >= F.col("total") * share, F.col(f"top.{column}")).alias(column))
-
-    return totals.join(dominant("county", county), "eircode_prefix").join(dominant("area_slug", area), "eircode_prefix")

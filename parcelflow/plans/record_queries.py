@@ -119,18 +119,6 @@ def conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.contradictions(table(spark, sf_dir, "customer").where("c_acctbal > 9000"), "c_nationkey", "c_mktsegment")
 
 
-@query(
-    "x9_routing_areas",
-    f"""with {SALES}, t as (select eircode_prefix, count(*) as total from sales group by 1 having count(*) >= 5),
-    c as (select eircode_prefix, county, count(*) as n, row_number() over (partition by eircode_prefix order by count(*) desc, county desc) as rn from sales group by 1, 2),
-    a as (select eircode_prefix, area_slug, count(*) as n, row_number() over (partition by eircode_prefix order by count(*) desc, area_slug desc) as rn from sales group by 1, 2)
-    select t.eircode_prefix, total, case when c.n >= total * 0.06 then county end as county, case when a.n >= total * 0.2 then area_slug end as area_slug from t join c on c.eircode_prefix = t.eircode_prefix and c.rn = 1 join a on a.eircode_prefix = t.eircode_prefix and a.rn = 1""",
-)
-def routing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Shares that suit the test tables, whose prefixes are spread evenly."""
-    return R.routing_area(sales(spark, sf_dir), county=0.06, area=0.2)
-
-
 @query(
     "a36_changed_field_counts",
     f"""with {APPLICATIONS}, {snapshot_sql('o', OLD)}, {snapshot_sql('n', SALES_AS_OF)}, f as (select unnest(['state', 'decision_date', 'final_grant_date']) as field, unnest([n.state is distinct from o.state, n.decision_date is distinct from o.decision_date, n.final_grant_date is distinct from o.final_grant_date]) as differs from n join o using (id))

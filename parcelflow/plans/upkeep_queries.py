@@ -278,36 +278,6 @@ def _code_sql(number: str) -> str:
 CODED_SQL = f"""{SALES}, {APPLICATIONS}, codes as (select distinct {_code_sql('k')} as eircode from (select c_custkey + unnest([0, 4, 3000]) as k from customer)),
     sold as (select {_code_sql("cast(regexp_extract(address, '(\\d+)$', 1) as bigint)")} as eircode, date_of_sale, county, locality, case when is_new_dwelling then area_slug end as area_slug from sales),
     planned as (select id, {_code_sql("cast(regexp_extract(location, '(\\d+)$', 1) as bigint) + 7")} as eircode, registration_date, authority as county, cast(null as varchar) as locality, case when id % 2 = 0 then lower(authority) end as area_slug from applications)"""
-CONTEXT_SQL = f"""{CODED_SQL}, s as (select eircode, county, locality, area_slug, m from (select *, row_number() over (partition by eircode order by date_of_sale desc, county desc, locality desc, area_slug desc nulls last) as rn from sold) join (select eircode, count(distinct county) > 1 or count(distinct locality) > 1 or count(distinct area_slug) > 1 as m from sold group by 1) using (eircode) where rn = 1),
-    p as (select eircode, county, locality, area_slug from (select *, row_number() over (partition by eircode order by registration_date desc, county desc, area_slug desc nulls last) as rn from planned) where rn = 1),
-    x as (select c.eircode, case when s.eircode is not null then s.county when p.eircode is not null then p.county when substr(c.eircode, 3, 1) = '0' then 'KENYA' end as county,
-      case when s.eircode is not null then s.locality when p.eircode is null and substr(c.eircode, 3, 1) = '0' then 'Nakuru' end as locality, case when s.eircode is not null then s.area_slug when p.eircode is not null then p.area_slug end as area_slug,
-      case when s.eircode is not null then 'sale' when p.eircode is not null then 'planning' when substr(c.eircode, 3, 1) = '0' then 'routing-key' else 'none' end as source,
-      case when s.eircode is not null then case when lower(s.county) <> lower(p.county) then 'county' when m then 'values' end end as conflict, p.area_slug is not null as p_area from codes c left join s using (eircode) left join p using (eircode)),
-    ctx as (select eircode, county, locality, area_slug, source, case source when 'sale' then case when conflict is null then 'high' else 'medium' end when 'planning' then case when p_area then 'high' else 'medium' end when 'routing-key' then 'low' else 'none' end as confidence, conflict from x)"""
-
-
-def _context(spark: SparkSession, sf_dir: str) -> DataFrame:
-    codes, sold, planned = _coded(spark, sf_dir)
-    keys = codes.select(F.substring("eircode", 1, 3).alias("eircode_prefix")).distinct().where("substring(eircode_prefix, 3, 1) = '0'")
-    routing = keys.select("eircode_prefix", F.lit("KENYA").alias("county"), F.lit("Nakuru").alias("locality"), F.lit(None).cast("string").alias("area_slug"))
-    return X.postcode_context(codes, sold, planned, routing)
-
-
-@query("x8_postcode_context", f"with {CONTEXT_SQL} select * from ctx")
-def postcode_context(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Context of the codes made of every customer's number and of later ones: from sales, planning or the routing key, or none."""
-    return _context(spark, sf_dir)
-
-
-@query(
-    "x10_fallback_plans",
-    f"""with {CONTEXT_SQL}, k as (select *, trim(regexp_replace(lower(county), '[^a-z0-9]+', '-', 'g'), '-') as cs, trim(regexp_replace(lower(locality), '[^a-z0-9]+', '-', 'g'), '-') as ls from ctx where source <> 'none' and county is not null)
-    select sales_scope, has_locality, count(*) as n from (select case when area_slug is null or cs = trim(regexp_replace(area_slug, '[^a-z0-9]+', '-', 'g'), '-') then 'routing-key' else 'area' end as sales_scope, coalesce(length(ls) >= 3 and ls <> cs, false) as has_locality from k) group by all""",
-)
-def fallback_plans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    plans = X.fallback_plan(_context(spark, sf_dir))
-    return plans.groupBy("sales_scope", F.col("planning_locality").isNotNull().alias("has_locality")).agg(F.count("*").alias("n"))
 
 
 @query(

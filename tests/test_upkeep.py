@@ -5,7 +5,7 @@ from datetime import date, datetime
 from pyspark.sql import functions as F
 
 from parcelflow.functions import display, places
-from parcelflow.operators import context, upkeep
+from parcelflow.operators import upkeep
 
 
 def one(spark, column, **values):
@@ -92,23 +92,6 @@ def test_updates_and_revisions(spark):
     assert {(r["id"], r["updated_at"]) for r in out.collect()} == {(1, then), (2, now), (9, now)}
 
 
-def test_context(spark):
-    codes = spark.createDataFrame([("A10 0001",), ("A10 0002",), ("A10 0003",), ("B20 0001",), ("A10 0001",)], "eircode string")
-    sale = "eircode string, date_of_sale date, county string, locality string, area_slug string"
-    sold = spark.createDataFrame([("A10 0001", date(2020, 1, 1), "Mayo", "X", "x"), ("A10 0001", date(2021, 1, 1), " ", None, "")], sale)
-    plan = spark.createDataFrame([("A10 0001", date(2020, 1, 1), "Cork", None, None), ("A10 0002", date(2020, 1, 1), "Mayo", None, "y")], sale.replace("date_of_sale", "registration_date"))
-    routing = spark.createDataFrame([("A10", "Sligo", "S", None)], "eircode_prefix string, county string, locality string, area_slug string")
-    got = {r["eircode"]: tuple(r)[1:] for r in context.postcode_context(codes, sold, plan, routing).collect()}
-    assert got == {
-        "A10 0001": ("Mayo", "X", "x", "sale", "medium", "county"),
-        "A10 0002": ("Mayo", None, "y", "planning", "high", None),
-        "A10 0003": ("Sligo", "S", None, "routing-key", "low", None),
-        "B20 0001": (None, None, None, "none", "none", None),
-    }
-    plans = {r["eircode"]: tuple(r)[1:] for r in context.fallback_plan(context.postcode_context(codes, sold, plan, routing)).collect()}
-    assert plans == {"A10 0001": ("X", "area", None), "A10 0002": ("Y", "area", None), "A10 0003": ("S", "routing-key", None)}
-
-
 def test_search_rules(spark):
     from parcelflow.operators import search
 
