@@ -14,6 +14,21 @@ from parcelflow.llm.queries import vocabulary
 from parcelflow.llm.shared import checkpointed, divided, unused
 from parcelflow.sources.shared import shared_folder
 
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+
+#: Rows of one Arrow batch in the stages. Spark's 10,000 texts are tens of MB, several times over in the JVM and in Python.
+BATCH_ROWS = 1_000
+
+
+def in_small_batches(stage: Stage) -> Stage:
+    """`stage` with Arrow batches of BATCH_ROWS in its session, from then on, as its rows are computed later."""
+
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+        return stage(spark, docs, sf_dir)
+
+    return run_stage
+
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier scores 0.3 or more; it learns from `labels`.
@@ -70,14 +85,12 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return coded.select("doc_id", "source", F.size("ids").cast("long").alias("n_tokens"), "ids")
 
 
-Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
-
 STAGES: list[tuple[str, Stage]] = [
-    ("quality_classifier", keep_good),
-    ("jaccard_join", keep_one_of_each_group),
-    ("substring_dedup", cut_passages),
-    ("mixing", mix_sources),
-    ("byte_bpe", encode),
+    ("quality_classifier", in_small_batches(keep_good)),
+    ("jaccard_join", in_small_batches(keep_one_of_each_group)),
+    ("substring_dedup", in_small_batches(cut_passages)),
+    ("mixing", in_small_batches(mix_sources)),
+    ("byte_bpe", in_small_batches(encode)),
 ]
 
 #: The second and the third stage can be said in SQL, the others cannot; tests hold all against brute force instead.
