@@ -194,14 +194,18 @@ class ByteBpe:
         """The pieces of each text, with all of them in the cache afterwards."""
         cut = [self.find(text) if text else [] for text in texts]
         if len(self.cache) > CACHE_ENTRIES:
-            self.cache.clear()
-            self.digits.clear()
+            self.forget()
         new = list(set(chain.from_iterable(cut)).difference(self.cache))
         for piece, ids in zip(new, self.encode_pieces([p.encode("utf-8", "replace") for p in new]), strict=True):
             self.cache[piece] = ids
             self.digits[piece] = ",".join(map(str, ids))
         return cut
 
+    def forget(self) -> None:
+        """Empties the caches, at the end of a task: a worker may serve other operators next."""
+        self.cache.clear()
+        self.digits.clear()
+
     def ids(self, pieces: list[str]) -> list[int]:
         return list(chain.from_iterable(map(self.cache.__getitem__, pieces)))
 
@@ -246,6 +250,7 @@ def encode(docs: DataFrame, ranks: bytes, pattern: str, text_col: str = "text",
                 ids = [bpe.ids(pieces) for pieces in bpe.encode(texts[a:b])]
                 part = batch.slice(a, b - a)
                 yield pa.RecordBatch.from_arrays([part.column(f.name) for f in others] + [pa.array(ids, pa.list_(pa.int32()))], names=[f.name for f in others] + [ids_col])
+        bpe.forget()
 
     return docs.mapInArrow(trimmed(run), schema)
 
@@ -279,5 +284,6 @@ def round_trip(docs: DataFrame, ranks: bytes, pattern: str) -> DataFrame:
                     coded.append(hashlib.sha256(",".join(map(bpe.digits.__getitem__, pieces)).encode()).hexdigest())
                     decoded.append(hashlib.sha256(bpe.decode(ids)).hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(counts, pa.int64()), pa.array(coded, pa.string()), pa.array(decoded, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        bpe.forget()
 
     return docs.select("doc_id", "text").mapInArrow(trimmed(run), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
