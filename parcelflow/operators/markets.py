@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from parcelflow.functions import geo, places
 from parcelflow.functions import text as T
+from parcelflow.sources.shared import materialised
 
 PLACE = ("county", "locality", "area_slug")
 MARKETS = "array<struct<county: string, locality: string, area_slug: string, label: string>>"
@@ -249,13 +250,14 @@ def market_bundles(context: DataFrame, sales: DataFrame, applications: DataFrame
     level is `area`, `county` (no area known) or `routing-area` (only the routing key is); recent_sales and planning_ids leave out
     the code's own latest MOST_EXCLUDED records. The statistics are sales and median of the area, where the plan names one.
     """
-    plans = fallback_plans(context)
+    plans = materialised(fallback_plans(context))
     latest = [F.desc_nulls_last("date_of_sale"), F.desc("id")]
     latest_plans = [F.desc_nulls_last("registration_date"), F.desc("reference"), F.desc("id")]
     none = F.array().cast("array<bigint>")
     for name, rows, order in (("own_sales", sales, latest), ("own_plans", applications, latest_plans)):
         own = _ranked(rows.join(plans, "eircode", "left_semi"), ["eircode"], order, "id").select("eircode", F.slice("ranked", 1, MOST_EXCLUDED).alias(name))
         plans = plans.join(own, "eircode", "left").withColumn(name, F.coalesce(name, none))
+    plans = materialised(plans)
     by_key = _ranked(sales.where("eircode_prefix is not null"), ["eircode_prefix"], latest, "id").select(F.col("eircode_prefix").alias("routing_key"), F.col("ranked").alias("of_key"))
     by_area = _ranked(sales.where("area_slug is not null"), ["county", "area_slug"], latest, "id").select("county", F.col("area_slug").alias("stats_slug"), F.col("ranked").alias("of_area"))
     stats = sales.where("area_slug is not null").groupBy("county", F.col("area_slug").alias("stats_slug")).agg(F.count("*").alias("n_sales"), F.percentile("price_eur", 0.5).alias("median_price"))

@@ -55,32 +55,48 @@ def filtered(applications: DataFrame, term: str | None = None, authority: str |
     return rows
 
 
-def dashboard_facets(applications: DataFrame) -> DataFrame:
-    """facet, label, count: areas, statuses, types and months, and the first three for the latest month.
+#: Entries of each facet that a dashboard shows, and of the options it offers (0: all).
+FACETS = {"area": 12, "status": 8, "type": 8, "month": 12, "latest-area": 8, "latest-status": 6, "latest-type": 6}
+OPTIONS = {"area": 80, "status": 0, "type": 0}
 
-    All facets come from one unpivot and one grouping; the month anchor is the latest registration.
+
+def dashboard_cube(applications: DataFrame, area: Column | None = None) -> DataFrame:
+    """month, area, status, type with their rows and latest registration: all that a dashboard's counts are made of.
+
+    The applications are read and grouped once; the cube has as many rows as there are combinations. area: authority, or
+    for one authority's dashboard its locality.
+    """
+    area = F.col("authority") if area is None else area
+    by = [F.trunc("registration_date", "month").alias("month"), area.alias("area"), F.col("status").alias("status"), F.col("application_type").alias("type")]
+    return applications.groupBy(*by).agg(F.count("*").alias("n"), F.max("registration_date").alias("latest"))
+
+
+def dashboard_facets(cube: DataFrame) -> DataFrame:
+    """facet, label, count: areas, statuses, types and months, the first three for the latest month, and the options of a filter.
+
+    Blank labels are left out. Largest first, ties by label; months latest first. Options are named `area-option` and so on.
     """
-    month = F.date_format("registration_date", "yyyy-MM")
-    latest = applications.agg(F.max(month).alias("latest_month"))
-    rows = applications.select(month.alias("month"), F.col("authority").alias("area"), "status", F.col("application_type").alias("type")).crossJoin(F.broadcast(latest))
+    latest = cube.agg(F.max("month").alias("latest_month"))  # one row
+    rows = cube.crossJoin(F.broadcast(latest))
     recent = F.col("month") == F.col("latest_month")
-    pairs = [("area", F.col("area")), ("status", F.col("status")), ("type", F.col("type")), ("month", F.col("month"))]
-    pairs += [(f"latest-{n}", F.when(recent, F.col(n))) for n in ("area", "status", "type")]
-    long = rows.select(F.inline(F.array(*(F.struct(F.lit(n).alias("facet"), v.alias("label")) for n, v in pairs)))).where(F.btrim("label") != "")
-    counts = long.groupBy("facet", "label").agg(F.count("*").alias("count"))
+    pairs = [("area", F.col("area")), ("status", F.col("status")), ("type", F.col("type")), ("month", F.date_format("month", "yyyy-MM"))]
+    pairs += [(f"latest-{name}", F.when(recent, F.col(name))) for name in ("area", "status", "type")]
+    long = rows.select("n", F.inline(F.array(*(F.struct(F.lit(name).alias("facet"), value.alias("label")) for name, value in pairs)))).where(F.btrim("label") != "")
+    counts = long.groupBy("facet", "label").agg(F.sum("n").alias("count"))
     by = Window.partitionBy("facet").orderBy(F.when(F.col("facet") == "month", F.col("label")).desc_nulls_last(), F.desc("count"), "label")
-    limits = F.create_map(*[F.lit(x) for pair in {"area": 12, "status": 8, "type": 8, "month": 12, "latest-area": 8, "latest-status": 6, "latest-type": 6}.items() for x in pair])
-    return counts.withColumn("place", F.row_number().over(by)).where(F.col("place") <= F.element_at(limits, F.col("facet"))).select("facet", "label", "count")
+    placed = counts.withColumn("place", F.row_number().over(by))  # a row for each label
+    shown = [F.when((F.col("facet") == name) & (F.col("place") <= most), F.lit(name)) for name, most in FACETS.items()]
+    offered = [F.when((F.col("facet") == name) & ((F.col("place") <= most) | (most == 0)), F.lit(f"{name}-option")) for name, most in OPTIONS.items()]
+    return placed.select(F.explode(F.array_compact(F.array(*shown, *offered))).alias("facet"), "label", "count")
 
 
-def dashboard_totals(applications: DataFrame) -> DataFrame:
+def dashboard_totals(cube: DataFrame) -> DataFrame:
     """One row: total, latest date and month, its count, the month before's, and the change."""
-    latest = applications.agg(F.max("registration_date").alias("latest_date"))
-    rows = applications.crossJoin(F.broadcast(latest))
-    start = F.trunc("latest_date", "month")
-    now = (F.col("registration_date") >= start) & (F.col("registration_date") < F.add_months(start, 1))
-    before = (F.col("registration_date") >= F.add_months(start, -1)) & (F.col("registration_date") < start)
-    one = rows.agg(F.count("*").alias("total_count"), F.max("latest_date").alias("latest_date"), F.count_if(now).alias("latest_month_count"), F.count_if(before).alias("previous_month_count"))
+    months = cube.groupBy("month").agg(F.sum("n").alias("n"), F.max("latest").alias("latest"))
+    anchor = months.agg(F.max("month").alias("start"), F.max("latest").alias("latest_date"))  # one row
+    rows = months.crossJoin(F.broadcast(anchor))
+    of = lambda month: F.coalesce(F.sum(F.when(F.col("month") == month, F.col("n"))), F.lit(0))
+    one = rows.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total_count"), F.max("latest_date").alias("latest_date"), of(F.col("start")).alias("latest_month_count"), of(F.add_months("start", -1)).alias("previous_month_count"))
     return one.withColumns({"latest_month": F.date_format("latest_date", "yyyy-MM"), "month_change": F.col("latest_month_count") - F.col("previous_month_count")})
 
 

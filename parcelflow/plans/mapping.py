@@ -47,6 +47,25 @@ SALES = """sales as (
     join nation on c_nationkey = n_nationkey join part on l_partkey = p_partkey)"""
 
 
+def registrations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The applications without the dates that come after registration, so without a look at line items."""
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderdate", "o_orderpriority")
+    customers = table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_nationkey")
+    nations = table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
+    joined = orders.join(customers, F.col("o_custkey") == F.col("c_custkey")).join(nations, F.col("c_nationkey") == F.col("n_nationkey"))
+    return joined.select(
+        F.col("o_orderkey").alias("id"),
+        F.col("o_orderkey").cast("string").alias("reference"),
+        F.col("n_name").alias("authority"),
+        F.col("c_name").alias("location"),
+        F.col("o_orderstatus").alias("status"),
+        F.col("o_orderpriority").alias("application_type"),
+        F.to_date("o_orderdate").alias("registration_date"),
+        (400000 + (F.col("o_orderkey") * 7919) % 400000).alias("grid_easting"),
+        (450000 + (F.col("o_orderkey") * 104729) % 550000).alias("grid_northing"),
+    )
+
+
 def applications(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row for each order as a planning application."""
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderdate", "o_orderpriority")

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from parcelflow.operators import planning as P
-from parcelflow.plans.mapping import APPLICATIONS, SALES_AS_OF, applications, snapshot, snapshot_sql
+from parcelflow.plans.mapping import APPLICATIONS, SALES_AS_OF, applications, registrations, snapshot, snapshot_sql
 from parcelflow.plans.registry import query
 
 OLD, NEW = date(2000, 6, 28), date(2001, 6, 28)
@@ -24,10 +24,11 @@ MONTH = "strftime(registration_date, '%Y-%m')"
       union all select 'latest-status', status from applications, l where {MONTH} = latest union all select 'latest-type', application_type from applications, l where {MONTH} = latest),
     c as (select facet, label, count(*) as count from long where trim(label) <> '' group by all),
     r as (select *, row_number() over (partition by facet order by case when facet = 'month' then label end desc nulls last, count desc, label) as place from c)
-    select facet, label, count from r where place <= case facet when 'area' then 12 when 'status' then 8 when 'type' then 8 when 'month' then 12 when 'latest-area' then 8 else 6 end""",
+    select facet, label, count from r where place <= case facet when 'area' then 12 when 'status' then 8 when 'type' then 8 when 'month' then 12 when 'latest-area' then 8 else 6 end
+    union all select facet || '-option', label, count from r where facet = 'area' and place <= 80 or facet in ('status', 'type')""",
 )
 def facets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return P.dashboard_facets(applications(spark, sf_dir))
+    return P.dashboard_facets(P.dashboard_cube(registrations(spark, sf_dir)))
 
 
 @query(
@@ -38,7 +39,7 @@ def facets(spark: SparkSession, sf_dir: str) -> DataFrame:
     select *, strftime(latest_date, '%Y-%m') as latest_month, latest_month_count - previous_month_count as month_change from t""",
 )
 def totals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return P.dashboard_totals(applications(spark, sf_dir))
+    return P.dashboard_totals(P.dashboard_cube(registrations(spark, sf_dir)))
 
 
 @query(
@@ -48,7 +49,7 @@ def totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     select area, count, round((e - e0) / greatest(e1 - e0, 1.0) * 100, 4) as x, round(100 - (n - n0) / greatest(n1 - n0, 1.0) * 100, 4) as y from t, b""",
 )
 def points(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return P.map_points(applications(spark, sf_dir))
+    return P.map_points(registrations(spark, sf_dir))
 
 
 @query(
@@ -58,7 +59,7 @@ def points(spark: SparkSession, sf_dir: str) -> DataFrame:
     where registration_date between cast(e - interval 12 month as date) + 1 and e group by 1""",
 )
 def activity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return P.council_activity(applications(spark, sf_dir))
+    return P.council_activity(registrations(spark, sf_dir))
 
 
 COLUMNS = {"application_received": "registration_date", "decision_made": "decision_date", "final_grant": "final_grant_date", "appeal_lodged": "appeal_lodged_date"}

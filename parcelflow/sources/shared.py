@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -16,3 +16,9 @@ def shared_folder(spark: SparkSession) -> str:
             raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="parcelflow-"))
     return context.getCheckpointDir()
+
+
+def materialised(df: DataFrame) -> DataFrame:
+    """`df` computed once into the shared folder, for what several results are made of."""
+    shared_folder(df.sparkSession)
+    return df.checkpoint()
