@@ -17,6 +17,11 @@ COUNTIES = {
 }
 #: Authorities of the capital, which localities are not derived for but which have a county all the same.
 CAPITAL = {"DUBLINCITY": "Dublin", "FINGAL": "Dublin", "SOUTHDUBLIN": "Dublin", "DLR": "Dublin"}
+#: Path parts of authorities that are not their code in lower case.
+_PATHS = {"CORKCOCO": "cork", "CORKCITY": "cork-city", "DUBLINCITY": "dublin-city", "SOUTHDUBLIN": "south-dublin", "DLR": "dun-laoghaire-rathdown", "GALWAYCOCO": "galway-county", "GALWAYCITY": "galway-city"}
+COUNTY_NAMES = sorted({*COUNTIES.values(), *CAPITAL.values()})
+#: The path part of every authority.
+PATHS = {code: _PATHS.get(code, code.lower()) for code in COUNTIES | CAPITAL}
 #: Authorities whose localities come from a list first, and that list.
 LISTED_AUTHORITIES = ("CORKCOCO", "CORKCITY")
 LISTED = (
@@ -41,6 +46,16 @@ def authority_county(authority: Column) -> Column:
     return F.try_element_at(F.create_map(*[F.lit(x) for pair in (COUNTIES | CAPITAL).items() for x in pair]), authority)
 
 
+def authority_slug(authority: Column) -> Column:
+    """The path part of an authority code; null for unknown codes."""
+    return F.try_element_at(F.create_map(*[F.lit(x) for pair in PATHS.items() for x in pair]), authority)
+
+
+def authority_of_slug(value: Column) -> Column:
+    """The authority code of a path part; null for unknown ones."""
+    return F.try_element_at(F.create_map(*[F.lit(x) for code, part in PATHS.items() for x in (part, code)]), value)
+
+
 def county_authorities(county: Column) -> Column:
     """The authority codes of a county, whatever its case and accents; empty for unknown ones."""
     by_county: dict[str, list[str]] = {}

@@ -54,25 +54,6 @@ def stratified(candidates: DataFrame, total: int, shares: dict[str, float], orde
     return ranked.where(F.col("rank") <= total).orderBy(first, F.when(first == 0, place), *order).limit(total).drop("rank")
 
 
-def residence_cohort(members: DataFrame, candidates: DataFrame, as_of: date, size: int = 100, residence: int = 42, rotation: int = 20) -> DataFrame:
-    """The next cohort: members stay `residence` days at least; then at most `rotation` of them, lowest scores first, make room for better candidates.
-
-    members: path, entered; candidates: path, score.
-    """
-    scored = members.join(candidates, "path", "left").withColumn("old", F.col("entered") <= F.date_sub(F.lit(as_of), residence))
-    # the few that leave are taken first: a window would rank all in two tasks
-    gone = scored.where("old").orderBy(F.col("score").asc_nulls_first(), "path").limit(rotation).select("path", F.lit(True).alias("leaving"))
-    judged = scored.join(F.broadcast(gone), "path", "left").withColumn("leaving", F.coalesce("leaving", F.lit(False)))
-    staying = judged.where(~F.col("leaving")).select("path", "entered", F.lit("stays").alias("status"))
-    left = judged.where("leaving").select("path", "entered", F.lit("left").alias("status"))
-    free = F.greatest(F.lit(size) - F.col("n"), F.lit(0))
-    best = candidates.join(members.select("path"), "path", "left_anti").orderBy(F.desc("score"), "path").limit(size)
-    fresh = best.withColumn("place", F.row_number().over(Window.orderBy(F.desc("score"), "path")))
-    room = staying.agg(F.count("*").alias("n")).select(free.alias("room"))
-    entering = fresh.crossJoin(F.broadcast(room)).where("place <= room").select("path", F.lit(as_of).alias("entered"), F.lit("enters").alias("status"))
-    return staying.unionByName(left).unionByName(entering)
-
-
 def enqueue(observed: DataFrame, subscriptions: DataFrame, deliveries: DataFrame) -> DataFrame:
     """A delivery for each change seen at or after a subscription began and not queued before."""
     due = observed.join(subscriptions, "entity").where("observed_at >= created_at").select("subscription", "change")

@@ -7,9 +7,12 @@ from datetime import datetime, timedelta
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from parcelflow.functions import places
+from parcelflow.functions import text as T
+
 
 def locality_pages(applications: DataFrame, least: int = 8, decisions: int = 5) -> DataFrame:
-    """authority, locality, n and the latest decisions (id, decision_date) of localities with enough applications.
+    """authority, locality, n and the latest decisions (id, decision_date) of localities with enough applications; null localities have no page.
 
     Only ranked rows are kept before anything is gathered, so a page is small however busy its locality.
     """
@@ -33,11 +36,16 @@ def traffic_order() -> list[Column]:
 
 
 def resolved_paths(paths: DataFrame, applications: DataFrame) -> DataFrame:
-    """path, views, id and class of each visited application path: its application by authority and reference, or `FAIL`."""
-    parts = F.split(F.regexp_replace("path", r"[?#].*$|/$", ""), "/")
-    wanted = paths.where(F.col("path").rlike("^/planning/[^/]+/[^/]+")).withColumns({"authority_slug": F.get(parts, 2), "reference": F.get(parts, 3)})
-    known = applications.select("id", "authority_slug", "reference")
-    found = wanted.join(known, ["authority_slug", "reference"], "left")
+    """path, views, id and class of each visited path or url: its application by authority code and decoded reference, or `FAIL`.
+
+    applications: id, authority (a code), reference. Paths of any other shape than an application's page are left out.
+    """
+    bare = F.regexp_replace(F.regexp_replace("path", r"^[a-z]+://[^/?#]*", ""), r"[?#].*$", "")
+    shape = "^/planning/([^/]+)/([^/]+)/?$"
+    part = [F.try_url_decode(F.regexp_extract(bare, shape, k)) for k in (1, 2)]
+    wanted = paths.where(bare.rlike(shape)).withColumns({"authority": places.authority_of_slug(part[0]), "reference": F.btrim(T.reference_of(part[1]))})
+    known = applications.select("id", "authority", "reference")
+    found = wanted.join(known, ["authority", "reference"], "left")
     return found.select("path", "views", "id", F.when(F.col("id").isNull(), "FAIL").otherwise("FOUND").alias("class"))
 
 

@@ -44,7 +44,7 @@ def marked_checked(applications: DataFrame, authority: str, start: date, end: da
     Open: no final grant, appeal decision or final state, and under appeal, undecided or decided within 180 days.
     """
     pending = F.col("appeal_lodged_date").isNotNull() | (F.col("state") == "appealed") | F.col("decision_date").isNull() | (F.col("decision_date") >= F.date_sub(F.lit(as_of), 180))
-    unsettled = F.col("final_grant_date").isNull() & ~status.is_terminal(F.col("state")) & pending
+    unsettled = F.col("final_grant_date").isNull() & F.col("appeal_decision_date").isNull() & ~status.is_terminal(F.col("state")) & pending
     due = (F.col("authority") == authority) & (F.col("registration_date") >= F.lit(start)) & (F.col("registration_date") < F.lit(end)) & unsettled
     return applications.withColumn("last_checked", F.when(due, F.lit(as_of)).otherwise(F.col("last_checked")))
 
@@ -83,13 +83,21 @@ def quality_candidates(applications: DataFrame, days: DataFrame, as_of: date, wi
     return rows.orderBy(F.desc("clicks"), F.desc("impressions"), "authority", "reference").limit(max(1, min(most, 20)))
 
 
-def proposal_backfill(applications: DataFrame, days: DataFrame, notable: DataFrame, cut_short: Column, as_of: date, most: int = 50) -> DataFrame:
-    """Applications with cut-off proposals, those that people look for first, then recent open ones, then the rest."""
+def proposal_backfill(applications: DataFrame, days: DataFrame, notable: DataFrame, cut_short: Column, as_of: date, most: int = 50, since: date | None = None, until: date | None = None) -> DataFrame:
+    """Applications with cut-off proposals, those that people look for first, then recent open ones, then the rest.
+
+    Open: no decision, final state or withdrawal. since, until: first and last day of registration that count, if given.
+    """
     seen = traffic(days)
-    rows = applications.where(cut_short).join(seen, F.col("id") == F.col("page"), "left").drop("page").fillna(0, ["clicks", "impressions"])
+    rows = applications.where(cut_short)
+    if since:
+        rows = rows.where(F.col("registration_date") >= F.lit(since))
+    if until:
+        rows = rows.where(F.col("registration_date") <= F.lit(until))
+    rows = rows.join(seen, F.col("id") == F.col("page"), "left").drop("page").fillna(0, ["clicks", "impressions"])
     rows = rows.join(notable.select("id", F.lit(True).alias("is_notable")).distinct(), "id", "left").fillna(False, ["is_notable"])
     wanted = (F.col("clicks") > 0) | (F.col("impressions") > 0) | F.col("is_notable")
-    pending = (F.col("registration_date") >= F.add_months(F.lit(as_of), -24)) & (F.col("state") != "decision_made") & ~status.is_terminal(F.col("state")) & F.col("decision_date").isNull()
+    pending = (F.col("registration_date") >= F.add_months(F.lit(as_of), -24)) & (F.col("state") != "decision_made") & ~status.is_terminal(F.col("state")) & F.col("decision_date").isNull() & F.col("withdrawal_date").isNull()
     rows = rows.withColumn("priority", F.when(wanted, 0).when(pending, 1).otherwise(2))
     order = ["priority", F.desc("clicks"), F.desc("impressions"), F.desc_nulls_last("registration_date"), F.desc("reference"), "id"]
     return rows.select("id", "reference", "registration_date", "priority", "clicks", "impressions", "is_notable").orderBy(*order).limit(max(1, min(most, 100)))
@@ -121,22 +129,3 @@ def path_cohort(candidates: DataFrame, size: int = 100) -> DataFrame:
     """The best candidate of each path, best first, as many as fit; ties by path. Extra columns go."""
     best = candidates.groupBy("path").agg(F.max("score").alias("score"))
     return best.orderBy(F.desc("score"), "path").limit(size)
-
-
-def locality_candidates(sales: DataFrame, applications: DataFrame, as_of: date) -> DataFrame:
-    """surface, path, label, score: areas with 12 sales and localities with 8 applications, the last within three years.
-
-    Areas named like their county or excluded by name are left out, as are labels with digits or of more than 80 characters.
-    """
-    from parcelflow.functions import places
-
-    def since(years: int) -> Column:
-        return F.add_months(F.lit(as_of), -12 * years)
-
-    sold = sales.groupBy("county", "area_slug").agg(F.count("*").alias("n"), F.max("date_of_sale").alias("last")).where((F.col("n") >= 12) & (F.col("last") >= since(3)))
-    sold = sold.where((F.length("area_slug") >= 3) & (F.col("area_slug") != T.slug(F.col("county"))) & (F.col("area_slug") != "janeville"))
-    sold = sold.select(F.lit("sold_prices").alias("surface"), F.concat(F.lit("/sold-prices/"), T.slug(F.col("county")), F.lit("/"), "area_slug").alias("path"), T.slug_title(F.col("area_slug")).alias("label"), places.place_score(F.col("n"), F.lit(True)).alias("score"))
-    planned = applications.where("registration_date is not null").groupBy("authority", "locality").agg(F.count("*").alias("n"), F.max("registration_date").alias("last")).where((F.col("n") >= 8) & (F.col("last") >= since(3)))
-    planned = planned.select(F.lit("planning").alias("surface"), F.concat(F.lit("/planning/"), T.slug(F.col("authority")), F.lit("/areas/"), T.slug(F.col("locality"))).alias("path"), F.col("locality").alias("label"), places.place_score(F.col("n"), F.col("last") >= since(2)).alias("score"))
-    both = sold.unionByName(planned)
-    return both.where((F.length("label") <= 80) & ~F.col("label").rlike("[0-9]") & ~F.col("label").rlike(r"(?i)^co\.?\s+") & ~F.col("label").rlike(r"(?i)(^|\s)(p\.?o\.?|post office)(\s|$)"))

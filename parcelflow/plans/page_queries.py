@@ -18,18 +18,6 @@ NOW = datetime(2024, 1, 15, 12)
 OLD_DAY = date(2000, 6, 28)
 
 
-@query(
-    "x17_locality_pages",
-    f"""with {APPLICATIONS}, c as (select authority, status as locality, count(*) as n from applications group by all having count(*) >= 8),
-    d as (select authority, status as locality, id, decision_date, row_number() over (partition by authority, status order by decision_date desc, reference desc) as place from applications where decision_date is not null)
-    select authority, locality, n, place, id, decision_date from c left join d using (authority, locality) where place is null or place <= 5""",
-)
-def locality_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pages of every authority and status, one row for each decision shown."""
-    found = G.locality_pages(applications(spark, sf_dir).withColumn("locality", F.col("status")))
-    return found.select("authority", "locality", "n", F.explode_outer("recent").alias("r")).select("authority", "locality", "n", "r.place", "r.id", "r.decision_date")
-
-
 @query(
     "o13_table_order",
     f"with {SALES}, a as (select county || '/' || area_slug as label, median(price_eur) filter (is_new_dwelling and price_eur > 100000) as v from sales group by 1) select label, v is null as missing, row_number() over (order by v desc nulls first, label desc) as place from a",
@@ -58,21 +46,6 @@ def traffic_cohort(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.orderBy(*G.traffic_order()).limit(40).select("id", "authority", "reference", "visitors", "clicks", "pageviews", "impressions")
 
 
-@query(
-    "j20_resolved_paths",
-    f"""with {APPLICATIONS}, p as (select user_id, case user_id % 3 when 0 then (select n_name from nation order by n_nationkey limit 1) else 'nowhere' end as a, count(*) as views from events group by all)
-    select case when x.id is null then 'FAIL' else 'FOUND' end as class, count(*) as n, cast(sum(views) as bigint) as views from p left join applications x on x.reference = cast(user_id as varchar) and x.authority = a group by 1""",
-)
-def resolved_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every user's page path: some name an application, most do not."""
-    first = table(spark, sf_dir, "nation").agg(F.min_by("n_name", "n_nationkey").alias("first_name"))
-    users = table(spark, sf_dir, "events").groupBy("user_id").agg(F.count("*").alias("views")).crossJoin(F.broadcast(first))  # one row
-    slug = F.when(F.col("user_id") % 3 == 0, T.slug(F.col("first_name"))).otherwise("nowhere")
-    paths = users.select(F.concat(F.lit("/planning/"), slug, F.lit("/"), F.col("user_id").cast("string"), F.lit("/?from=search")).alias("path"), "views")
-    found = G.resolved_paths(paths, applications(spark, sf_dir).withColumn("authority_slug", T.slug(F.col("authority"))))
-    return found.groupBy("class").agg(F.count("*").alias("n"), F.sum("views").alias("views"))
-
-
 @query(
     "p24_due_soon",
     "select event_id as id, ts as starts_at from events where event_type = 'view' and ts >= timestamp '2024-01-16 00:00:00' and ts < timestamp '2024-01-17 04:00:00' and event_id % 2 = 0 order by ts, event_id limit 50",
@@ -117,10 +90,3 @@ def same_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 def without_known(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = applications(spark, sf_dir)
     return G.without_known(rows.select("id", "registration_date"), rows.where("status = 'F'"), "id", [F.desc("registration_date"), F.asc("id")], 12)
-
-
-@query("j17_authority_counties", f"with {APPLICATIONS} select ['Cork', 'Kildare', 'Galway', null, 'Meath'][id % 5 + 1] as county, count(*) as n from applications group by 1")
-def authority_counties(spark: SparkSession, sf_dir: str) -> DataFrame:
-    codes = F.array(*map(F.lit, ("CORKCOCO", "KILDARE", "GALWAYCITY", "DLR", "MEATH")))
-    county = places.county_of(F.get(codes, (F.col("id") % 5).cast("int")))
-    return applications(spark, sf_dir).groupBy(county.alias("county")).agg(F.count("*").alias("n"))

@@ -71,21 +71,6 @@ def sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.stratified(pages.withColumn("cohort", cohort), 40, {"notable": 0.2, "left": 0.3, "recent": 0.5}, [F.desc("clicks"), F.asc("page")]).select("page", "cohort", "clicks")
 
 
-@query(
-    "w8_residence_cohort",
-    f"""with {SEARCH_DAYS}, c as (select page as path, sum(clicks * 10 + impressions)::bigint as score from search_days group by page),
-    m as (select path, {DAY} - cast(path % 60 as int) as entered from c where path % 2 = 0),
-    j as (select m.*, score, entered <= {DAY} - 42 as old from m left join c using (path)), k as (select *, row_number() over (partition by old order by score nulls first, path) as rn from j),
-    st as (select path, entered from k where not (old and rn <= 20)), f as (select c.path, row_number() over (order by score desc, c.path) as place from c where path not in (select path from m))
-    select path, entered, 'stays' as status from st union all select path, entered, 'left' from k where old and rn <= 20
-    union all select path, {DAY}, 'enters' from f where place <= greatest(100 - (select count(*) from st), 0)""",
-)
-def residence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    candidates = search_days(spark, sf_dir).groupBy(F.col("page").alias("path")).agg(F.sum(F.col("clicks") * 10 + F.col("impressions")).alias("score"))
-    members = candidates.where("path % 2 = 0").select("path", F.date_sub(F.lit(EVENTS_AS_OF), (F.col("path") % 60).cast("int")).alias("entered"))
-    return M.residence_cohort(members, candidates, EVENTS_AS_OF)
-
-
 @query(
     "c18_inspection_priority",
     f"""with {SEARCH_DAYS}, p as (select distinct page from search_days), l as (select page, max(day) as inspected, sum(clicks) > 10 as indexed from search_days where page % 4 <> 0 group by page)
@@ -198,16 +183,6 @@ def watched(spark: SparkSession, sf_dir: str) -> DataFrame:
     return changes.select("entity", F.array_join("fields", ",").alias("fields"))
 
 
-@query(
-    "x3_place_ranking",
-    f"""with {SALES}, a as (select county, area_slug as label, count(*) as sales_count from sales group by all), t as (select max(sales_count) as top from a)
-    select county, label, sales_count, round(log10(sales_count + 1) * 35 - case when sales_count < greatest(15.0, greatest(8.0, top * 0.1)) then 40 else 0 end, 6) as score from a, t""",
-)
-def places(spark: SparkSession, sf_dir: str) -> DataFrame:
-    areas = sales(spark, sf_dir).groupBy("county", F.col("area_slug").alias("label")).agg(F.count("*").alias("sales_count"))
-    return X.rank_places(areas)
-
-
 @query(
     "x3_suggested_places",
     f"""with {SALES}, a as (select county, replace(area_slug, '-', ' ') as label, count(*) as n from sales group by all)

@@ -53,20 +53,6 @@ def area_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.where(inside).groupBy("authority").agg(F.count("*").alias("n"))
 
 
-@query(
-    "c19_locality_candidates",
-    f"""with {SALES}, {APPLICATIONS}, {LOCALITIES_SQL}, s as (select county, area_slug, count(*) as n, max(date_of_sale) as last from sales group by all having count(*) >= 12 and max(date_of_sale) >= date '1998-08-28'),
-    p as (select authority, locality, count(*) as n, max(registration_date) as last from bare where registration_date is not null group by all having count(*) >= 8 and max(registration_date) >= date '1998-08-28' - interval 36 month),
-    a as (select 'sold_prices' as surface, '/sold-prices/' || trim(regexp_replace(lower(county), '[^a-z0-9]+', '-', 'g'), '-') || '/' || area_slug as path, n, 30 as extra, area_slug as label from s
-      union all select 'planning', '/planning/' || lower(authority) || '/areas/' || trim(regexp_replace(lower(locality), '[^a-z0-9]+', '-', 'g'), '-'), n, 30, locality from p)
-    select surface, path, round(ln(n) * 20 + extra, 6) as score from a where label is not null and not regexp_matches(label, '(?i)^co\\.?\\s+')""",
-)
-def locality_cohort(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Candidates of both surfaces."""
-    rows = _placed(spark, sf_dir).withColumn("locality", places.locality(F.col("location"), F.col("ward"), F.col("authority")))
-    return U.locality_candidates(sales(spark, sf_dir), rows, date(2001, 8, 28)).select("surface", "path", F.round("score", 6).alias("score"))
-
-
 @query(
     "f42_sale_labels",
     f"""with {SALES}, c as (select *, array_to_string(list_transform(string_split(lower(county), ' '), lambda w: upper(w[1]) || w[2:]), ' ') as shown from sales),
@@ -151,10 +137,10 @@ def revisions(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "c14_marked_checked",
     f"""with {APPLICATIONS}, {snapshot_sql('n', SALES_AS_OF)} select authority, count(*) as n, count(*) filter (authority = 'NATION_1' and registration_date >= date '1996-01-01' and registration_date < date '1999-01-01' and final_grant_date is null
-      and state <> 'final_grant' and (appeal_lodged_date is not null or state = 'appealed' or decision_date is null or decision_date >= {DAY} - 180)) as checked from n group by 1""",
+      and (id % 3 > 0 or appeal_lodged_date is null) and state <> 'final_grant' and (appeal_lodged_date is not null or state = 'appealed' or decision_date is null or decision_date >= {DAY} - 180)) as checked from n group by 1""",
 )
 def marked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = snapshot(applications(spark, sf_dir), SALES_AS_OF).withColumn("last_checked", F.lit(None).cast("date"))
+    rows = snapshot(applications(spark, sf_dir), SALES_AS_OF).withColumns({"last_checked": F.lit(None).cast("date"), "appeal_decision_date": F.when(F.col("id") % 3 == 0, F.date_add("appeal_lodged_date", 30))})
     found = U.marked_checked(rows, "NATION_1", date(1996, 1, 1), date(1999, 1, 1), SALES_AS_OF)
     return found.groupBy("authority").agg(F.count("*").alias("n"), F.count("last_checked").alias("checked"))
 
@@ -170,14 +156,14 @@ def quality_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "c21_proposal_backfill",
     f"""with {APPLICATIONS}, {SEARCH_DAYS}, {snapshot_sql('n', SALES_AS_OF)}, t as (select page, sum(clicks) as clicks, sum(impressions) as impressions from search_days group by 1), r as (select n.id, reference, registration_date, coalesce(clicks, 0) as clicks, coalesce(impressions, 0) as impressions, status = 'P' as is_notable,
-      case when coalesce(clicks, 0) > 0 or coalesce(impressions, 0) > 0 or status = 'P' then 0 when registration_date >= {DAY} - interval 24 month and state not in ('decision_made', 'final_grant') and decision_date is null then 1 else 2 end as priority from n left join t on page = n.id where length(location) = 18 and authority = 'NATION_1')
+      case when coalesce(clicks, 0) > 0 or coalesce(impressions, 0) > 0 or status = 'P' then 0 when registration_date >= {DAY} - interval 24 month and state not in ('decision_made', 'final_grant') and decision_date is null and id % 4 > 0 then 1 else 2 end as priority from n left join t on page = n.id where length(location) = 18 and registration_date between date '1996-01-01' and date '2001-06-30')
     select * from r order by priority, clicks desc, impressions desc, registration_date desc, reference desc, id limit 100""",
 )
 def proposal_backfill(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Applications of one authority whose text has just the length at which its source cuts."""
-    rows = snapshot(applications(spark, sf_dir), SALES_AS_OF)
-    cut = (F.col("authority") == "NATION_1") & (F.length("location") == 18)
-    return U.proposal_backfill(rows, search_days(spark, sf_dir), rows.where("status = 'P'"), cut, SALES_AS_OF, 100)
+    """Applications of a span of days whose text has just the length at which its source cuts."""
+    rows = snapshot(applications(spark, sf_dir), SALES_AS_OF).withColumn("withdrawal_date", F.when(F.col("id") % 4 == 0, F.date_add("registration_date", 10)))
+    cut = F.length("location") == 18
+    return U.proposal_backfill(rows, search_days(spark, sf_dir), rows.where("status = 'P'"), cut, SALES_AS_OF, 100, date(1996, 1, 1), date(2001, 6, 30))
 
 
 @query(

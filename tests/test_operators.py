@@ -152,12 +152,6 @@ def test_watch_baseline_is_silent(spark):
     assert [(r.entity, r.fields) for r in changes.collect()] == [(1, ["status"])]
 
 
-def test_places_merge_variants(spark):
-    rows = [("Cork", "Midleton", 200), ("Cork", "Midleton Town", 20), ("Cork", "Main Street", 3)]
-    got = {r.label: r.score for r in search.rank_places(spark.createDataFrame(rows, "county string, label string, sales_count long")).collect()}
-    assert set(got) == {"Midleton", "Main Street"} and got["Midleton"] > 0 > got["Main Street"]
-
-
 def test_csv_records(spark, tmp_path):
     path = tmp_path / "s.csv"
     path.write_text('Date of Sale (dd/mm/yyyy),Address,County,Eircode,Price (€),Not Full Market Price?,VAT Exclusive,Description of Property\r\n'

@@ -75,16 +75,3 @@ def test_labels_of_any_length(spark):
     places = [(1, "By One-Two, three four five six"), (2, "x one two three four five y"), (3, "A b c d e f g h, Bay"), (4, "bay"), (5, "a b c d e f g"), (6, None)]
     found = search.longest_label(spark.createDataFrame(places, "id int, location string"), spark.createDataFrame([(n,) for n in names], "label string"))
     assert {r.id: r.label for r in found.collect()} == {1: names[2], 2: names[1], 3: names[3], 4: "bay"}
-
-
-def test_cohort_ranks_only_rows_that_count(spark):
-    members = spark.sql("select concat('m', id) as path, date'2024-01-01' as entered from range(300)")
-    candidates = spark.sql("select concat('c', id) as path, id % 97 as score from range(3000) union all select concat('m', id), id from range(300)")
-    out = measure.residence_cohort(members, candidates, D(2024, 6, 1), size=290, rotation=20)
-    plan = out._jdf.queryExecution().optimizedPlan().toString()
-    assert plan.count("Window") == 1 and "GlobalLimit 290" in plan and "GlobalLimit 20" in plan
-    got = {}
-    for r in out.collect():
-        got.setdefault(r.status, []).append(r.path)
-    assert sorted(got["left"]) == sorted(f"m{k}" for k in range(20)) and len(got["stays"]) == 280
-    assert len(got["enters"]) == 10 and all(int(p[1:]) % 97 == 96 for p in got["enters"])
