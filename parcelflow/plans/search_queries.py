@@ -8,10 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from parcelflow.functions import geo, postcode, status, text
+from parcelflow.operators import fulltext
 from parcelflow.operators import measure as M
 from parcelflow.operators import search as X
 from parcelflow.plans.mapping import APPLICATIONS, EVENTS_AS_OF, SALES, SEARCH_DAYS, applications, sales, search_days
 from parcelflow.plans.registry import query
+from parcelflow.sources.tables import table
 
 DAY = f"date '{EVENTS_AS_OF}'"
 NOW = datetime(2024, 1, 28, 12)
@@ -308,3 +310,9 @@ def intents(spark: SparkSession, sf_dir: str) -> DataFrame:
     k, i = F.col("o_orderkey") % 7, F.col("o_orderkey").cast("string")
     asked = F.when(k == 0, F.concat(F.lit("24/"), i)).when(k == 1, "d6w ab12").when(k == 2, "B12 3456").when(k == 3, F.concat(i, F.lit(" Main Street"))).when(k == 4, F.concat(F.lit("24-A"), i)).when(k == 5, i).otherwise("Midleton")
     return spark.read.parquet(f"{sf_dir}/orders.parquet").select(X.intent(asked).alias("intent")).groupBy("intent").agg(F.count("*").alias("n"))
+
+
+@query("f37_text_search")
+def text_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold all words of a benchmark item, stop words and endings aside; no twin, as it takes a stemmer."""
+    return fulltext.text_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), "doc_id", "text", "item_id", "text")
