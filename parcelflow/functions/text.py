@@ -104,10 +104,14 @@ def record_hash(*columns: Column) -> Column:
     return F.sha2(F.to_json(F.struct(*columns), {"ignoreNullFields": "false"}), 256)
 
 
+#: Texts of a source that say nothing.
+PLACEHOLDERS = ("-", "n/a", "na", "none", "null", "not applicable", "not available", "not recorded", "not recorded in source", "not supplied", "undefined", "unknown")
+
+
 def meaningful(value: Column) -> Column:
     """The text with a capital first letter; null for placeholders."""
     text = squeeze(value)
-    return F.when(~F.lower(text).isin("n/a", "na", "none", "null", "unknown", "not available", "-"), F.concat(F.upper(F.substring(text, 1, 1)), F.substring(text, 2, 1_000_000)))
+    return F.when(~F.lower(text).isin(*PLACEHOLDERS), F.concat(F.upper(F.substring(text, 1, 1)), F.substring(text, 2, 1_000_000)))
 
 
 def html_text(html: Column) -> Column:
@@ -173,20 +177,6 @@ def title_initials(value: Column) -> Column:
     return F.array_join(F.transform(chars, lambda c, i: F.when((i == 0) | ~F.get(chars, i - 1).rlike("[a-z0-9]"), F.upper(c)).otherwise(c)), "")
 
 
-def truncated(value: Column, ceilings: tuple[int, int] = (79, 81)) -> Column:
-    """Whether a text looks cut at a field limit: a length at the ceiling and no closing punctuation."""
-    return F.length(value).between(*ceilings) & ~F.rtrim(value).rlike("[.!?)]$")
-
-
-def summary(value: Column, most: int = 120) -> Column:
-    """The first sentence, cut at a word and an ellipsis if longer than `most`."""
-    text = F.btrim(F.regexp_replace(value, r"\s+", " "))
-    sentence = F.regexp_extract(text, r"^(.*?[.!?])(?:\s|$)", 1)
-    chosen = F.when(sentence != "", sentence).otherwise(text)
-    cut = F.regexp_replace(F.substring(chosen, 1, most - 1), r"\s+\S*$", "")
-    return F.when(F.length(chosen) <= most, chosen).otherwise(F.concat(cut, F.lit("…")))
-
-
 def keep_longer(existing: Column, incoming: Column) -> Column:
     """The existing text where the incoming one is its beginning, else the incoming one."""
     return F.when(incoming.isNull() | (existing.startswith(incoming) & (F.length(existing) > F.length(incoming))), existing).otherwise(incoming)

@@ -83,16 +83,6 @@ def json_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").groupBy("event_type").agg(F.count("*").alias("n"), F.sum(k).alias("total"), F.max(k).alias("top"))
 
 
-@query(
-    "f31_summaries",
-    r"""with t as (select doc_id, trim(regexp_replace(text, '[ \t\n\x0b\f\r]+', ' ', 'g')) as t from documents), s as (select doc_id, case when regexp_extract(t, '^(.*?[.!?])(?:\s|$)', 1) <> '' then regexp_extract(t, '^(.*?[.!?])(?:\s|$)', 1) else t end as c from t)
-    select doc_id, case when length(c) <= 120 then c else regexp_replace(substr(c, 1, 119), '\s+\S*$', '') || '…' end as summary from s""",
-)
-def summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """First sentences of all texts, cut at a word."""
-    return table(spark, sf_dir, "documents").select("doc_id", text.summary(F.col("text")).alias("summary"))
-
-
 @query(
     "d12_due_texts",
     f"""with {APPLICATIONS}, d as (select id, date_diff('day', {DAY}, registration_date) as n from applications)
