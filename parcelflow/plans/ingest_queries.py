@@ -92,16 +92,6 @@ def due_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return applications(spark, sf_dir).select("id", dates.due_text(F.col("registration_date"), SALES_AS_OF).alias("due"))
 
 
-@query(
-    "d10_date_windows",
-    "select cast(d as date) as start, least(cast(d as date) + 6, date '1995-12-31') as stop from (select unnest(generate_series(date '1995-01-01', date '1995-12-31', interval 7 day)) as d)",
-)
-def date_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Windows of seven days over a year."""
-    days = spark.range(1).select(F.explode(F.expr("sequence(date '1995-01-01', date '1995-12-31', interval 7 days)")).alias("start"))
-    return days.select("start", F.least(F.date_add("start", 6), F.lit("1995-12-31").cast("date")).alias("stop"))
-
-
 @query(
     "s14_insert_new",
     "select l_orderkey, count(*) as n from (select distinct l_orderkey, l_partkey from lineitem) where not exists (select 1 from orders where o_orderkey = l_orderkey and o_orderstatus = 'O') group by 1",
