@@ -355,7 +355,9 @@ def near_duplicates(vectors: DataFrame, least: float = 0.9, probes: int = 0) ->
     keyed = vectors.select("vec_id", "embedding").withColumn("key", F.when(F.coalesce(sound, F.lit(False)), F.struct(F.xxhash64("embedding").alias("a"), F.xxhash64(F.lit(1), "embedding").alias("b"))))
     usable = keyed.where("key is not null")
     named = usable.groupBy("key", "vec_id").agg(F.first("embedding").alias("vector"))
-    distinct = checkpointed(named.groupBy("key").agg(F.min("vec_id").alias("id"), F.count("*").alias("weight"), F.first("vector").alias("vector")))
+    # every different vector has a number of its own, as rows of one vec_id may hold several
+    ordered = named.groupBy("key").agg(F.min("vec_id").alias("first_id"), F.count("*").alias("weight"), F.first("vector").alias("vector")).sortWithinPartitions("key")
+    distinct = checkpointed(ordered.withColumn("id", F.monotonically_increasing_id()))
     lengths = distinct.groupBy(F.size("vector").alias("length")).agg(F.count("*").alias("n")).where("n > 1").orderBy("length").collect()
     parts = [_links(distinct.where(F.size("vector") == r["length"]), r["length"], r["n"], least, probes) for r in lengths]
     if not parts:
@@ -363,8 +365,9 @@ def near_duplicates(vectors: DataFrame, least: float = 0.9, probes: int = 0) ->
     found = reduce(DataFrame.unionByName, parts)
     sums = found.groupBy("id").agg(F.sum("links").alias("links"))
     components = connected_components(found.where("other is not null").select(F.col("id").alias("a"), F.col("other").alias("b")))
-    by_vector = distinct.select("key", "id", "weight").join(sums, "id", "left").join(components, "id", "left")
-    by_vector = by_vector.select("key", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("component", "id").alias("component_id"))
+    by_vector = distinct.select("key", "id", "first_id", "weight").join(sums, "id", "left").join(components, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    named_components = by_vector.groupBy("component").agg(F.min("first_id").alias("component_id"))
+    by_vector = by_vector.join(named_components, "component").select("key", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"), "component_id")
     out = keyed.select("vec_id", "key").join(by_vector, "key", "left")
     component = F.coalesce("component_id", "vec_id")
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(False)).alias("kept"))

@@ -110,3 +110,9 @@ def test_every_length_links(spark):
     rows = [(1, [1.0, 0.0]), (2, [1.0, 0.1]), (3, [1.0, 0.0, 0.0]), (4, [1.0, 0.1, 0.0]), (5, [0.9, 0.0, 0.1]), (6, [1.0])]
     got = {r.vec_id: (r.n_links, r.component_id) for r in E.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect()}
     assert got == {1: (1, 1), 2: (1, 1), 3: (2, 3), 4: (2, 3), 5: (2, 3), 6: (0, 6)}
+
+
+def test_different_vectors_of_one_id(spark):
+    rows = [(1, [1.0, 0.0, 0.0]), (1, [0.0, 1.0, 0.0]), (2, [1.0, 0.05, 0.0]), (5, [1.0, 0.0]), (5, [1.0, 0.1]), (4, [1.0, 0.1])]
+    got = sorted((r["vec_id"], r["n_links"], r["component_id"], r["kept"]) for r in E.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect())
+    assert got == [(1, 0, 1, True), (1, 1, 1, True), (2, 1, 1, False), (4, 2, 4, True), (5, 2, 4, False), (5, 2, 4, False)]
