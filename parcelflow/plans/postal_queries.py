@@ -213,9 +213,9 @@ def _bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
     rec as (select eircode, string_agg(cast(id as varchar), ',' order by rn) as recent_sales from near where rn <= 8 group by 1),
     st as (select county, area_slug as stats_slug, count(*) as n_sales, quantile_cont(price_eur, 0.5) as median_price from sold group by 1, 2)
     select p.eircode, case when source = 'routing-key' then 'routing-area' when area_slug is not null then 'area' else 'county' end as level, p.county, case when area_slug is not null then p.locality end as locality, area_slug, label, routing_key, sales_basis,
-      n_sales, round(median_price, 2) as median_price, coalesce(recent_sales, '') as recent_sales, basis as planning_basis, ids as planning_ids
+      n_sales, round(median_price, 3) as median_price, coalesce(recent_sales, '') as recent_sales, basis as planning_basis, ids as planning_ids
     from plans p left join rec using (eircode) left join st using (county, stats_slug) join fallback using (eircode)""",
 )
 def market_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The local market of every code with a plan."""
-    return _bundles(spark, sf_dir).withColumns({"median_price": F.round("median_price", 2), "recent_sales": F.array_join("recent_sales", ","), "planning_ids": F.array_join("planning_ids", ",")})
+    return _bundles(spark, sf_dir).withColumns({"median_price": F.round("median_price", 3), "recent_sales": F.array_join("recent_sales", ","), "planning_ids": F.array_join("planning_ids", ",")})
