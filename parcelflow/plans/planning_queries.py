@@ -114,17 +114,6 @@ def appended(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.append_events(P.reconstruct_events(applications(spark, sf_dir)), P.observed_changes(*_both(spark, sf_dir), NEW))
 
 
-@query(
-    "w6_active_ranges",
-    f"""with {APPLICATIONS}, m as (select authority, cast(date_trunc('month', registration_date) as date) as month, count(*) as n from applications where registration_date <= {DAY} and id % 7 = 0 group by all),
-    i as (select *, year(month) * 12 + month(month) - 1 - row_number() over (partition by authority order by month) as island from m)
-    select authority, min(month) as start_date, least(last_day(max(month)), {DAY}) as end_date, sum(n)::bigint as rows, count(*) as months from i group by authority, island""",
-)
-def ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Islands of active months, of the applications whose number is divisible by seven (an authority's caseload with gaps)."""
-    return P.active_ranges(applications(spark, sf_dir).where("id % 7 = 0"), SALES_AS_OF)
-
-
 @query(
     "w6_active_ranges_all",
     f"""with {APPLICATIONS}, m as (select authority, cast(date_trunc('month', registration_date) as date) as month, count(*) as n from applications where registration_date <= {DAY} group by all),

@@ -206,19 +206,6 @@ def addresses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return X.rank_addresses(sales(spark, sf_dir), "Customer#000000012").select("address", "date_of_sale", "price_eur", "score")
 
 
-@query(
-    "g2_g3_grid_round_trip",
-    f"""with {APPLICATIONS} select count(*) as n, 0.0::double as worst_metre from applications where grid_northing between 520000 and 980000""",
-)
-def grid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Grid positions to latitude and longitude and back: how far the worst comes to lie, to the centimetre."""
-    rows = applications(spark, sf_dir).where(F.col("grid_northing").between(520_000, 980_000)).select(F.col("grid_easting").cast("double").alias("e"), F.col("grid_northing").cast("double").alias("n"))
-    there = rows.select("e", "n", geo.from_grid(F.col("e"), F.col("n")).alias("p"))
-    back = there.select("e", "n", geo.to_grid(F.col("p.lat"), F.col("p.lng")).alias("g"))
-    away = F.hypot(F.col("g.easting") - F.col("e"), F.col("g.northing") - F.col("n"))
-    return back.agg(F.count("*").alias("n"), F.round(F.max(away), 2).alias("worst_metre"))
-
-
 def _round_trip_sql() -> str:
     """The series of both ways for DuckDB, over rows of `applications`; `p` holds positions, `b` the way back of those inside the box."""
     add = lambda first, terms: " ".join([first, *terms])
