@@ -161,19 +161,6 @@ def append_events(known: DataFrame, found: DataFrame) -> DataFrame:
     return found.dropDuplicates(["application_id", "event_key"]).join(known.select("application_id", "event_key"), ["application_id", "event_key"], "left_anti")
 
 
-def public_timeline(events: DataFrame) -> DataFrame:
-    """The shown events of each application in order, with corrected dates taken over.
-
-    Corrections of a field fold in order of detection; the last one gives the field's date.
-    """
-    last = events.where("event_type = 'source_date_corrected'").groupBy("application_id", "source_field").agg(F.max_by("event_date", F.struct("event_date", "event_key")).alias("corrected"))
-    shown = events.where(~F.col("event_type").isin(*HIDDEN)).join(last, ["application_id", "source_field"], "left")
-    day = F.coalesce("corrected", "event_date")
-    place = F.element_at(F.create_map(*[F.lit(x) for k, e in enumerate(MILESTONES) for x in (e, k)]), F.col("event_type"))
-    order = Window.partitionBy("application_id").orderBy(day, place, "event_key")
-    return shown.select("application_id", "event_type", day.alias("event_date"), F.row_number().over(order).alias("place"))
-
-
 def active_ranges(applications: DataFrame, as_of: date) -> DataFrame:
     """Runs of months with registrations by authority, from the first day to the last or to `as_of`."""
     months = applications.where(F.col("registration_date") <= F.lit(as_of)).groupBy("authority", F.trunc("registration_date", "month").alias("month")).agg(F.count("*").alias("n"))

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from datetime import date
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from parcelflow.operators import planning as P
+from parcelflow.operators import timeline as L
 from parcelflow.plans.mapping import APPLICATIONS, SALES_AS_OF, applications, registrations, snapshot, snapshot_sql
 from parcelflow.plans.registry import query
 
@@ -96,13 +97,37 @@ def changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.observed_changes(*_both(spark, sf_dir), NEW)
 
 
+#: Corrections of a registration date: one that follows from the date, one that follows from that, one of another value; and wordings of decisions.
+CORRECTED = f"""{EVENTS}, full_events as (select application_id, event_type, event_date, timestamp '2001-09-01' as detected_at, source_field, event_type as label, cast(null as varchar) as old_value, cast(null as varchar) as new_value, event_key from events_of
+  union all select id, 'source_date_corrected', date '2001-09-02', timestamp '2001-09-02', 'registration_date', 'x', cast(registration_date as varchar), cast(registration_date + 2 as varchar), 'c1' from applications where id % 3 = 0
+  union all select id, 'source_date_corrected', date '2001-09-03', timestamp '2001-09-03', 'registration_date', 'x', cast(registration_date + 2 as varchar), cast(registration_date + 400 as varchar), 'c2' from applications where id % 2 = 0
+  union all select id, 'source_date_corrected', date '2001-09-04', timestamp '2001-09-04', 'registration_date', 'x', cast(registration_date as varchar), '2001-02-30', 'c3' from applications where id % 5 = 0
+  union all select id, 'decision_changed', date '2001-09-05', timestamp '2001-09-05', 'decision_text', 'x', case id % 8 when 0 then 'Granted' end, case id % 12 when 0 then 'N/A' else ' Refused  by ' || status end, 'd1' from applications where id % 4 = 0)"""
+
+
 @query(
     "c9_public_timeline",
-    f"""with {APPLICATIONS}, {EVENTS}, o as (select *, case event_type when 'application_received' then 0 when 'decision_made' then 4 when 'final_grant' then 6 else 7 end as k from events_of)
-    select application_id, event_type, event_date, row_number() over (partition by application_id order by event_date, k, event_key) as place from o""",
+    f"""with {APPLICATIONS}, {CORRECTED}, a as (select id, status, case when id % 6 = 0 then registration_date + 400 when id % 3 = 0 then registration_date + 2 else registration_date end as day from applications),
+    o as (select e.application_id, event_type, case when source_field = 'registration_date' then day else event_date end as event_date, case event_type when 'application_received' then 0 when 'decision_made' then 4 when 'final_grant' then 6 else 7 end as k, event_key,
+      case when event_type = 'decision_made' and a.id % 4 = 0 and a.id % 8 > 0 and a.id % 12 > 0 then 'Decision: Refused by ' || status else event_type end as label from events_of e join a on a.id = e.application_id)
+    select application_id, row_number() over (partition by application_id order by event_date, k, event_key) as place, event_type, event_date, label, event_key from o""",
 )
 def timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return P.public_timeline(P.reconstruct_events(applications(spark, sf_dir)))
+    """Public timelines of all applications, with chains of corrections and wordings of decisions."""
+    rows = applications(spark, sf_dir)
+    text, none = F.col("registration_date").cast("string"), F.lit(None).cast("string")
+    events = P.reconstruct_events(rows).select("application_id", "event_type", "event_date", F.lit("2001-09-01").cast("timestamp").alias("detected_at"), "source_field", F.col("event_type").alias("label"), none.alias("old_value"), none.alias("new_value"), "event_key")
+
+    def told(day: str, kind: str, field: str, old: Column, new: Column, key: str, some: Column) -> DataFrame:
+        return rows.where(some).select("id", F.lit(kind), F.lit(day).cast("date"), F.lit(day).cast("timestamp"), F.lit(field), F.lit("x"), old, new, F.lit(key))
+
+    i, later = F.col("id"), lambda n: F.date_add("registration_date", n).cast("string")
+    events = events.union(told("2001-09-02", "source_date_corrected", "registration_date", text, later(2), "c1", i % 3 == 0))
+    events = events.union(told("2001-09-03", "source_date_corrected", "registration_date", later(2), later(400), "c2", i % 2 == 0))
+    events = events.union(told("2001-09-04", "source_date_corrected", "registration_date", text, F.lit("2001-02-30"), "c3", i % 5 == 0))
+    wording = F.when(i % 12 == 0, "N/A").otherwise(F.concat(F.lit(" Refused  by "), "status"))
+    events = events.union(told("2001-09-05", "decision_changed", "decision_text", F.when(i % 8 == 0, "Granted"), wording, "d1", i % 4 == 0))
+    return L.public_timeline(events)
 
 
 @query(

@@ -55,9 +55,6 @@ def test_changes_and_corrections(spark):
     assert got[(2, "source_date_corrected")].old_value == "2024-02-01"
     history = planning.reconstruct_events(old)
     assert planning.append_events(history, planning.reconstruct_events(old)).count() == 0
-    columns = ["application_id", "event_type", "event_date", "source_field", "event_key"]
-    line = planning.public_timeline(history.select(columns).unionByName(found.select(columns))).where("application_id = 2").orderBy("place").collect()
-    assert [(r.event_type, r.event_date) for r in line] == [("application_received", D(2024, 1, 1)), ("decision_made", D(2024, 2, 5))]
 
 
 def test_active_ranges(spark):
