@@ -132,11 +132,12 @@ def timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "u_appended_events",
-    f"""with {CHANGES}, {EVENTS} select c.* from changes c where not exists (select 1 from events_of e where e.application_id = c.application_id and e.event_key = c.event_key)""",
+    f"""with {CHANGES}, {EVENTS.replace("from applications", "from o")} select c.* from changes c where not exists (select 1 from events_of e where e.application_id = c.application_id and e.event_key = c.event_key)""",
 )
 def appended(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Observed events that the reconstructed history does not have."""
-    return P.append_events(P.reconstruct_events(applications(spark, sf_dir)), P.observed_changes(*_both(spark, sf_dir), NEW))
+    """Observed events that the history reconstructed from the old snapshot does not have."""
+    old, new = _both(spark, sf_dir)
+    return P.append_events(P.reconstruct_events(old), P.observed_changes(old, new, NEW))
 
 
 @query(
