@@ -25,7 +25,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from parcelflow.llm import textarrays as T
@@ -248,6 +248,13 @@ def _by_block(docs: DataFrame, answers: DataFrame, block_bytes: int, work, schem
     return dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(work, schema)
 
 
+def _hold_partitions(spark: SparkSession) -> None:
+    """Files are cut by the number of cores there are; that number is written down, so that a lost executor does not change the partitions meanwhile."""
+    name = "spark.sql.files.minPartitionNum"
+    if not spark.conf.get(name, None):
+        spark.conf.set(name, str(spark.sparkContext.defaultParallelism))
+
+
 def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score (add-one unigrams) and score (the mixture), in log10, of every row."""
     doc_id = F.col(id_col)
@@ -255,6 +262,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block
     size = rows.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
     n_buckets = 1 + size // bucket_bytes
     scratch = Scratch(docs.sparkSession)
+    _hold_partitions(docs.sparkSession)
     sums = _sent(rows, n_buckets, block_bytes).groupBy("bucket").applyInArrow(_met, "bucket int, block long, pairs boolean, every binary, kept binary, totals array<long>")
     answers = scratch.write(sums, "sums")
     totals = answers.where("block = -1").agg(*(F.coalesce(F.sum(F.col("totals")[k]), F.lit(0)).alias(f"t{k}") for k in range(4))).first()
