@@ -92,11 +92,12 @@ def new_dwelling(description: Column) -> Column:
 
 
 def property_tags(description: Column, vat_exclusive: Column) -> Column:
-    """House or apartment, new or second-hand, and the tax note, where they are known."""
-    text = F.lower(description)
-    kind = F.when(text.contains("apartment"), "Apartment").when(text.contains("house") | text.contains("dwelling"), "House")
-    age = F.when(text.contains("new"), "New").when(text.contains("second"), "Second-hand")
-    return F.array_compact(F.array(kind, age, F.when(vat_exclusive, "VAT exclusive")))
+    """Kind and condition of a property, and for new builds the tax note where it is known; null descriptions are of no special kind."""
+    said = F.lower(F.coalesce(description, F.lit("")))
+    kind = F.when(said.contains("house"), "House").when(said.contains("apartment"), "Apartment").otherwise("Property")
+    new = said.contains("new")
+    tax = F.when(new & vat_exclusive, "VAT exclusive").when(new & ~vat_exclusive, "VAT included")
+    return F.array_compact(F.array(kind, F.when(new, "New build").otherwise("Second-hand"), tax))
 
 
 def record_hash(*columns: Column) -> Column:
