@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from parcelflow.functions import status
@@ -14,28 +14,43 @@ SMALL = ("and", "of", "the", "on")
 
 def display_case(value: Column) -> Column:
     """Texts all in capitals with a capital for each word and hyphen part; others with blanks collapsed only; null as empty."""
-    text = F.coalesce(T.squeeze(value), F.lit(""))
-    letters = F.regexp_replace(text, "[^A-Za-z]", "")
 
     def word(w: Column) -> Column:
         parts = F.transform(F.split(w, "-"), lambda p: F.concat(F.upper(F.substring(p, 1, 1)), F.substring(p, 2, 1_000_000)))
         return F.when(w.isin(*SMALL), w).otherwise(F.array_join(parts, "-"))
 
-    cased = F.array_join(F.transform(F.split(F.lower(text), " "), word), " ")
-    return F.when((letters != "") & (letters == F.upper(letters)), cased).otherwise(text)
+    def cased(text: Column) -> Column:
+        letters = F.regexp_replace(text, "[^A-Za-z]", "")
+        words = F.array_join(F.transform(F.split(F.lower(text), " "), word), " ")
+        return F.when(T.let(letters, lambda x: (x != "") & (x == F.upper(x))), words).otherwise(text)
+
+    return T.let(F.coalesce(T.squeeze(value), F.lit("")), cased)
 
 
 def sale_label(address: Column, locality: Column, county: Column, area_slug: Column) -> Column:
     """What to call a sale: its address, else locality or area with the county where they differ, else the county."""
     street = display_case(T.compact_address(F.coalesce(address, F.lit(""))))
-    place, region = display_case(locality), display_case(county)
     area = display_case(T.slug_title(F.coalesce(area_slug, F.lit(""))))
 
-    def within(name: Column) -> Column:
+    def within(region: Column, name: Column) -> Column:
         apart = (region != "") & (F.lower(name) != F.lower(region))
         return F.when(name != "", F.when(apart, F.concat(name, F.lit(", "), region)).otherwise(name))
 
-    return F.coalesce(F.nullif(street, F.lit("")), within(place), within(area), F.nullif(region, F.lit("")), F.lit("Nearby sale"))
+    def placed(region: Column) -> Column:
+        return F.coalesce(*(T.let(name, lambda n: within(region, n)) for name in (display_case(locality), area)), F.nullif(region, F.lit("")), F.lit("Nearby sale"))
+
+    return T.let(street, lambda s: F.when(s != "", s).otherwise(T.let(display_case(county), placed)))
+
+
+def sale_labels(sales: DataFrame) -> DataFrame:
+    """county, labels, first_label: how many labels the sales of each county have, and the least; each different text is labelled once.
+
+    sales: county, address, locality, area_slug.
+    """
+    texts = sales.select("county", "address", "locality", "area_slug").distinct()
+    label = sale_label(F.col("address"), F.col("locality"), F.col("county"), F.col("area_slug"))
+    found = texts.select("county", label.alias("label")).distinct()
+    return found.groupBy("county").agg(F.count("label").alias("labels"), F.min("label").alias("first_label"))
 
 
 def council_status(raw: Column, state: Column) -> Column:

@@ -8,6 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from parcelflow.functions import text as T
+from parcelflow.functions.text import let as _let
 
 #: Lengths at which a source cuts its texts, and the length from which weak signs of a cut count.
 LIMIT = (79, 81)
@@ -25,11 +26,6 @@ SENTENCE = r"(?i)^(.*?(?:(?<!(?:^|\s)\d{0,20}(?:no|nos|ref))\.|[!?]))(?=\s|$)"
 LEAST_CLAUSE, TITLE, SUMMARY = 35, 120, 155
 
 
-def _let(value: Column, use: Callable[[Column], Column]) -> Column:
-    """`use` of a value that is computed once, however often it is named."""
-    return F.element_at(F.transform(F.array(value), use), 1)
-
-
 def capital(value: Column) -> Column:
     """The text with its first ASCII letter in upper case."""
     at = F.regexp_instr(value, F.lit("[A-Za-z]"))
