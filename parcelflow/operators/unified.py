@@ -58,10 +58,13 @@ def unified_search(queries: DataFrame, sales: DataFrame, applications: DataFrame
     exact ones first, then those it begins, then those it is part of; other queries the latest sales of the one place
     of exactly that name. Both find applications whose location holds them, others also by reference; all but references find
     places. Of applications the latest count, the exact reference first.
+
+    Each different text is searched once, under itself as its id; the queries that say it get its few rows in the end.
     """
     cleaned = F.substring(T.squeeze(F.col("query")), 1, LONGEST)
-    asked = queries.select("query_id", cleaned.alias("q")).where(F.length("q") >= 2).withColumns({"intent": intent(F.col("q")), "asked": T.tokens(F.col("q")), "low": F.lower("q"), "code": postcode.canonical(F.col("q"))})
-    asked = materialised(asked)
+    told = materialised(queries.select("query_id", cleaned.alias("q")).where(F.length("q") >= 2))
+    known = {"intent": intent(F.col("q")), "asked": T.tokens(F.col("q")), "low": F.lower("q"), "code": postcode.canonical(F.col("q"))}
+    asked = materialised(told.select("q").distinct().withColumns({"query_id": F.col("q"), **known}))
     latest_sale = [F.desc_nulls_last("date_of_sale"), F.desc("id")]
     latest_plan = [F.desc_nulls_last("registration_date"), F.desc("reference"), F.desc("id")]
 
@@ -96,4 +99,4 @@ def unified_search(queries: DataFrame, sales: DataFrame, applications: DataFrame
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)
-    return out
+    return out.withColumnRenamed("query_id", "q").join(told, "q").select("query_id", "section", "place", "ref", "label")

@@ -2,6 +2,8 @@
 
 from datetime import date
 
+from parcelflow.operators import unified
+from parcelflow.operators.fulltext import text_search
 from parcelflow.operators.unified import unified_search
 
 D = date(2024, 1, 1)
@@ -37,3 +39,21 @@ def test_branches(spark):
 def test_empty(spark):
     none = spark.createDataFrame([], "id int, eircode string, county string, area_slug string, address string, date_of_sale date, reference string, location string, registration_date date, label string, sales_count long")
     assert unified_search(spark.createDataFrame([("a", "12 main st")], "query_id string, query string"), none, none, none).count() == 0
+
+
+def test_each_text_is_searched_once(spark, monkeypatch):
+    """Before, every query met all rows of its rarest stem, so queries of one text cost as much as different ones."""
+    searched = []
+
+    def counted(rows, queries, *columns):
+        searched.append(queries.count())
+        return text_search(rows, queries, *columns)
+
+    monkeypatch.setattr(unified, "text_search", counted)
+    sales = spark.createDataFrame([(1, None, "Cork", "midleton", "1 Main St, Midleton", D)], "id int, eircode string, county string, area_slug string, address string, date_of_sale date")
+    plans = spark.createDataFrame([(7, "x", "1 Main St, Midleton", None, D)], "id int, reference string, location string, eircode string, registration_date date")
+    areas = spark.createDataFrame([("Cork", "Midleton", "midleton", 90)], "county string, label string, area_slug string, sales_count long")
+    asked = spark.createDataFrame([(f"q{k}", "1 main  st" if k % 2 else " 1 main st") for k in range(6)], "query_id string, query string")
+    got = {tuple(r) for r in unified_search(asked, sales, plans, areas).collect()}
+    assert got == {row for k in range(6) for row in ((f"q{k}", "sale", 1, "1", "1 Main St, Midleton"), (f"q{k}", "planning", 1, "7", "x"))}
+    assert searched == [1]
