@@ -65,7 +65,7 @@ def _last_clause_off(tidy: Column) -> Column:
 
 
 def _listed(safe: Column) -> Column:
-    return _let(F.regexp_extract(safe, PERMISSION, 1), lambda body: F.when(body != "", F.concat(F.lit("Permission for "), _first(body, F.lower))).otherwise(safe))
+    return _let(F.regexp_extract(safe, PERMISSION, 1), lambda body: F.when(body != "", F.concat(F.lit("Permission for "), _first(body, T.lower_letter))).otherwise(safe))
 
 
 def repaired(value: Column, fallback: str = "Proposal description not recorded") -> Column:
@@ -110,7 +110,7 @@ def capped(value: Column, most: int) -> Column:
 
 
 def _retention(shown: Column) -> Column:
-    return _let(F.regexp_extract(shown, RETENTION, 1), lambda item: F.when(item != "", F.concat(F.lit("Retention: "), _first(item, F.lower))).otherwise(shown))
+    return _let(F.regexp_extract(shown, RETENTION, 1), lambda item: F.when(item != "", F.concat(F.lit("Retention: "), _first(item, T.lower_letter))).otherwise(shown))
 
 
 def title(value: Column, fallback: str = "Planning application", most: int = TITLE) -> Column:
