@@ -13,6 +13,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from parcelflow.functions import dates, stats
+from parcelflow.sources.shared import materialised
+
+#: Ranges of values that percentiles of large groups are counted in; each is one task.
+RANGES = 64
 
 
 def _price() -> Column:
@@ -42,6 +46,34 @@ def area_monthly_stats(sales: DataFrame) -> DataFrame:
     return known.groupBy("county", "area_slug", F.date_format("date_of_sale", "yyyy-MM").alias("year_month")).agg(F.count("*").alias("sales_count"), F.median("price_eur").alias("median_price"), stats.mean_money(F.col("price_eur")).alias("avg_price"))
 
 
+def exact_percentiles(counts: DataFrame, keys: list[str], value: str, wanted: dict[str, tuple[str, float]]) -> DataFrame:
+    """keys... and a column for each name wanted, (count column, share): exact percentiles between ranks, null values left out.
+
+    counts: keys..., value, and how many rows have it. Ranges of the value are counted first, so that no task sees
+    more than a range, however large a group is; ranks then follow from the counts of the ranges before.
+    """
+    columns = sorted({column for column, _ in wanted.values()})
+    known = counts.select(*keys, value, *(F.when(F.col(value).isNotNull(), F.col(c)).otherwise(0).alias(c) for c in columns))
+    spread = materialised(materialised(known).repartitionByRange(RANGES, value).withColumn("part", F.spark_partition_id()))
+    sums = spread.groupBy(*keys, "part").agg(*(F.sum(c).alias(c) for c in columns))
+    group = Window.partitionBy(*keys)
+    before = group.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    named = [F.col(k).alias(f"own_{k}") for k in keys]
+    sums = sums.select(*named, F.col("part").alias("own_part"), *(F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"{c}_before") for c in columns), *(F.sum(c).over(group).alias(f"{c}_all") for c in columns))
+    same = reduce(Column.__and__, (F.col(k).eqNullSafe(F.col(f"own_{k}")) for k in [*keys, "part"]))
+    within = Window.partitionBy(*keys, "part").orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ranked = spread.withColumns({f"{c}_upto": F.sum(c).over(within) for c in columns}).join(F.broadcast(sums), same)  # a row for each group and range
+
+    def at(column: str, share: float) -> Column:
+        place = (F.col(f"{column}_all") - 1) * share
+        upto = F.col(f"{column}_before") + F.col(f"{column}_upto")
+        low, high = (F.max(F.when((rank >= upto - F.col(column)) & (rank < upto), F.col(value))) for rank in (F.floor(place), F.ceil(place)))
+        part = F.max(place - F.floor(place))
+        return F.when(part == 0, low).otherwise((1 - part) * low + part * high)
+
+    return ranked.groupBy(*keys).agg(*(at(*w).alias(name) for name, w in wanted.items()))
+
+
 def insights(sales: DataFrame, keys: list[str], as_of: date, price_gate: int = 24, activity_gate: int = 24, gap_gate: int = 6, spread_gate: int = 12, split_gate: int = 8) -> DataFrame:
     """One row for each key: medians, momentum, activity, gap between sales, spread and build split.
 
@@ -119,10 +151,13 @@ def national_snapshots(sales: DataFrame, as_of: date, ranges: dict[str, int | No
         now = _within(dates.rolling(as_of, months)) if months else F.col("date_of_sale") <= F.lit(as_of)
         before = _within(dates.rolling(as_of, months, months)) if months else F.lit(False)
         rows.append((key, now, before))
-    aggs = []
-    for k, (_, now, before) in enumerate(rows):
-        aggs += [F.count_if(now).alias(f"n{k}"), F.count_if(before).alias(f"b{k}"), stats.median_where(_price(), now).alias(f"m{k}"), stats.median_where(_price(), before).alias(f"p{k}"), F.avg(F.when(now, _price())).alias(f"a{k}")]
-    one = sales.agg(*aggs)
+    members = {f"{side}{k}": hit for k, (_, now, before) in enumerate(rows) for side, hit in (("n", now), ("b", before))}
+    counts = materialised(sales.groupBy("price_eur").agg(*(F.count_if(hit).alias(name) for name, hit in members.items())))
+    medians = {f"{'m' if name[0] == 'n' else 'p'}{name[1:]}": (name, 0.5) for name in members}
+    priced = lambda k: F.when(F.col("price_eur").isNotNull(), F.col(f"n{k}"))
+    means = [(F.sum(_price() * F.col(f"n{k}")) / F.nullif(F.sum(priced(k)), F.lit(0))).alias(f"a{k}") for k in range(len(rows))]
+    sums = counts.agg(*(F.coalesce(F.sum(name), F.lit(0)).alias(name) for name in members), *means)
+    one = sums.crossJoin(exact_percentiles(counts, [], "price_eur", medians))  # one row each
     parts = [
         F.struct(
             F.lit(key).alias("range_key"),

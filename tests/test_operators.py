@@ -172,3 +172,15 @@ def test_stratified_quotas(spark):
     rows = [(k, "notable" if k < 2 else "recent", k) for k in range(12)]
     got = measure.stratified(spark.createDataFrame(rows, "id int, cohort string, n int"), 10, {"notable": 0.3, "left": 0.3, "recent": 0.4}, [F.asc("n")]).collect()
     assert len(got) == 10 and {0, 1} <= {r.id for r in got}
+
+
+def test_exact_percentiles_of_counts(spark):
+    """Ranks between values, several counts of a value, null values and a group without any; all of it spread over ranges (before, one task held all values of a group)."""
+    from parcelflow.operators import sales as S
+
+    values = [(None if k % 11 == 0 else float(k * k % 97), ("x" if k % 3 else None), k % 4) for k in range(1, 200)]
+    rows = spark.createDataFrame([*values, (None, "empty", 1)], "v double, g string, n long")
+    counts = rows.groupBy("g", "v").agg(F.sum("n").alias("n"), F.count("*").alias("m"))
+    got = {r["g"]: (r["a"], r["b"]) for r in S.exact_percentiles(counts, ["g"], "v", {"a": ("n", 0.9), "b": ("m", 0.5)}).collect()}
+    want = {r["g"]: (r["a"], r["b"]) for r in rows.groupBy("g").agg(F.percentile("v", F.lit(0.9), F.col("n")).alias("a"), F.percentile("v", F.lit(0.5)).alias("b")).collect()}
+    assert got == want and want["empty"] == (None, None) and None in want
