@@ -50,8 +50,10 @@ def area_monthly(spark: SparkSession, sf_dir: str) -> DataFrame:
     round(quantile_cont(price_eur, 0.9), 4) as p90 from sales group by county""",
 )
 def percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    aggs = [F.round(F.percentile("price_eur", F.lit(p)), 4).alias(f"p{round(100 * p)}") for p in (0.25, 0.5, 0.75, 0.9)]
-    return sales(spark, sf_dir).groupBy("county").agg(*aggs)
+    shares = {f"p{round(100 * p)}": ("n", p) for p in (0.25, 0.5, 0.75, 0.9)}
+    counts = sales(spark, sf_dir).groupBy("county", "price_eur").agg(F.count("*").alias("n"))
+    found = S.exact_percentiles(counts, ["county"], "price_eur", shares)
+    return found.select("county", *(F.round(c, 4).alias(c) for c in shares))
 
 
 def _insights_sql(keys: str, source: str = "sales", extra: str = "") -> str:
