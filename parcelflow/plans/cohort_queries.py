@@ -7,12 +7,13 @@ from datetime import date
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parcelflow.functions import places
+from parcelflow.functions import places, stats
 from parcelflow.functions import text as T
 from parcelflow.operators import cohorts as C
 from parcelflow.operators import pages as G
 from parcelflow.plans.mapping import SALES, sales
 from parcelflow.plans.registry import query
+from parcelflow.sources.shared import materialised
 from parcelflow.sources.tables import table
 
 AS_OF = date(2001, 8, 28)
@@ -80,9 +81,9 @@ REFRESHED = f"""{CANDIDATES}, {MEMBERS}, m as (select *, left_at is null as acti
 @query("w8_residence_cohort", f"with {REFRESHED}")
 def refreshed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Both surfaces' memberships after a refresh of 40 places and six that may leave."""
-    found = _candidates(spark, sf_dir)
+    found = materialised(_candidates(spark, sf_dir))  # members and every step of the refresh are made of them
     size = F.length("path")
-    members = found.where(size % 2 == 0).select("surface", "path", F.date_sub(F.lit(AS_OF), (size * 7 % 90).cast("int")).alias("entered"), F.when(size % 5 == 0, F.lit(date(2001, 8, 1))).alias("left"), F.round(F.col("score") / 2, 6).alias("score"))
+    members = found.where(size % 2 == 0).select("surface", "path", F.date_sub(F.lit(AS_OF), (size * 7 % 90).cast("int")).alias("entered"), F.when(size % 5 == 0, F.lit(date(2001, 8, 1))).alias("left"), stats.round_half_up(F.col("score") / 2, 6).alias("score"))
     gone = table(spark, sf_dir, "customer").select(F.lit("planning").alias("surface"), F.concat(F.lit("/planning/gone/areas/"), F.lower("c_mktsegment")).alias("path")).distinct()
     members = members.unionByName(gone.withColumns({"entered": F.lit(date(2001, 1, 1)), "left": F.lit(None).cast("date"), "score": F.lit(None).cast("double")}))
     return C.refreshed(members, found, AS_OF, size=40, rotation=6)

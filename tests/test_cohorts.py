@@ -112,3 +112,11 @@ def test_radius_anywhere(spark):
     for origin in {o for o, _ in want if o < 50}:
         near = sorted((round(km(spots_by[origin], spots_by[q]), 6), q) for o, q in want if o == origin) if (spots_by := {s[0]: s for s in spots}) else []
         assert [q for _, q in near[:2]] == [q for _, q in sorted((r["distance_km"], r["point"]) for r in top if r["origin"] == origin)]
+
+
+def test_candidates_are_made_once(spark):
+    """The refresh reads its candidates from the shared folder; before, its plan held the sales and applications behind them many times over."""
+    from parcelflow.plans import registry
+
+    plan = registry.QUERIES["w8_residence_cohort"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "l_orderkey" not in plan and "o_orderkey" not in plan
