@@ -189,10 +189,14 @@ def fallback_plans(context: DataFrame) -> DataFrame:
     )
 
 
+def _first(rows: DataFrame, scope: list[str], order: list[Column]) -> DataFrame:
+    """The first RANKED rows of every scope in order, with their place; Spark cuts each task's rows before the shuffle."""
+    return rows.withColumn("place", F.row_number().over(Window.partitionBy(*scope).orderBy(*order))).where(F.col("place") <= RANKED)
+
+
 def _ranked(rows: DataFrame, scope: list[str], order: list[Column], value: str) -> DataFrame:
-    """scope..., ranked: the first RANKED values of every scope in order; Spark cuts each task's rows before the shuffle."""
-    first = rows.withColumn("place", F.row_number().over(Window.partitionBy(*scope).orderBy(*order))).where(F.col("place") <= RANKED)
-    return first.groupBy(*scope).agg(F.transform(F.sort_array(F.collect_list(F.struct("place", F.col(value).alias("value")))), lambda r: r["value"]).alias("ranked"))
+    """scope..., ranked: the first RANKED values of every scope in order."""
+    return _first(rows, scope, order).groupBy(*scope).agg(F.transform(F.sort_array(F.collect_list(F.struct("place", F.col(value).alias("value")))), lambda r: r["value"]).alias("ranked"))
 
 
 def _without(ranked: Column, excluded: Column, limit: int) -> Column:
@@ -213,26 +217,31 @@ def planning_fallback(asked: DataFrame, applications: DataFrame, areas: DataFram
     routing key in another area, and whose longest area label is the asked one's. Nothing else is tried then.
     Otherwise `routing-key`, and where that is empty `locality`: those of the county that hold the
     locality. Latest first, then by reference; `none` where no tier has rows. Whole words count, accents don't.
+
+    Whether a row is of a locality or an area hangs on its county and location alone, so only the RANKED latest rows of
+    one county and location can be in an answer. Each different text is looked into once, under the least id of its rows.
     """
     limit = max(1, min(limit, MOST))
     asked = asked.withColumn("excluded", F.coalesce("excluded", F.array().cast("array<bigint>"))).withColumn("county_key", T.slug(F.col("county")))
     narrow = F.col("area_slug").isNotNull() & F.col("locality").isNotNull()
     latest = [F.desc_nulls_last("registration_date"), F.desc("reference"), F.desc("id")]
-    placed = applications.withColumn("county_key", T.slug(F.col("county")))
+    kept = _first(applications.where("county is not null and location is not null"), ["county", "location"], latest)
+    texts = kept.groupBy("county", "location").agg(F.min("id").alias("id"), F.collect_list(F.struct("registration_date", "reference", "id")).alias("rows"))
+    texts = materialised(texts.withColumns({"county_key": T.slug(F.col("county")), "words": T.tokens(F.col("location"))}))
 
-    by_key = _ranked(placed.where("eircode_prefix is not null"), ["eircode_prefix"], latest, "id")
+    by_key = _ranked(applications.where("eircode_prefix is not null"), ["eircode_prefix"], latest, "id")
 
     towns = asked.where("locality is not null").select(F.col("county_key").alias("county"), F.col("locality").alias("name")).distinct()
-    holds = held_names(placed, towns).join(placed, "id", "left").select("id", F.col("name").alias("locality"), "county_key", "registration_date", "reference", "location")
-    by_town = _ranked(holds, ["county_key", "locality"], latest, "id")
+    holds = held_names(texts, towns).join(texts, "id").select("id", F.col("name").alias("locality"), "county_key", "words", "rows")
+    by_town = _ranked(holds.select("county_key", "locality", F.inline("rows")), ["county_key", "locality"], latest, "id")
 
     wanted = asked.where(narrow).select("routing_key", "county_key", "locality", "area_slug").distinct()
     other = rivals.select(F.col("eircode_prefix").alias("routing_key"), _clean("locality").alias("rival"), T.slug(_clean("area_slug")).alias("rival_slug")).where("rival is not null and rival_slug <> ''").distinct()
     against = wanted.join(other, "routing_key").where(F.col("rival_slug") != T.slug(F.col("area_slug"))).groupBy("routing_key", "county_key", "locality", "area_slug").agg(F.collect_set(T.tokens(F.col("rival"))).alias("rivals"))
-    slugs = area_matches(placed, areas).select("id", "area_slug")
+    slugs = area_matches(texts, areas).select("id", "area_slug")
     met = holds.join(slugs, "id").join(wanted, ["county_key", "locality", "area_slug"])
-    free = met.join(against, wanted.columns, "left").where(~F.exists(F.coalesce("rivals", F.array().cast("array<string>")), lambda r: T.has_tokens(T.tokens(F.col("location")), r)))
-    by_area = _ranked(free, wanted.columns, latest, "id")
+    free = met.join(against, wanted.columns, "left").where(~F.exists(F.coalesce("rivals", F.array().cast("array<string>")), lambda r: T.has_tokens(F.col("words"), r)))
+    by_area = _ranked(free.select(*wanted.columns, F.inline("rows")), wanted.columns, latest, "id")
 
     rows = asked.join(by_key.select(F.col("eircode_prefix").alias("routing_key"), F.col("ranked").alias("of_key")), "routing_key", "left")
     rows = rows.join(by_town.withColumnRenamed("ranked", "of_town"), ["county_key", "locality"], "left")
@@ -244,6 +253,15 @@ def planning_fallback(asked: DataFrame, applications: DataFrame, areas: DataFram
     return rows.select("eircode", basis.alias("basis"), ids.alias("ids"))
 
 
+def planned_around(plans: DataFrame, sales: DataFrame, applications: DataFrame, areas: DataFrame, planned: int = 6) -> DataFrame:
+    """eircode, basis, ids: the `planning_fallback` of every plan, without the code's own latest MOST_EXCLUDED applications."""
+    latest = [F.desc_nulls_last("registration_date"), F.desc("reference"), F.desc("id")]
+    own = _ranked(applications.join(plans, "eircode", "left_semi"), ["eircode"], latest, "id").select("eircode", F.slice("ranked", 1, MOST_EXCLUDED).alias("excluded"))
+    asked = plans.select("eircode", "routing_key", "county", F.col("planning_locality").alias("locality"), F.col("stats_slug").alias("area_slug"))
+    asked = materialised(asked.join(own, "eircode", "left"))
+    return planning_fallback(asked, applications, areas, sales.select("eircode_prefix", "locality", "area_slug"), planned)
+
+
 def market_bundles(context: DataFrame, sales: DataFrame, applications: DataFrame, areas: DataFrame, recent: int = 8, planned: int = 6) -> DataFrame:
     """The local market of every code that has a plan: statistics of its area, latest sales and applications around it.
 
@@ -251,19 +269,13 @@ def market_bundles(context: DataFrame, sales: DataFrame, applications: DataFrame
     the code's own latest MOST_EXCLUDED records. The statistics are sales and median of the area, where the plan names one.
     """
     plans = materialised(fallback_plans(context))
+    planning = planned_around(plans, sales, applications, areas, planned).select("eircode", F.col("basis").alias("planning_basis"), F.col("ids").alias("planning_ids"))
     latest = [F.desc_nulls_last("date_of_sale"), F.desc("id")]
-    latest_plans = [F.desc_nulls_last("registration_date"), F.desc("reference"), F.desc("id")]
-    none = F.array().cast("array<bigint>")
-    for name, rows, order in (("own_sales", sales, latest), ("own_plans", applications, latest_plans)):
-        own = _ranked(rows.join(plans, "eircode", "left_semi"), ["eircode"], order, "id").select("eircode", F.slice("ranked", 1, MOST_EXCLUDED).alias(name))
-        plans = plans.join(own, "eircode", "left").withColumn(name, F.coalesce(name, none))
-    plans = materialised(plans)
+    own = _ranked(sales.join(plans, "eircode", "left_semi"), ["eircode"], latest, "id").select("eircode", F.slice("ranked", 1, MOST_EXCLUDED).alias("own_sales"))
+    plans = plans.join(own, "eircode", "left").withColumn("own_sales", F.coalesce("own_sales", F.array().cast("array<bigint>")))
     by_key = _ranked(sales.where("eircode_prefix is not null"), ["eircode_prefix"], latest, "id").select(F.col("eircode_prefix").alias("routing_key"), F.col("ranked").alias("of_key"))
     by_area = _ranked(sales.where("area_slug is not null"), ["county", "area_slug"], latest, "id").select("county", F.col("area_slug").alias("stats_slug"), F.col("ranked").alias("of_area"))
     stats = sales.where("area_slug is not null").groupBy("county", F.col("area_slug").alias("stats_slug")).agg(F.count("*").alias("n_sales"), F.percentile("price_eur", 0.5).alias("median_price"))
-    asked = plans.select("eircode", "routing_key", "county", F.col("planning_locality").alias("locality"), F.col("stats_slug").alias("area_slug"), F.col("own_plans").alias("excluded"))
-    places_of_key = sales.select("eircode_prefix", "locality", "area_slug")
-    planning = planning_fallback(asked, applications, areas, places_of_key, planned).select("eircode", F.col("basis").alias("planning_basis"), F.col("ids").alias("planning_ids"))
     rows = plans.join(by_key, "routing_key", "left").join(by_area, ["county", "stats_slug"], "left").join(stats, ["county", "stats_slug"], "left").join(planning, "eircode")
     sold = F.when(F.col("sales_basis") == "area", _without(F.col("of_area"), F.col("own_sales"), recent)).otherwise(_without(F.col("of_key"), F.col("own_sales"), recent))
     level = F.when(F.col("source") == "routing-key", "routing-area").when(F.col("area_slug").isNotNull(), "area").otherwise("county")

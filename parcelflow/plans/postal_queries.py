@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from parcelflow.functions import geo
 from parcelflow.operators import markets as M
 from parcelflow.plans.registry import query
+from parcelflow.sources.shared import materialised
 from parcelflow.sources.tables import table
 
 HOMES = """homes as (select *, 'A' || key || ' ' || lpad(cast(k % 10000 as varchar), 4, '0') as eircode, 'A' || key as eircode_prefix, replace(lower(label), ' ', '-') as area_slug from (
@@ -196,8 +197,9 @@ FALLBACK = f"""own as (select eircode, list(id) as excluded from (select *, row_
 @query("x11_planning_fallback", f"with {DATA}, {CONTEXT}, {PLANS}, {FALLBACK} select * from fallback")
 def planning_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Applications of the first tier that has any, for every code with a plan; its own applications left out."""
-    bundles = _bundles(spark, sf_dir)
-    return bundles.select("eircode", F.col("planning_basis").alias("basis"), F.array_join("planning_ids", ",").alias("ids"))
+    plans = materialised(M.fallback_plans(_context(spark, sf_dir)))
+    found = M.planned_around(plans, sold(spark, sf_dir), filed(spark, sf_dir), areas(spark, sf_dir))
+    return found.withColumn("ids", F.array_join("ids", ","))
 
 
 def _bundles(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -178,3 +178,14 @@ def test_tokens_and_unique_places(spark):
     names = spark.createDataFrame([("Dublin", "dun-laoghaire", "Dún Laoghaire"), ("Mayo", "newport", "Newport"), ("Tipperary", "newport", "Newport")], "county string, area_slug string, area_label string")
     asked = spark.createDataFrame([("dun laoghaire!",), ("NEWPORT",), ("",)], "query string")
     assert [tuple(r) for r in X.unique_place(asked, names).collect()] == [("dun laoghaire!", "Dublin", "dun-laoghaire")]
+
+
+def test_latest_of_many_with_one_location(spark, areas):
+    """Of a location's many rows only the latest are kept and its text is looked into once; before, names met every row."""
+    plans = [filed(i, None, location=t, day=date(2025, 1 + i // 28, 1 + i % 28)) for i, t in enumerate(["1 Main Road, Midleton", "Ringaskiddy, Midleton", "Cork"] * 40)]
+    plans += [filed(200, None, None, "Midleton"), filed(201, None, location=None)]
+    asked = spark.createDataFrame([("1", "P25", "Cork", "Midleton", "midleton", [117, 114]), ("2", "P26", "Cork", "Midleton", None, None)], "eircode string, routing_key string, county string, locality string, area_slug string, excluded array<long>")
+    rivals = spark.createDataFrame([("P25", "Ringaskiddy", "ringaskiddy")], "eircode_prefix string, locality string, area_slug string")
+    found = M.planning_fallback(asked, spark.createDataFrame(plans, PLAN), areas, rivals)
+    assert {r["eircode"]: (r["basis"], r["ids"]) for r in found.collect()} == {"1": ("area", [111, 108, 105, 102, 99, 96]), "2": ("locality", [118, 117, 115, 114, 112, 111])}
+    assert "inline(rows" in found._jdf.queryExecution().optimizedPlan().toString()
