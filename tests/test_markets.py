@@ -189,3 +189,15 @@ def test_latest_of_many_with_one_location(spark, areas):
     found = M.planning_fallback(asked, spark.createDataFrame(plans, PLAN), areas, rivals)
     assert {r["eircode"]: (r["basis"], r["ids"]) for r in found.collect()} == {"1": ("area", [111, 108, 105, 102, 99, 96]), "2": ("locality", [118, 117, 115, 114, 112, 111])}
     assert "inline(rows" in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_bundle_of_a_location_with_many_rows(spark, curated, areas):
+    """Applications of one location come to the bundle as one text with its latest rows; before, names met every row."""
+    sold = [("P43 W000", "Cork", "Carrigaline", "carrigaline", DAY)] + [("P43", "Cork", "Carrigaline", "carrigaline", date(2024, 1, 1 + i)) for i in range(10)]
+    plans = [filed(i, "P43", location="Carrigaline", day=date(2025, 1 + i // 28, 1 + i % 28)) for i in range(90)] + [filed(90 + i, "P43 W000", location="Carrigaline", day=date(2026, 1, 1 + i)) for i in range(27)]
+    rows, apps = sales(spark, sold), spark.createDataFrame(plans, PLAN)
+    context = M.postcode_context(spark.createDataFrame([("P43 W000",)], "eircode string"), rows, apps, M.routing_areas(rows, curated), areas)
+    found = M.market_bundles(context, rows, apps, areas)
+    row = found.first()
+    assert (row["n_sales"], row["median_price"], row["planning_basis"], row["planning_ids"]) == (11, 500.0, "area", [91, 90, 89, 88, 87, 86])
+    assert "inline(rows" in found._jdf.queryExecution().optimizedPlan().toString()
