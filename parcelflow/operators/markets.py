@@ -7,11 +7,14 @@ holds a third of all rows sends as little as any other.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from parcelflow.functions import geo, places
 from parcelflow.functions import text as T
+from parcelflow.operators.sales import exact_percentiles
 from parcelflow.sources.shared import materialised
 
 PLACE = ("county", "locality", "area_slug")
@@ -19,6 +22,8 @@ MARKETS = "array<struct<county: string, locality: string, area_slug: string, lab
 #: Rows of an answer at most, rows that exclusions may cost at most, and their sum, which is ranked.
 MOST, MOST_EXCLUDED = 12, 25
 RANKED = MOST + MOST_EXCLUDED
+#: Fixed value: scopes at most whose first periods are sent to all tasks; with more of them nothing is sent.
+FEW_SCOPES = 100_000
 #: Sales that a routing area needs, share of sales that may contradict its curated markets, shares that make a county, an area and a locality its own.
 LEAST_SALES, MOST_CONFLICT = 5, 0.2
 SHARES = (0.6, 0.7, 0.5)
@@ -62,7 +67,7 @@ def routing_areas(sales: DataFrame, curated: DataFrame) -> DataFrame:
     dominant locality of that area's. sales: eircode_prefix and a place; curated: as of `routing_markets`.
     """
     tidy = sales.where(F.col("eircode_prefix").isNotNull()).select("eircode_prefix", *(_clean(c).alias(c) for c in PLACE))
-    counts = tidy.groupBy("eircode_prefix", *PLACE).agg(F.count("*").alias("n"))
+    counts = materialised(tidy.groupBy("eircode_prefix", *PLACE).agg(F.count("*").alias("n")))  # every step below reads it
     enough = counts.groupBy("eircode_prefix").agg(F.sum("n").alias("total"), F.coalesce(F.sum(F.when(F.col("county").isNotNull(), F.col("n"))), F.lit(0)).alias("placed"))
     enough = enough.where((F.col("total") >= LEAST_SALES) & (F.col("placed") > 0))
 
@@ -133,10 +138,11 @@ def postcode_context(codes: DataFrame, sales: DataFrame, applications: DataFrame
     conflict: `county` where sale and application name different counties, `values` where sales differ among themselves.
     """
     asked = codes.select(F.upper(F.btrim("eircode")).alias("eircode")).distinct().where("eircode <> ''").withColumn("eircode_prefix", F.substring("eircode", 1, 3))
+    asked = materialised(asked)
     tidy = sales.withColumns({c: _clean(c) for c in PLACE})
     says = F.coalesce(*PLACE).isNotNull()
     spot = F.when(geo.in_box(F.col("lat"), F.col("lng")), F.struct("lat", "lng"))
-    mixed = [F.count_distinct(_name(c)) > 1 for c in PLACE]
+    mixed = [F.coalesce(F.min(_name(c)) != F.max(_name(c)), F.lit(False)) for c in PLACE]
     of_sales = tidy.groupBy("eircode").agg(
         F.max_by(F.struct(*PLACE), F.struct(says, "date_of_sale", "id")).alias("s"),
         F.max_by(spot, F.when(spot.isNotNull(), F.struct("date_of_sale", "id"))).alias("spot"),
@@ -190,13 +196,35 @@ def fallback_plans(context: DataFrame) -> DataFrame:
 
 
 def _first(rows: DataFrame, scope: list[str], order: list[Column]) -> DataFrame:
-    """The first RANKED rows of every scope in order, with their place; Spark cuts each task's rows before the shuffle."""
-    return rows.withColumn("place", F.row_number().over(Window.partitionBy(*scope).orderBy(*order))).where(F.col("place") <= RANKED)
+    """The first RANKED rows of every scope in order, with their place; Spark cuts each task's rows before the shuffle.
+
+    A hash of the scope leads it, as a sort tells numbers apart at once but texts with a common start slowly.
+    """
+    by = Window.partitionBy("scope_hash", *scope).orderBy(*order)
+    return rows.withColumn("scope_hash", F.xxhash64(*scope)).withColumn("place", F.row_number().over(by)).where(F.col("place") <= RANKED)
+
+
+def _late(rows: DataFrame, scope: list[str], period: Column) -> DataFrame:
+    """`rows` without those of periods that RANKED later rows of their scope come before, so that `_first` need not sort them.
+
+    period: a number that the first key of the order falls with, null for rows that come last. Rows are counted by scope and period
+    first; of more than FEW_SCOPES scopes all rows stay, as a scope then has few to spare.
+    """
+    when = F.coalesce(period, F.lit(-(2**31)))
+    counts = rows.groupBy(*(F.col(c).alias(f"of_{c}") for c in scope), when.alias("period")).agg(F.count("*").alias("n"))
+    later = Window.partitionBy(*(f"of_{c}" for c in scope)).orderBy(F.desc("period")).rowsBetween(Window.unboundedPreceding, -1)
+    needed = counts.withColumn("later", F.coalesce(F.sum("n").over(later), F.lit(0))).where(F.col("later") < RANKED)
+    floors = materialised(needed.groupBy(*(f"of_{c}" for c in scope)).agg(F.min("period").alias("floor")))
+    if floors.count() > FEW_SCOPES:
+        return rows
+    same = reduce(Column.__and__, (F.col(c).eqNullSafe(F.col(f"of_{c}")) for c in scope))
+    return rows.join(F.broadcast(floors), same & (when >= F.col("floor"))).select(*rows.columns)
 
 
 def _ranked(rows: DataFrame, scope: list[str], order: list[Column], value: str) -> DataFrame:
     """scope..., ranked: the first RANKED values of every scope in order."""
-    return _first(rows, scope, order).groupBy(*scope).agg(F.transform(F.sort_array(F.collect_list(F.struct("place", F.col(value).alias("value")))), lambda r: r["value"]).alias("ranked"))
+    first = _first(rows, scope, order).groupBy("scope_hash", *scope).agg(F.sort_array(F.collect_list(F.struct("place", F.col(value).alias("value")))).alias("ranked"))
+    return first.select(*scope, F.transform("ranked", lambda r: r["value"]).alias("ranked"))
 
 
 def _without(ranked: Column, excluded: Column, limit: int) -> Column:
@@ -225,18 +253,21 @@ def planning_fallback(asked: DataFrame, applications: DataFrame, areas: DataFram
     asked = asked.withColumn("excluded", F.coalesce("excluded", F.array().cast("array<bigint>"))).withColumn("county_key", T.slug(F.col("county")))
     narrow = F.col("area_slug").isNotNull() & F.col("locality").isNotNull()
     latest = [F.desc_nulls_last("registration_date"), F.desc("reference"), F.desc("id")]
-    kept = _first(applications.where("county is not null and location is not null"), ["county", "location"], latest)
-    texts = kept.groupBy("county", "location").agg(F.min("id").alias("id"), F.collect_list(F.struct("registration_date", "reference", "id")).alias("rows"))
+    told = applications.where("county is not null and location is not null").select("county", "location", "registration_date", "reference", "id")
+    kept = _first(_late(told, ["county", "location"], F.year("registration_date")), ["county", "location"], latest)
+    texts = kept.groupBy("scope_hash", "county", "location").agg(F.min("id").alias("id"), F.collect_list(F.struct("registration_date", "reference", "id")).alias("rows")).drop("scope_hash")
     texts = materialised(texts.withColumns({"county_key": T.slug(F.col("county")), "words": T.tokens(F.col("location"))}))
 
-    by_key = _ranked(applications.where("eircode_prefix is not null"), ["eircode_prefix"], latest, "id")
+    keyed = applications.where("eircode_prefix is not null").select("eircode_prefix", "registration_date", "reference", "id")
+    by_key = _ranked(_late(keyed, ["eircode_prefix"], F.unix_date("registration_date")), ["eircode_prefix"], latest, "id")
 
     towns = asked.where("locality is not null").select(F.col("county_key").alias("county"), F.col("locality").alias("name")).distinct()
     holds = held_names(texts, towns).join(texts, "id").select("id", F.col("name").alias("locality"), "county_key", "words", "rows")
     by_town = _ranked(holds.select("county_key", "locality", F.inline("rows")), ["county_key", "locality"], latest, "id")
 
     wanted = asked.where(narrow).select("routing_key", "county_key", "locality", "area_slug").distinct()
-    other = rivals.select(F.col("eircode_prefix").alias("routing_key"), _clean("locality").alias("rival"), T.slug(_clean("area_slug")).alias("rival_slug")).where("rival is not null and rival_slug <> ''").distinct()
+    other = materialised(rivals.select("eircode_prefix", "locality", "area_slug").distinct())  # so that slugs are made of different places, not of every sale
+    other = other.select(F.col("eircode_prefix").alias("routing_key"), _clean("locality").alias("rival"), T.slug(_clean("area_slug")).alias("rival_slug")).where("rival is not null and rival_slug <> ''").distinct()
     against = wanted.join(other, "routing_key").where(F.col("rival_slug") != T.slug(F.col("area_slug"))).groupBy("routing_key", "county_key", "locality", "area_slug").agg(F.collect_set(T.tokens(F.col("rival"))).alias("rivals"))
     slugs = area_matches(texts, areas).select("id", "area_slug")
     met = holds.join(slugs, "id").join(wanted, ["county_key", "locality", "area_slug"])
@@ -273,9 +304,14 @@ def market_bundles(context: DataFrame, sales: DataFrame, applications: DataFrame
     latest = [F.desc_nulls_last("date_of_sale"), F.desc("id")]
     own = _ranked(sales.join(plans, "eircode", "left_semi"), ["eircode"], latest, "id").select("eircode", F.slice("ranked", 1, MOST_EXCLUDED).alias("own_sales"))
     plans = plans.join(own, "eircode", "left").withColumn("own_sales", F.coalesce("own_sales", F.array().cast("array<bigint>")))
-    by_key = _ranked(sales.where("eircode_prefix is not null"), ["eircode_prefix"], latest, "id").select(F.col("eircode_prefix").alias("routing_key"), F.col("ranked").alias("of_key"))
-    by_area = _ranked(sales.where("area_slug is not null"), ["county", "area_slug"], latest, "id").select("county", F.col("area_slug").alias("stats_slug"), F.col("ranked").alias("of_area"))
-    stats = sales.where("area_slug is not null").groupBy("county", F.col("area_slug").alias("stats_slug")).agg(F.count("*").alias("n_sales"), F.percentile("price_eur", 0.5).alias("median_price"))
+    parts = ["eircode_prefix", "county", "area_slug"]  # the first rows of a key or an area are among the first of their parts
+    dated = _late(sales.select(*parts, "date_of_sale", "id"), parts, F.unix_date("date_of_sale"))
+    heads = materialised(_first(dated, parts, latest).select(*parts, "date_of_sale", "id"))
+    by_key = _ranked(heads.where("eircode_prefix is not null"), ["eircode_prefix"], latest, "id").select(F.col("eircode_prefix").alias("routing_key"), F.col("ranked").alias("of_key"))
+    by_area = _ranked(heads.where("area_slug is not null"), ["county", "area_slug"], latest, "id").select("county", F.col("area_slug").alias("stats_slug"), F.col("ranked").alias("of_area"))
+    known = sales.where("county is not null and area_slug is not null").select("county", F.col("area_slug").alias("stats_slug"), "price_eur")
+    medians = exact_percentiles(known.groupBy("county", "stats_slug", "price_eur").agg(F.count("*").alias("n")), ["county", "stats_slug"], "price_eur", {"median_price": ("n", 0.5)})
+    stats = known.groupBy("county", "stats_slug").agg(F.count("*").alias("n_sales")).join(medians, ["county", "stats_slug"])
     rows = plans.join(by_key, "routing_key", "left").join(by_area, ["county", "stats_slug"], "left").join(stats, ["county", "stats_slug"], "left").join(planning, "eircode")
     sold = F.when(F.col("sales_basis") == "area", _without(F.col("of_area"), F.col("own_sales"), recent)).otherwise(_without(F.col("of_key"), F.col("own_sales"), recent))
     level = F.when(F.col("source") == "routing-key", "routing-area").when(F.col("area_slug").isNotNull(), "area").otherwise("county")

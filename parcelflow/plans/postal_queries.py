@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from parcelflow.functions import geo
 from parcelflow.operators import markets as M
 from parcelflow.plans.registry import query
-from parcelflow.sources.shared import materialised
+from parcelflow.sources.shared import materialised, written
 from parcelflow.sources.tables import table
 
 HOMES = """homes as (select *, 'A' || key || ' ' || lpad(cast(k % 10000 as varchar), 4, '0') as eircode, 'A' || key as eircode_prefix, replace(lower(label), ' ', '-') as area_slug from (
@@ -45,22 +45,24 @@ def homes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _orders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), "o_custkey", F.to_date("o_orderdate").alias("day"), F.col("o_totalprice").alias("price_eur")).join(homes(spark, sf_dir), F.col("o_custkey") == F.col("k"))
+    """Every order with its household: what sales and applications are made of."""
+    rows = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), "o_custkey", F.to_date("o_orderdate").alias("day"), F.col("o_totalprice").alias("price_eur"))
+    return rows.join(homes(spark, sf_dir), F.col("o_custkey") == F.col("k")).drop("o_custkey")
 
 
-def sold(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _sold(rows: DataFrame) -> DataFrame:
     turn, k = F.col("id") % 7, F.col("k")
-    return _orders(spark, sf_dir).select(
+    return rows.select(
         "id", F.when(k % 9 != 4, F.col("eircode")).alias("eircode"), "eircode_prefix", F.when(turn == 5, " ").otherwise(F.col("county")).alias("county"),
         F.when(turn == 6, "Old Quarter").when(turn != 4, F.col("label")).alias("locality"), "area_slug", F.col("day").alias("date_of_sale"), "price_eur",
         F.when(F.col("id") % 3 > 0, F.lit(50.5) + (k % 600) / 100).alias("lat"), (F.lit(-11.5) + (k % 700) / 100).alias("lng"),
     )
 
 
-def filed(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _filed(rows: DataFrame, nations: DataFrame) -> DataFrame:
     i, n = F.col("id"), F.col("n")
-    nxt = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("m"), F.col("n_name").alias("next_county"))
-    rows = _orders(spark, sf_dir).join(nxt, (n + 1) % 25 == F.col("m"))
+    nxt = nations.select(F.col("n_nationkey").alias("m"), F.col("n_name").alias("next_county"))
+    rows = rows.join(nxt, (n + 1) % 25 == F.col("m"))
     where = F.concat((i % 100).cast("string"), F.lit(" Main Road, "), "label", F.when(i % 13 == 0, ", Old Quarter").otherwise(""), F.lit(", Co. "), "county")
     return rows.select(
         "id", i.cast("string").alias("reference"), F.when(i % 4 == 1, F.col("eircode")).alias("eircode"), F.when((i % 4).isin(1, 2) & (n % 7 > 0), F.col("eircode_prefix")).alias("eircode_prefix"),
@@ -69,6 +71,14 @@ def filed(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def sold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _sold(_orders(spark, sf_dir))
+
+
+def filed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _filed(_orders(spark, sf_dir), table(spark, sf_dir, "nation"))
+
+
 def codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     keys = table(spark, sf_dir, "nation").select(F.concat(F.lit("A"), (F.col("n_nationkey") + 10).cast("string"), F.lit(" ZZZZ")).alias("eircode"))
     return homes(spark, sf_dir).select("eircode").union(keys).union(spark.createDataFrame([("b00 zzzz",)], "eircode string"))
@@ -89,12 +99,18 @@ def areas(spark: SparkSession, sf_dir: str) -> DataFrame:
     return homes(spark, sf_dir).select("county", "label", "area_slug").distinct()
 
 
-def _routing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return M.routing_areas(sold(spark, sf_dir), M.routing_markets(curated(spark, sf_dir)))
+def _routing(spark: SparkSession, sf_dir: str, sales: DataFrame) -> DataFrame:
+    return M.routing_areas(sales, M.routing_markets(curated(spark, sf_dir)))
+
+
+def _records(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Sales, applications and areas; many steps read them, so orders meet their households once for all."""
+    rows = written(_orders(spark, sf_dir))
+    return _sold(rows), _filed(rows, table(spark, sf_dir, "nation")), materialised(areas(spark, sf_dir))
 
 
-def _context(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return M.postcode_context(codes(spark, sf_dir), sold(spark, sf_dir), filed(spark, sf_dir), _routing(spark, sf_dir), areas(spark, sf_dir))
+def _context(spark: SparkSession, sf_dir: str, sales: DataFrame, applications: DataFrame, named: DataFrame) -> DataFrame:
+    return M.postcode_context(codes(spark, sf_dir), sales, applications, _routing(spark, sf_dir, sales), named)
 
 
 def _dominant_sql(name: str, rows: str, value: str, share: float) -> str:
@@ -124,7 +140,7 @@ def routing_markets(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("x9_routing_areas", f"with {HOMES}, {SOLD}, {CURATED}, {ROUTING} select * from routing")
 def routing_areas(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every routing key at the production gates, with the labels of its markets."""
-    return _routing(spark, sf_dir).withColumn("markets", F.array_join(F.transform("markets", lambda m: m["label"]), "|"))
+    return _routing(spark, sf_dir, sold(spark, sf_dir)).withColumn("markets", F.array_join(F.transform("markets", lambda m: m["label"]), "|"))
 
 
 #: Positions of applications by the inverse series, as the library states it.
@@ -163,7 +179,7 @@ def _labels(context: DataFrame) -> DataFrame:
 @query("x8_postcode_context", f"with {DATA}, {CONTEXT} select * replace (round(lat, 6) as lat, round(lng, 6) as lng) from context")
 def postcode_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Context of every household's code, of a code without a household in every routing key, and of an unknown key."""
-    return _labels(_context(spark, sf_dir)).withColumns({c: F.round(c, 6) for c in ("lat", "lng")})
+    return _labels(_context(spark, sf_dir, *_records(spark, sf_dir))).withColumns({c: F.round(c, 6) for c in ("lat", "lng")})
 
 
 SLUG = lambda x: f"trim(regexp_replace(lower({x}), '[^a-z0-9]+', '-', 'g'), '-')"
@@ -177,7 +193,7 @@ PLANS = f"""plans as (select eircode, source, county, locality, area_slug, left(
 @query("x10_fallback_plans", f"with {DATA}, {CONTEXT}, {PLANS} select * from plans")
 def fallback_plans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The plan of every code that has one; keys of several markets have none."""
-    return M.fallback_plans(_context(spark, sf_dir))
+    return M.fallback_plans(_context(spark, sf_dir, *_records(spark, sf_dir)))
 
 
 HOLDS = "regexp_matches(lower({0}), '(^|[^a-z0-9])' || lower({1}) || '([^a-z0-9]|$)')"
@@ -197,13 +213,15 @@ FALLBACK = f"""own as (select eircode, list(id) as excluded from (select *, row_
 @query("x11_planning_fallback", f"with {DATA}, {CONTEXT}, {PLANS}, {FALLBACK} select * from fallback")
 def planning_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Applications of the first tier that has any, for every code with a plan; its own applications left out."""
-    plans = materialised(M.fallback_plans(_context(spark, sf_dir)))
-    found = M.planned_around(plans, sold(spark, sf_dir), filed(spark, sf_dir), areas(spark, sf_dir))
+    sales, applications, named = _records(spark, sf_dir)
+    plans = materialised(M.fallback_plans(_context(spark, sf_dir, sales, applications, named)))
+    found = M.planned_around(plans, sales, applications, named)
     return found.withColumn("ids", F.array_join("ids", ","))
 
 
 def _bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return M.market_bundles(_context(spark, sf_dir), sold(spark, sf_dir), filed(spark, sf_dir), areas(spark, sf_dir))
+    sales, applications, named = _records(spark, sf_dir)
+    return M.market_bundles(_context(spark, sf_dir, sales, applications, named), sales, applications, named)
 
 
 @query(

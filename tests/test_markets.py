@@ -1,5 +1,6 @@
 """Hand-made rows for routing areas, postcode context, fallback plans, planning fallback and market bundles."""
 
+import os
 from datetime import date
 
 import pytest
@@ -9,6 +10,7 @@ from parcelflow.functions import places
 from parcelflow.functions import text as T
 from parcelflow.operators import context as X
 from parcelflow.operators import markets as M
+from parcelflow.plans import registry
 
 SALE = "id long, eircode string, eircode_prefix string, county string, locality string, area_slug string, date_of_sale date, price_eur double, lat double, lng double"
 PLAN = "id long, reference string, eircode string, eircode_prefix string, county string, location string, registration_date date, grid_easting double, grid_northing double"
@@ -201,3 +203,39 @@ def test_bundle_of_a_location_with_many_rows(spark, curated, areas):
     row = found.first()
     assert (row["n_sales"], row["median_price"], row["planning_basis"], row["planning_ids"]) == (11, 500.0, "area", [91, 90, 89, 88, 87, 86])
     assert "inline(rows" in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_late_rows_are_all_that_an_answer_needs(spark, monkeypatch):
+    """Before, every row was sorted; now days that enough later rows of the scope precede fall first."""
+    rows = [(s, None if i % 50 == 49 else date(2024, 1 + i // 28 % 12, 1 + i % 28), i) for s in ("A", None) for i in range(300)] + [("B", None, i) for i in range(40)]
+    frame = spark.createDataFrame(rows, "s string, day date, id long")
+    order = [F.desc_nulls_last("day"), F.desc("id")]
+    late = M._late(frame, ["s"], F.unix_date("day"))
+    left = {r["s"]: r["n"] for r in late.groupBy("s").agg(F.count("*").alias("n")).collect()}
+    assert left["A"] == left[None] and M.RANKED <= left["A"] < M.RANKED + 5 and left["B"] == 40
+
+    def first(found):
+        return sorted((r["s"] or "", r["place"], r["id"]) for r in M._first(found, ["s"], order).collect())
+
+    assert first(late) == first(frame) and len(first(frame)) == 3 * M.RANKED
+    assert first(M._late(frame, ["s"], F.year("day"))) == first(frame)
+    monkeypatch.setattr(M, "FEW_SCOPES", 2)
+    assert M._late(frame, ["s"], F.unix_date("day")).count() == len(rows)
+
+
+def test_statistics_of_a_bundle_are_counted_by_price(spark, curated, areas):
+    """Sales without a price count but have no part in the median; no task holds all prices of an area, as it did before."""
+    sold = [("P43", "Cork", "Carrigaline", "carrigaline", date(2024, 1, 1 + i % 28)) for i in range(60)] + [("P43", " ", "Carrigaline", "carrigaline", DAY)]
+    rows = sales(spark, sold).withColumn("price_eur", F.when(F.col("id") % 3 > 0, (F.col("id") % 4) * 10.0))
+    context = M.postcode_context(spark.createDataFrame([("P43 VVVV",)], "eircode string"), rows, spark.createDataFrame([], PLAN), M.routing_areas(rows, curated), areas)
+    found = M.market_bundles(context, rows, spark.createDataFrame([], PLAN), areas)
+    row = found.first()
+    assert (row["n_sales"], row["median_price"], row["recent_sales"][:2], row["planning_basis"]) == (60, 15.0, [55, 27], "none")
+    assert "percentile" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no test tables")
+def test_orders_meet_their_households_once(spark):
+    """Steps of the bundles read what one join wrote; before, each joined orders and customers anew."""
+    plan = registry.QUERIES["x12_market_bundles"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "o_orderkey" not in plan and "c_custkey" not in plan
